@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 #: Encoded words and white-space-free pieces kept per Python worker; beyond it the cache starts anew.
 CACHE_ENTRIES = 300_000
 #: Rows of an output batch: texts and ids of a batch are in memory together.
@@ -157,6 +158,7 @@ _LOADED: dict[int, Bpe] = {}
 def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` per row; one pass over the texts, no shuffle."""
     spark = docs.sparkSession
+    ship_package(spark)
     tables = spark.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, pii, quality, secrets
+from . import bpe, chat, decontam, minhash, pii, quality, secrets, toxicity
 from .common import table
 
 
@@ -67,6 +67,16 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -82,10 +92,18 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract of this query links on two-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
     "op5_chat": op5_chat,
+    "op6_decontam": op6_decontam,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
+    "op10_minhash": op10_minhash,
 }
