@@ -203,6 +203,19 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
+def _indexes(items: DataFrame) -> Iterator[Index]:
+    wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    yield from map(Index, _blocks(wanted.where("text is not null and item_id is not null").orderBy("item_id", "text")))
+
+
+def _searched(index: Index, texts: list[str | None], limits: tuple[float, float, float]) -> list[dict]:
+    if index.key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[index.key] = _Bounds(index.most)
+    bounds = _CACHE[index.key]
+    return [_search_text(index, bounds, t, *limits) if t and not t.isspace() else {} for t in texts]
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -217,32 +230,46 @@ def find_leaks(
     ``score``, ``question_overlap``, ``answer_overlap``. No shuffle."""
     spark = docs.sparkSession
     ship_package(spark)
+    limits = (threshold, question_overlap, answer_overlap)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, n_passages int, score double, question_overlap double, answer_overlap double"
-    out = None
-    wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for block in _blocks(wanted.where("text is not null and item_id is not null").orderBy("item_id", "text")):
-        shared = spark.sparkContext.broadcast(Index(block))
+    out = spark.createDataFrame([], schema)
+    for index in _indexes(items):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            if index.key not in _CACHE:
-                _CACHE.clear()
-                _CACHE[index.key] = _Bounds(index.most)
-            bounds = _CACHE[index.key]
             for b in batches:
-                of, found = [], []
-                for k, text in enumerate(b.column(1).to_pylist()):
-                    if text and not text.isspace():
-                        for item, x in _search_text(index, bounds, text, threshold, question_overlap, answer_overlap).items():
-                            of.append(k)
-                            found.append((item, *x))
-                cols = list(zip(*found)) or [[]] * 5
+                found = [(k, item, *x) for k, hits in enumerate(_searched(shared.value, b.column(1).to_pylist(), limits)) for item, x in hits.items()]
+                of, *cols = list(zip(*found)) or [[]] * 6
                 kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
                 arrays = [b.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "n_passages", "score", "question_overlap", "answer_overlap"])
 
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+        out = out.unionByName(rows.mapInArrow(run, schema))
+    return out
+
+
+def without_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    text_col: str = "text",
+    threshold: float = 0.6,
+    question_overlap: float = 0.6,
+    answer_overlap: float = 0.6,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts hold no test item. No shuffle."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    limits = (threshold, question_overlap, answer_overlap)
+    for index in _indexes(items):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits = _searched(shared.value, b.column(b.schema.get_field_index(text_col)).to_pylist(), limits)
+                yield b.filter(pa.array([not x for x in hits], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

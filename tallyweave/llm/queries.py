@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, minhash, pii, quality, secrets, toxicity
+from . import bpe, chat, decontam, linededup, minhash, pii, quality, secrets, toxicity, urlfilter
 from .common import table
 
 
@@ -15,6 +15,11 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), word_tokenizer())
     return out.select(
@@ -37,6 +42,38 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A dated list of unwanted domains.
+LIST_ENTRIES = (
+    ("spam", "spam-farm.example.org", "2024-01-10", "add"),
+    ("spam", "casino-win.example.net", "2024-02-01", "add"),
+    ("spam", "casino-win.example.net", "2024-08-01", "remove"),
+    ("spam", "free-bets.example.net", "2024-03-05", "add"),
+    ("pharma", "cheap-pills.example.net", "2024-01-01", "add"),
+    ("adult", "adult-x.example.com", "2024-04-15", "add"),
+    ("ads", "ads-track.example.com", "2024-05-20", "add"),
+    ("ads", "ads-track.example.com", "2024-06-20", "remove"),
+    ("ads", "ads-track.example.com", "2024-09-20", "add"),
+)
+
+
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` has neither fetch dates nor lists: page ``p`` counts as fetched on day ``p % 366`` of 2024, and
+    beside the fixed list a feed is derived from the hosts themselves, about one in twelve of them being listed
+    for ninety days, so that the list grows with the captures."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")))
+    fixed = spark.createDataFrame(list(LIST_ENTRIES), "list string, domain string, at string, action string")
+    hosts = captures.select(urlfilter.host_of(F.col("url")).alias("domain")).where("domain is not null").distinct()
+    code = lambda at: F.conv(F.substring(F.md5("domain"), at, 4), 16, 10).cast("int")
+    hosts = hosts.where(code(1) % 12 == 0).withColumn("from", code(5) % 300)
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n).alias("at")
+    feed = hosts.select(F.lit("feed").alias("list"), "domain", day(F.col("from")), F.lit("add").alias("action")).unionByName(
+        hosts.select(F.lit("feed").alias("list"), "domain", day(F.col("from") + 90), F.lit("remove").alias("action"))
+    )
+    entries = fixed.withColumn("at", F.col("at").cast("date")).unionByName(feed)
+    return urlfilter.evaluate(captures, entries)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -98,8 +135,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_linededup": op1_linededup,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op4_urlfilter": op4_urlfilter,
     "op5_chat": op5_chat,
     "op6_decontam": op6_decontam,
     "op7_toxicity": op7_toxicity,
