@@ -2,10 +2,11 @@
 
 The inverted index holds the test items (long ones in segments), with impacts divided by the item's own score, so
 a score is the share of an item's BM25 mass that a passage holds and the threshold is one for all items. Each
-passage is a query: block-max WAND retrieves all items at or above the threshold. A passage whose terms' highest
-impacts together stay under the threshold has no pivot, so WAND ends before it begins; that test is done for all
-passages of a text at once over prefix sums. Retrieved items are then verified: word pairs of the item's question
-and the words of its answer (its last sentence) must be found in the passage.
+passage is a query: block-max WAND retrieves all items at or above the threshold. Terms are split as MaxScore does:
+the common ones together can give no item more than half the threshold, so an item's bound for a passage is what
+the passage's other terms give it and all that common terms could add. These bounds are taken for all passages of a
+text at once; where none reaches the threshold, the query is over. Retrieved items are then verified: word pairs of
+the item's question and the words of its answer (its last sentence) must be found in the passage.
 
 Passages are windows of two segment lengths every segment length, so that every stretch as long as a segment lies
 whole in one of them. The index is broadcast: its size is that of the test items, which are read in blocks of at
@@ -33,6 +34,8 @@ from ..session import ship_package
 K1, B = 1.2, 0.75
 SEGMENT_WORDS = 128
 BLOCK_POSTINGS = 64
+#: Threshold that the split into common and other terms is made for; a lower one only prunes less.
+SPLIT_AT = 0.6
 INDEX_CHARS = 32_000_000
 CACHE_ENTRIES = 300_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -88,6 +91,41 @@ class Index:
                 postings[t].append((k, x / own))
         self.blocks = {t: [(p[i : i + BLOCK_POSTINGS], p[min(i + BLOCK_POSTINGS, len(p)) - 1][0], max(x for _, x in p[i : i + BLOCK_POSTINGS])) for i in range(0, len(p), BLOCK_POSTINGS)] for t, p in postings.items()}
         self.most = {t: max(b[2] for b in bs) for t, bs in self.blocks.items()}
+        self._split(postings, n)
+
+    def _split(self, postings: dict[str, list[tuple[int, float]]], n: int) -> None:
+        """Common terms, by falling frequency as far as half of ``SPLIT_AT`` allows, and the arrays of all others."""
+        self.common = np.zeros(n)
+        rare: list[str] = []
+        for t in sorted(postings, key=lambda t: (-len(postings[t]), t)):
+            if not rare:
+                more = self.common.copy()
+                for k, x in postings[t]:
+                    more[k] += x
+                if more.max(initial=0.0) <= SPLIT_AT / 2:
+                    self.common = more
+                    continue
+            rare.append(t)
+        self.rare = {t: k for k, t in enumerate(rare)}
+        self.starts = np.cumsum([0, *(len(postings[t]) for t in rare)])
+        flat = [p for t in rare for p in postings[t]]
+        self.units = np.array([k for k, _ in flat], np.int64)
+        self.impacts = np.array([x for _, x in flat])
+
+    def hopeful(self, ids: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages, of a text given as rare-term ids (-1 for other words), in which some item's bound reaches the threshold."""
+        at = np.flatnonzero(ids >= 0)
+        if not len(at):
+            return np.arange(0 if self.common.max(initial=0.0) < threshold else -(-len(ids) // self.span))
+        first, count = self.starts[ids[at]], self.starts[ids[at] + 1] - self.starts[ids[at]]
+        place = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+        unit, impact, cell = self.units[place], self.impacts[place], np.repeat(at // self.span, count)
+        n = len(self.common)
+        # a passage is its own cell and the next
+        keys, which = np.unique(np.concatenate([cell * n + unit, (cell - 1) * n + unit]), return_inverse=True)
+        bound = np.bincount(which, np.concatenate([impact, impact])) + self.common[keys % n]
+        found = np.unique(keys[bound >= threshold - 1e-6] // n)
+        return found[found >= 0]
 
     def search(self, query: set[str], threshold: float) -> list[tuple[int, float]]:
         """(unit, score) of all units that reach the threshold, by block-max WAND."""
@@ -153,15 +191,15 @@ class Index:
         return question, (len(answer & set(passage)) / len(answer) if answer else 1.0)
 
 
-class _Bounds(dict):
-    """Bounded cache: the highest impact of a piece's term."""
+class _Ids(dict):
+    """Bounded cache: the rare-term id of a piece, or -1."""
 
-    def __init__(self, most: dict[str, float]) -> None:
+    def __init__(self, rare: dict[str, int]) -> None:
         super().__init__()
-        self.most = most
+        self.rare = rare
 
-    def __missing__(self, piece: str) -> float:
-        value = self.most.get(term(piece), 0.0)
+    def __missing__(self, piece: str) -> int:
+        value = self.rare.get(term(piece), -1)
         if len(piece) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -169,19 +207,17 @@ class _Bounds(dict):
         return value
 
 
-_CACHE: dict[str, _Bounds] = {}
+_CACHE: dict[str, _Ids] = {}
 
 
-def _search_text(index: Index, bounds: _Bounds, text: str, threshold: float, question: float, answer: float) -> dict[int, tuple[int, float, float, float]]:
+def _search_text(index: Index, known: _Ids, text: str, threshold: float, question: float, answer: float) -> dict[int, tuple[int, float, float, float]]:
     """item -> (passages, best score, question overlap, answer overlap) of one text."""
     pieces = text.lower().split()
-    width, step = 2 * index.span, index.span
-    total = np.cumsum(np.fromiter(map(bounds.__getitem__, pieces), np.float64, len(pieces)))
-    starts = np.arange(0, max(1, len(pieces) - step), step)
-    upper = total[np.minimum(starts + width, len(pieces)) - 1] - np.where(starts > 0, total[starts - 1], 0.0)
+    step = index.span
+    ids = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
     out: dict[int, tuple[int, float, float, float]] = {}
-    for at in starts[upper >= threshold - 1e-6].tolist():
-        passage = [t for t in map(term, pieces[at : at + width]) if t]
+    for at in (index.hopeful(ids, threshold) * step).tolist():
+        passage = [t for t in map(term, pieces[at : at + 2 * step]) if t]
         for unit, score in index.search(set(passage), threshold):
             q, a = index.verify(unit, passage)
             if q >= question and a >= answer:
@@ -211,9 +247,9 @@ def _indexes(items: DataFrame) -> Iterator[Index]:
 def _searched(index: Index, texts: list[str | None], limits: tuple[float, float, float]) -> list[dict]:
     if index.key not in _CACHE:
         _CACHE.clear()
-        _CACHE[index.key] = _Bounds(index.most)
-    bounds = _CACHE[index.key]
-    return [_search_text(index, bounds, t, *limits) if t and not t.isspace() else {} for t in texts]
+        _CACHE[index.key] = _Ids(index.rare)
+    known = _CACHE[index.key]
+    return [_search_text(index, known, t, *limits) if t and not t.isspace() else {} for t in texts]
 
 
 def find_leaks(
