@@ -387,3 +387,24 @@ ORACLES |= {
         f"{_BUDGET}, a AS (SELECT coalesce(nullif(trim(category_final), ''), '미분류') AS category, {WHOLE.format('sum(-amount)')} AS actual FROM ({CONSUMED}) WHERE month = '1997-05' GROUP BY 1)",
     ),
 }
+
+# every item folds by itself, so the fold is a recursion per item; format rounds the exact binary value, as the fold does
+_FORECAST = """rates(scenario, fin, est) AS (VALUES ('bear', -0.02, 0.0), ('base', 0.04, 0.02), ('bull', 0.08, 0.03)),
+start AS (SELECT c_mktsegment AS item, c_mktsegment = 'BUILDING' AS estate, CAST(sum(CAST(greatest(c_acctbal, 0) AS DECIMAL(18,2))) AS DOUBLE) AS v FROM customer GROUP BY 1),
+items AS (SELECT scenario, item, CASE WHEN estate THEN est ELSE fin END::DOUBLE AS r, v, 0.0::DOUBLE AS plus, true AS own FROM start, rates
+  UNION ALL SELECT scenario, 'savings', fin, 0.0, 1500.0, true FROM rates UNION ALL SELECT scenario, 'mortgage', 0.035 + 0.005, 80000.0, 0.0, false FROM rates UNION ALL SELECT scenario, 'card', 0.0, 1200.0, 0.0, false FROM rates),
+fold(scenario, item, own, r, plus, k, d, v) AS (SELECT scenario, item, own, r, plus, 0, DATE '2024-01-31', v FROM items
+  UNION ALL SELECT scenario, item, own, r, plus, k + 1, CAST(d + INTERVAL 1 MONTH AS DATE), CAST(format('{:.2f}', CAST(format('{:.2f}', v * (1.0 + r / 12.0)) AS DOUBLE) + plus) AS DOUBLE) FROM fold WHERE k < 120),
+points AS (SELECT scenario, strftime(d, '%Y-%m-%d') AS date, round(sum(v) FILTER (own), 2) AS total_assets, round(sum(v) FILTER (NOT own), 2) AS total_liabilities,
+  round(round(sum(v) FILTER (own), 2) - round(sum(v) FILTER (NOT own), 2), 2) AS net_worth, 0 AS events FROM fold GROUP BY scenario, d)"""
+ORACLES |= {
+    "forecast": f"WITH RECURSIVE {_FORECAST} SELECT * FROM points",
+    "forecast_summary": (
+        f"WITH RECURSIVE {_FORECAST}, s AS (SELECT scenario, min(date) AS \"start\", max(date) AS \"end\", arg_min(net_worth, date) AS start_net_worth, arg_max(net_worth, date) AS end_net_worth, CAST(sum(events) AS BIGINT) AS events_count, "
+        "min(date) FILTER (net_worth >= 1000000) AS target_reached_at FROM points GROUP BY scenario) SELECT *, CASE WHEN start_net_worth > 0 AND end_net_worth > 0 THEN round(pow(end_net_worth / start_net_worth, 0.1) - 1, 6) END AS cagr FROM s"
+    ),
+    "overview_facts": (
+        "WITH v AS (SELECT count(DISTINCT s_nationkey) AS n FROM supplier) SELECT 'balance' AS block_id, t AS value_type, k AS n, k AS ids FROM (SELECT 'number' AS t, n + 25 + 1 AS k FROM v UNION ALL SELECT 'text', 100 + (25 - n) + 6 + 1 FROM v) "
+        "UNION ALL SELECT 'insurance', 'text', 1, 1"
+    ),
+}
