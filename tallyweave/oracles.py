@@ -331,7 +331,7 @@ ORACLES: dict[str, str] = {
     "tag_rules": q(
         "SELECT row_hash, array_to_string(list_concat(list_concat(list_concat(CASE WHEN m_asia THEN ['asia','far'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN m_big THEN ['big'] ELSE CAST([] AS VARCHAR[]) END), list_concat(CASE WHEN m_mid THEN ['mid'] ELSE CAST([] AS VARCHAR[]) END, "
         "CASE WHEN m_urgent THEN ['urgent'] ELSE CAST([] AS VARCHAR[]) END)), list_concat(CASE WHEN m_any THEN ['any'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN m_income THEN ['income'] ELSE CAST([] AS VARCHAR[]) END)), ',') AS tags, "
-        "c AS category_rule, coalesce(c, nullif(trim(minor_raw), ''), nullif(trim(major_raw), ''), '미분류') AS category_final, CAST(CASE WHEN hit THEN 1.0 ELSE 0.0 END AS DOUBLE) AS confidence, CASE WHEN hit THEN 0 ELSE 1 END AS needs_review FROM "
+        "c AS category_rule, coalesce(c, nullif(trim(minor_raw), ''), nullif(trim(major_raw), ''), '미분류') AS category_final, CAST(CASE WHEN hit THEN 1.0 ELSE 0.0 END AS DOUBLE) AS confidence, CAST(CASE WHEN hit THEN 0 ELSE 1 END AS BIGINT) AS needs_review FROM "
         "(SELECT *, CASE WHEN m_asia THEN 'Asia' WHEN m_mid THEN 'Middle' WHEN m_urgent THEN 'Urgent' WHEN m_income THEN 'Income' END AS c, m_asia OR m_big OR m_mid OR m_urgent OR m_any OR m_income AS hit FROM flags)",
         _RULES,
     ),
