@@ -30,6 +30,8 @@ from ..session import ship_package
 SAMPLE_ROWS = 8192
 MAX_FEATURES = 4000
 MIN_DOCUMENTS = 4
+#: Standard deviations that a feature's toxic share must be off by: weaker ones are mostly chance.
+MIN_SURPRISE = 3.0
 CACHE_ENTRIES = 300_000
 # Identity terms by kind, each swapped for the next of its kind.
 IDENTITY_TERMS = {
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         # surprise: how far the toxic share of the documents with the feature is from the overall one
         share = F.lit(toxic / n)
         surprise = F.abs(F.col("pos") - F.col("all") * share) / F.sqrt(F.col("all") * share * (1 - share))
-        picked = seen.where(F.col("all") >= MIN_DOCUMENTS).orderBy(surprise.desc(), "f").limit(MAX_FEATURES).select("f")
+        picked = seen.where((F.col("all") >= MIN_DOCUMENTS) & (surprise >= MIN_SURPRISE)).orderBy(surprise.desc(), "f").limit(MAX_FEATURES).select("f")
         names = sorted({r["f"] for r in picked.collect()} | {"=" + t for t in SWAP})
         at = {f: k for k, f in enumerate(names)}
         known = docs.sparkSession.sparkContext.broadcast(at)

@@ -347,7 +347,7 @@ def test_near_duplicates_equal_all_pairs(spark, words):
 
 def test_large_groups_cross_blocks(spark, monkeypatch):
     """Small limits force every path: branching, anchors, blocks."""
-    for name, value in {"SMALL": 8, "LAST": 32, "ANCHORS": 12, "BLOCK_DOCS": 40}.items():
+    for name, value in {"SMALL": 8, "LARGE": 48, "LAST": 32, "FEW": 4, "ANCHORS": 12, "BLOCK_DOCS": 40}.items():
         monkeypatch.setattr(minhash, name, value)
     rnd = random.Random(13)
     base = prose(rnd, 120)
