@@ -21,12 +21,12 @@ an empty result; columns other than id and text are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -35,10 +35,14 @@ from .components import connected_components
 
 #: Sketch positions, independent trees, children per node and level, levels.
 POSITIONS, TREES, BRANCH, LEVELS = 64, 2, 3, 3
-#: Nodes of so many documents are compared exhaustively; those on the last level are dealt out in blocks of LAST.
-SMALL, LAST, ANCHORS = 256, 2048, 32
+#: Nodes of at most SMALL documents are compared exhaustively. Larger ones are dealt out in blocks of LARGE, on the
+#: last level of LAST. A node of one block is done with if comparison with its anchors leaves at most FEW outside one
+#: cluster.
+SMALL, LARGE, LAST, FEW, ANCHORS = 256, 16384, 2048, 1024, 32
 #: Documents and set elements of a block in which links are confirmed.
 BLOCK_DOCS, BLOCK_ITEMS = 2048, 4_000_000
+#: Bits of the bitmap that picks possible members of clusters (64 MB).
+MAX_BITS = 1 << 29
 CACHE_ENTRIES = 300_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -193,150 +197,201 @@ def _links_batch(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cat(a), cat(b)], names=["a", "b"])
 
 
-def _compare_leaves(rows: DataFrame, least: int, anchors_only: bool = False) -> DataFrame:
-    """Star links of the documents of a node whose sketches agree in ``least`` positions.
+def _visit(rows: DataFrame, least: int, level: int) -> DataFrame:
+    """One level of the trees. Rows: ``key``, ``node``, ``cluster``, ``sketch``, ``small``, ``anchor``, ``own``.
 
-    Members known to be in one cluster are not compared with each other."""
+    Out come star links (``a``, ``b``) of documents whose sketches agree in ``least`` positions, and the children
+    (``key``, ``b`` as node, ``sketch``) of the documents of large nodes. In a small node all members are compared. In a
+    large one all are compared with its anchors first; where that leaves few outside one cluster, as among many copies
+    of one text, these few are compared with all and the node is done. Members known to be in one cluster are not
+    compared with each other."""
+    last = level == LEVELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b, held = [], [], 0
+        links, held = [], 0
         for _, parts in _groups(batches, 1):
             node = _column(parts, "node").to_numpy()
-            if len(node) < 2:
-                continue
-            known = _column(parts, "cluster").to_numpy()
             sk = _sketches(_column(parts, "sketch"))
+            small, whole = (parts[0].column(c)[0].as_py() for c in ("small", "whole"))
             labels = _Labels(len(node))
-            _, labels.of = np.unique(known, return_inverse=True)
-            sizes = np.bincount(labels.of)
-            if len(sizes) == 1:
-                continue
-            if anchors_only:
-                rest = np.flatnonzero(_column(parts, "anchor").to_numpy(zero_copy_only=False))
+            _, labels.of = np.unique(_column(parts, "cluster").to_numpy(), return_inverse=True)
+
+            def compare(rows: np.ndarray, labels=labels, sk=sk) -> None:
+                for i in rows.tolist():
+                    other = np.flatnonzero(labels.of != labels.of[i])
+                    if len(other):
+                        near = other[(sk[other] == sk[i]).sum(axis=1) >= least]
+                        if len(near):
+                            labels.join(i, near)
+
+            if not small:
+                compare(np.flatnonzero(_column(parts, "anchor").to_numpy(zero_copy_only=False)))
+            rest = np.flatnonzero(labels.of != np.bincount(labels.of).argmax())
+            if small or last or whole and len(rest) <= FEW:
+                # all pairs that are not in one cluster already have a member in the rest
+                compare(rest)
             else:
-                rest = np.flatnonzero(labels.of != sizes.argmax())
-            for i in rest.tolist():
-                other = np.flatnonzero(labels.of != labels.of[i])
-                if len(other):
-                    near = other[(sk[other] == sk[i]).sum(axis=1) >= least]
-                    if len(near):
-                        labels.join(i, near)
-            a, b = labels.stars(node)
-            out_a.append(a), out_b.append(b)
-            held += len(a)
+                mine = np.flatnonzero(_column(parts, "own").to_numpy(zero_copy_only=False))
+                yield from _children(_column(parts, "parent").to_numpy()[mine], node[mine], sk[mine], level)
+            links.append(labels.stars(node))
+            held += len(links[-1][0])
             if held > 50_000:
-                yield _links_batch(out_a, out_b)
-                out_a, out_b, held = [], [], 0
-        yield _links_batch(out_a, out_b)
+                yield _links_out(links)
+                links, held = [], 0
+        yield _links_out(links)
 
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key")
-    cols = ["key", "node", "cluster", "sketch", *(["anchor"] if anchors_only else [])]
-    return dealt.select(*cols).mapInArrow(run, "a bigint, b bigint")
+    cols = ("key", "parent", "node", "cluster", "sketch", "small", "whole", "anchor", "own")
+    dealt = rows.select(*cols).repartition(F.col("key")).sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a bigint, b bigint, key bigint, sketch binary")
 
 
-def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """Each row of (key, node, sketch) to its children by the positions that the node selects."""
+def _links_out(links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    b = _links_batch([x for x, _ in links], [x for _, x in links])
+    return pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())], names=["a", "b", "key", "sketch"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, node, sk = b.column(0).to_numpy().astype(np.uint64), b.column(1), _sketches(b.column(2))
-            chosen = {k: _positions(k, level) for k in np.unique(key).tolist()}
-            at = np.array([chosen[k] for k in key.tolist()])
-            keys = np.concatenate([_child_rows(key, at[:, c], sk) for c in range(BRANCH)]).astype(np.int64)
-            again = lambda x: pa.concat_arrays([x] * BRANCH)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), again(node), again(b.column(2))], names=["key", "node", "sketch"])
-
-    return rows.select("key", "node", "sketch").mapInArrow(run, "key bigint, node bigint, sketch binary")
 
+def _children(parent: np.ndarray, node: np.ndarray, sk: np.ndarray, level: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the children of one node, by the positions that it selects; their names come from its name."""
+    if not len(node):
+        return
+    base = parent.astype(np.uint64)
+    flat = pa.array([x.tobytes() for x in sk], pa.binary())
+    for position in _positions(int(parent[0]), level):
+        key = _mix((base ^ _mix(sk[:, position].astype(np.uint64) * _ODD)) * _ODD + np.uint64(position))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.array(node), pa.array(key.astype(np.int64)), flat], names=["a", "b", "key", "sketch"])
 
-def _child_rows(key: np.ndarray, position: np.ndarray, sk: np.ndarray) -> np.ndarray:
-    token = sk[np.arange(len(sk)), position].astype(np.uint64)
-    return _mix((key ^ _mix(token * _ODD)) * _ODD + position.astype(np.uint64))
 
-
-def _dealt(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of a node of ``n`` members in blocks of about ``size`` members, with about ANCHORS members in each block."""
-    blocks = F.ceil(F.col("n") / size)
+def _dealt(rows: DataFrame, size: int, block: int) -> DataFrame:
+    """Rows of nodes with ``n`` members. One over ``size`` is dealt out in blocks of about ``block`` members, each of
+    which also gets about ANCHORS members of the whole node."""
+    small = F.col("n") <= size
+    blocks = F.when(small, F.lit(1).cast("bigint")).otherwise(F.ceil(F.col("n") / block))
     chance = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    own = F.pmod(F.xxhash64(F.col("node"), F.lit(11)), blocks)
-    rows = rows.withColumn("anchor", chance < ANCHORS / F.col("n"))
-    to = F.when(F.col("anchor"), F.sequence(F.lit(0).cast("bigint"), blocks - 1)).otherwise(F.array(own))
-    return rows.withColumn("block", F.explode(to)).withColumn("key", F.when(blocks > 1, F.xxhash64("key", "block")).otherwise(F.col("key")))
+    home = F.pmod(F.xxhash64(F.col("node"), F.col("key")), blocks)  # other neighbours in every node
+    rows = rows.withColumns({"small": small, "whole": blocks == 1, "anchor": ~small & (chance < ANCHORS / F.col("n")), "home": home, "parent": F.col("key")})
+    to = F.when(F.col("anchor"), F.sequence(F.lit(0).cast("bigint"), blocks - 1)).otherwise(F.array("home"))
+    rows = rows.withColumn("block", F.explode(to))
+    return rows.withColumns({"own": F.col("block") == F.col("home"), "key": F.when(blocks > 1, F.xxhash64("key", "block")).otherwise(F.col("key"))})
 
 
 def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
     """Star links between nodes that the trees find alike by their sketches."""
     least = _least_matches(similarity)
-    rows = reps.select(F.explode("keys").alias("key"), "node", "sketch")
-    clusters: DataFrame | None = None
+    rows = reps.select(F.explode("keys").alias("key"), "node", "sketch", F.col("node").alias("cluster"))
     links: DataFrame | None = None
     for level in range(1, LEVELS + 1):
-        if clusters is not None:
-            rows = rows.join(clusters, "node", "left").withColumn("cluster", F.coalesce("root", "node")).drop("root")
-            mixed = F.min("cluster") < F.max("cluster")
-        else:
-            rows = rows.withColumn("cluster", F.col("node"))
-            mixed = F.lit(True)
-        counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.first(F.lit(1)).alias("one"), mixed.alias("mixed"))
+        size, block = (LAST, LAST) if level == LEVELS else (SMALL, LARGE)
+        # a node whose members are one cluster already has nothing more to find
+        counts = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("cluster") < F.max("cluster")).alias("mixed"))
         counts, _ = materialise(counts.where("n > 1 and mixed").select("key", "n"), "nodes")
-        last = level == LEVELS
-        size = LAST if last else SMALL
-        found = _compare_leaves(rows.join(counts.where(F.col("n") <= size), "key"), least)
-        big = rows.join(counts.where(F.col("n") > size), "key")
-        if last:
-            found = found.union(_compare_leaves(_dealt(big, size), least))
-        else:
-            found = found.union(_compare_leaves(_dealt(big, size), least, anchors_only=True))
-        found, _ = materialise(found.distinct(), "found")
+        visited = _visit(_dealt(rows.join(counts.hint("merge"), "key"), size, block), least, level)
+        visited, _ = materialise(visited, "visited")
+        found = visited.where("key is null").select("a", "b")
         links = found if links is None else links.union(found)
-        if last or counts.where(F.col("n") > size).isEmpty():
+        if level == LEVELS or counts.where(F.col("n") > size).isEmpty():
             break
-        clusters = connected_components(links)
-        rows, _ = materialise(_branch(big, level), "branches")
+        # the smallest centre that a node hangs on: nodes with one centre are connected
+        centre = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("centre")).hint("merge")
+        rows = visited.where("key is not null").select("key", F.col("b").alias("node"), "sketch").join(centre, "node", "left")
+        rows = rows.select("key", "node", "sketch", F.coalesce("centre", "node").alias("cluster"))
+        rows, _ = materialise(rows, "branches")
     return links
 
 
+def _member_bits(members: DataFrame) -> tuple[bytes, Callable[[Column], Column]]:
+    """A bitmap of the members' hashes, and the bit of a node in it.
+
+    Sixteen bits a member, at most MAX_BITS: beyond that it lets more other documents pass to the join that
+    decides, and loses none."""
+    n = members.count()
+    size = min(MAX_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    member = lambda node: F.pmod(F.xxhash64(node), F.lit(size))
+    at = member(F.col("node")) + 1
+    rows = members.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = bytearray(size // 8)
+    for r in rows.toLocalIterator():
+        start = (r["bucket"] - 1) * 4096
+        out[start : start + 4096] = r["bits"][: len(out) - start]
+    return bytes(out), member
+
+
 def confirm(texts: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Star links of the pairs inside each cluster whose full sets reach the similarity.
+    """``node`` and ``root`` over the pairs inside each cluster whose full sets reach the similarity.
 
-    ``members``: ``node``, ``cluster``, ``n_shingles``; ``texts``: ``node``, ``text``."""
-    least = _least_matches(similarity)
-    share = round(similarity * 100)
+    ``members``: ``node``, ``cluster``, ``n_shingles``; ``texts``: ``node``, ``text``. A cluster of more than one block
+    is confirmed in two passes: first each block with the cluster's anchors; then every document that is outside the
+    cluster's largest component by then against all blocks, so that no link between blocks is lost."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("items"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("items") / BLOCK_ITEMS))
-    sized = members.join(sizes.select("cluster", "docs", blocks.alias("blocks")), "cluster")
-    chance = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.lit(1_000_000)) / 1_000_000
+    sized = members.join(sizes.select("cluster", "docs", blocks.alias("blocks")).hint("merge"), "cluster")
     own = F.pmod(F.xxhash64(F.col("node"), F.lit(11)), F.col("blocks"))
+    sized, _ = materialise(sized.withColumn("block", own), "members")
+    chance = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.lit(1_000_000)) / 1_000_000
     anchor = (F.col("blocks") > 1) & (chance < ANCHORS / F.col("docs"))
-    to = F.when(anchor, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(own))
+    everywhere = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    first = sized.select("node", "cluster", F.explode(F.when(anchor, everywhere).otherwise(F.array("block"))).alias("block"))
+    first = first.select("node", "cluster", "block", F.col("node").alias("component"), F.lit(True).alias("ask"))
+    links = _confirmed(texts, first, sized, words, similarity)
+    found = connected_components(links)
+    large = sized.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    state = large.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("root", "node"))
+    state, _ = materialise(state.select("node", "cluster", "blocks", "block", "component"), "components")
+    counts = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    main = main.where("rest > 0").withColumn("parts", F.ceil(F.col("rest") / BLOCK_DOCS))
+    state = state.join(main.hint("merge"), "cluster")
+    part = F.pmod(F.xxhash64(F.col("node"), F.lit(13)), F.col("parts"))
+    pair = lambda block, part: F.xxhash64(block, part)
+    # a task holds one block and one part of the rest
+    asked = state.where("component <> main").select("node", "cluster", F.explode(everywhere).alias("b"), part.alias("p"), "component", F.lit(True).alias("ask"))
+    others = state.select("node", "cluster", F.col("block").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"), "component", F.lit(False).alias("ask"))
+    second = asked.unionByName(others).select("node", "cluster", pair(F.col("b"), F.col("p")).alias("block"), "component", "ask")
+    return connected_components(links.unionByName(_confirmed(texts, second, large, words, similarity)))
+
+
+def _confirmed(texts: DataFrame, placed: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Star links found in each block of ``placed`` (``node``, ``cluster``, ``block``, ``component``, ``ask``).
+
+    The texts themselves are never dealt out: a bitmap of bounded size picks those that may be members, and the sets
+    of these are joined."""
+    spark = placed.sparkSession
+    least = _least_matches(similarity)
+    share = round(similarity * 100)
+    bits, member = _member_bits(members)
+    bitmap = spark.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bitmap.value, np.uint8)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            at = whole.column("at").to_numpy()
+            hits = whole.filter(pa.array((known[at >> 3] >> (at & 7)) & 1 == 1))
+            for k in range(0, hits.num_rows, 256):
+                b = hits.slice(k, 256)
                 found = [shingles(t, words).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("to"), b.column("node"), pa.array(found, pa.binary())], names=["cluster", "to", "node", "items"])
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], names=["node", "items"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _groups(batches, 2):
-            node = _column(parts, "node").to_numpy()
             items = [np.frombuffer(x, np.uint64) for x in _column(parts, "items").to_pylist()]
-            a, b = _exact_links(node, items, least, share)
+            node, component = (_column(parts, c).to_numpy() for c in ("node", "component"))
+            ask = _column(parts, "ask").to_numpy(zero_copy_only=False)
+            a, b = _exact_links(node, component, ask, items, least, share)
             if len(a):
                 yield _links_batch([a], [b])
 
-    placed = sized.select("node", "cluster", to.alias("to"))
-    with_text = placed.join(texts, "node").select("cluster", "to", "node", "text")
-    placed = with_text.mapInArrow(sets, "cluster bigint, to array<bigint>, node bigint, items binary")
-    placed = placed.select("cluster", F.explode("to").alias("block"), "node", "items")
-    dealt = placed.repartition(F.col("cluster"), F.col("block")).sortWithinPartitions("cluster", "block")
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    maybe = texts.where("node is not null").select("node", member(F.col("node")).alias("at"), "text")
+    with_items = maybe.mapInArrow(sets, "node bigint, items binary")
+    joined = placed.join(with_items.hint("merge"), "node").select("cluster", "block", "node", "component", "ask", "items")
+    dealt = joined.repartition(F.col("cluster"), F.col("block")).sortWithinPartitions("cluster", "block")
+    links, _ = materialise(dealt.mapInArrow(compare, "a bigint, b bigint"), "confirmed")
+    return links
 
 
-def _exact_links(node: np.ndarray, items: list[np.ndarray], least: int, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links of one block: sketches choose, full sets decide; pairs already connected are not looked at."""
+def _exact_links(node: np.ndarray, component: np.ndarray, ask: np.ndarray, items: list[np.ndarray], least: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links of one block: sketches choose, full sets decide. Pairs in one component are not looked at, nor are
+    pairs of which neither is asked for."""
     n = len(node)
     size = np.array([len(x) for x in items])
     sk = np.stack([(minwise(x) & np.uint64(0xFFFF)).astype(np.uint16) for x in items])
@@ -344,12 +399,11 @@ def _exact_links(node: np.ndarray, items: list[np.ndarray], least: int, share: i
     _, flat = np.unique(np.concatenate(items), return_inverse=True)
     mark = np.zeros(int(flat.max()) + 1, bool)
     labels = _Labels(n)
-    for i in range(n - 1):
-        later = np.arange(i + 1, n)
-        other = later[labels.of[i + 1 :] != labels.of[i]]
-        if not len(other):
-            continue
-        other = other[(sk[other] == sk[i]).sum(axis=1) >= least]
+    _, labels.of = np.unique(component, return_inverse=True)
+    for i in np.flatnonzero(ask).tolist():
+        other = np.flatnonzero(labels.of != labels.of[i])
+        if len(other):
+            other = other[(sk[other] == sk[i]).sum(axis=1) >= least]
         if not len(other):
             continue
         mine = flat[starts[i] : starts[i] + size[i]]
@@ -362,11 +416,6 @@ def _exact_links(node: np.ndarray, items: list[np.ndarray], least: int, share: i
         near = other[100 * both >= share * (size[other] + size[i] - both)]
         if len(near):
             labels.join(i, near)
-    same = np.unique(node)
-    if len(same) < n:  # rows that share an id are one document
-        for k in same[np.unique(node, return_counts=True)[1] > 1].tolist():
-            at = np.flatnonzero(node == k)
-            labels.join(int(at[0]), at[1:])
     return labels.stars(node)
 
 
@@ -385,13 +434,11 @@ def near_duplicates(
     reps = full.groupBy("address", "n_shingles", "sketch", "keys").agg(F.min(F.col("doc_id").cast("bigint")).alias("node"))
     reps, _ = materialise(reps, "sets")
     clusters = connected_components(candidate_links(reps, similarity))
-    members = clusters.withColumnRenamed("root", "cluster").join(reps.select("node", "n_shingles"), "node")
+    members = clusters.withColumnRenamed("root", "cluster").join(reps.select("node", "n_shingles").hint("merge"), "node")
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text"))
-    links, _ = materialise(confirm(texts, members, words, similarity), "confirmed")
-    # documents of one id and several sets are one node already: each set's smallest id
-    roots = connected_components(links)
-    of_set = reps.select("address", "node").join(roots, "node", "left").select("address", F.coalesce("root", "node").alias("root"))
-    out = table.join(of_set, "address", "left")
+    roots = confirm(texts, members, words, similarity)
+    of_set = reps.select("address", "node").join(roots.hint("merge"), "node", "left").select("address", F.coalesce("root", "node").alias("root"))
+    out = table.join(of_set.hint("merge"), "address", "left")
     component = F.when(F.col("address").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
