@@ -38,7 +38,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct().hint("merge")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").select(*docs.columns)
 
 
