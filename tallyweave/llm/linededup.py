@@ -7,8 +7,9 @@ deeper and is compared with the leader there, for ``ROUNDS`` levels. A template
 recurs: its lines are dropped everywhere but in the document with the smallest id that has it, so one copy stays.
 
 Agreement is taken over at most ``PROBES`` evenly spaced tokens, each as a byte of its hash, so that lines of up
-to that many tokens are compared whole and no line text is shuffled. Lines under ``min_tokens`` tokens are never
-dropped; lines of fewer than ``long_tokens`` tokens must occur ``short_count`` times, as chance repeats them.
+to that many tokens are compared whole and no line text is shuffled. Lines more than half of whose tokens are variable
+are never dropped, nor are lines under ``min_tokens`` tokens;
+lines of fewer than ``long_tokens`` tokens must occur ``short_count`` times, as chance repeats them.
 
 Defined cases: a null text stays null and has no lines; a null doc_id is passed through as it is; rows that share a
 doc_id are one document; a text without recurring lines comes back unchanged, byte for byte; an empty table gives
@@ -26,13 +27,23 @@ LEADING, ROUNDS, PROBES = 3, 4, 32
 _VARIABLE = rf"(?<![^{WS}])[^0-9{WS}]*+[0-9][^{WS}]*+"
 
 
+def _tokens(line: Column) -> Column:
+    """Tokens of a line, those with digits as wildcards."""
+    plain = F.btrim(line, F.lit(WS_CHARS))
+    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
+    return F.split(masked, f"[{WS}]+")
+
+
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """One row per line of enough tokens: document, line number, leaf, line address, probes, token count."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    plain = F.btrim(F.col("raw"), F.lit(WS_CHARS))
-    tokens = F.split(F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain), f"[{WS}]+")
-    rows = rows.select("doc_id", "line_no", tokens.alias("tokens")).where(F.size("tokens") >= min_tokens)
+    """One row per line of enough tokens: document, line number, leaf, line address, probes, token count.
+
+    Tokens are made inside the generator: a filter on them would otherwise be pushed below and make them again."""
+    split = F.transform(F.split("text", "\n", -1), _tokens)
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(split).alias("line_no", "tokens"))
     n = F.size("tokens")
+    # a line of numbers only has no words that could make it a template
+    variable = F.when(F.array_contains("tokens", "<*>"), F.size(F.filter("tokens", lambda t: t == "<*>"))).otherwise(0)
+    rows = rows.where((n >= min_tokens) & (2 * variable <= n))
     taken = F.least(n, F.lit(PROBES))
 
     def probes(t: Column) -> Column:
