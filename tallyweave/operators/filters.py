@@ -196,6 +196,22 @@ class ReportFilters:
         pick = lambda key, kind: tuple(kind(**x) for x in config.get(key) or ())
         return cls(pick("excluded_merchants", MerchantExclusion), pick("excluded_categories", CategoryExclusion), pick("excluded_date_ranges", DateExclusion))
 
+    @classmethod
+    def load(cls, text: str) -> ReportFilters:
+        """From YAML text; patterns that are none and ranges that end before they begin are refused."""
+        import yaml
+
+        found = cls.from_config(yaml.safe_load(text) or {})
+        for m in found.merchants:
+            if m.match_type == "regex":
+                re.compile(m.pattern)
+            elif m.match_type not in ("contains", "exact"):
+                raise ValueError(f"unknown match type {m.match_type!r}")
+        for d in found.dates:
+            if d.end < d.start:
+                raise ValueError(f"{d.start}..{d.end}: the range ends before it begins")
+        return found
+
     def matches(self) -> Column:
         return reduce(lambda a, b: a | b, [r.column() for r in self.rules], F.lit(False))
 

@@ -89,6 +89,16 @@ class Rule:
         return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
+def load_rules(text: str) -> list[Rule]:
+    """Rules of a YAML document, in order of priority; a document with problems is refused with all of them."""
+    import yaml
+
+    config = yaml.safe_load(text) or {}
+    if problems := validate(config):
+        raise ValueError("; ".join(problems))
+    return ordered(Rule.from_config(c) for c in config["rules"])
+
+
 def ordered(rules: Iterable[Rule]) -> list[Rule]:
     """Enabled rules by falling priority, in their own order among equals."""
     return sorted((r for r in rules if r.enabled), key=lambda r: -r.priority)

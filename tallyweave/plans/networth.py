@@ -122,6 +122,23 @@ class Assumptions:
     events: tuple[Event, ...] = ()
 
 
+def assumptions_from_config(config: Mapping) -> Assumptions:
+    """From a parsed scenarios document: ``assumptions`` and ``lifecycle_events`` of the three kinds."""
+    a = config.get("assumptions") or {}
+    events = []
+    for e in config.get("lifecycle_events") or ():
+        if "one_time_expense" in e:
+            events.append(Event(e["name"], "expense", e["one_time_expense"], date=str(e["date"])))
+        elif "monthly_net_expense" in e:
+            events.append(Event(e["name"], "monthly", e["monthly_net_expense"], start=str(e["start"]), end=str(e["end"]) if e.get("end") else None))
+        elif "remove" in e and "add" in e:
+            to = e["add"]
+            events.append(Event(e["name"], "swap", date=str(e["date"]), remove=e["remove"], add_name=to["name"], add_category=to["category"], add_value=to["value"]))
+        else:
+            raise ValueError(f"{e.get('name', 'unnamed')}: an event of no known kind")
+    return Assumptions(a.get("default_savings_per_month", 0), a.get("asset_returns") or {}, a.get("liability_rate_delta", 0.0), tuple(events))
+
+
 def add_month(d: dt.date) -> dt.date:
     """The same day a month later, or that month's last day. Repeated steps keep a day that has been cut."""
     year, month = (d.year + 1, 1) if d.month == 12 else (d.year, d.month + 1)

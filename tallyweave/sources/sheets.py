@@ -56,6 +56,13 @@ def find_sheet(cells: DataFrame, names: Sequence[str]) -> str | None:
     return found["sheet"] if found else None
 
 
+def inspect(cells: DataFrame) -> DataFrame:
+    """Per sheet its extent and the section titles found; no other cell text leaves the sheet."""
+    title = F.when(norm(F.col("value")).isin(*SECTIONS), norm(F.col("value")))
+    out = cells.groupBy("sheet").agg(F.max("row").alias("rows"), F.max("col").alias("cols"), F.count("*").alias("cells"), F.array_sort(F.collect_set(title)).alias("anchors"))
+    return out.orderBy("sheet")
+
+
 def sections(cells: DataFrame) -> DataFrame:
     """Cells with the block of the last section anchor at or above their row."""
     anchors = cells.where(norm(F.col("value")).isin(*SECTIONS)).select("sheet", "row", norm(F.col("value")).alias("title"))

@@ -190,6 +190,28 @@ def test_rules(spark):
     assert edited.category_final == "Own" and edited.tags_final == ["h", "c", "n", "x"] and edited.notes_manual == "n"
 
 
+def test_documents_are_loaded_or_refused():
+    found = R.load_rules("rules:\n- {name: a, match: x, tags: [t], priority: 10}\n- {name: b, match: y, category: C, priority: 90}\n- {name: c, match: z, tags: [t], enabled: false}\n")
+    assert [r.name for r in found] == ["b", "a"]
+    with pytest.raises(ValueError, match="neither match nor conditions"):
+        R.load_rules("rules:\n- {name: a, tags: [t]}\n")
+    f = P.ReportFilters.load("excluded_merchants:\n- {pattern: x, match_type: regex, reason: r}\nexcluded_categories:\n- {name: c, reason: r}\n")
+    assert len(f.rules) == 2
+    for bad in ("excluded_merchants:\n- {pattern: x, match_type: like}\n", "excluded_date_ranges:\n- {start: '2024-02-01', end: '2024-01-01'}\n"):
+        with pytest.raises(ValueError):
+            P.ReportFilters.load(bad)
+    a = networth.assumptions_from_config({"assumptions": {"default_savings_per_month": 5}, "lifecycle_events": [{"name": "x", "one_time_expense": 3, "date": "2024-01-01"}, {"name": "y", "monthly_net_expense": 1, "start": "2024-01-01"}]})
+    assert a.savings_per_month == 5 and [e.kind for e in a.events] == ["expense", "monthly"]
+    with pytest.raises(ValueError):
+        networth.assumptions_from_config({"lifecycle_events": [{"name": "x"}]})
+
+
+def test_pivot_other_bucket(spark):
+    rows = [dict(account=a, amount=-x, category_final=c) for a, x, c in (("A", 5.0, "x"), ("A", 3.0, "y"), ("B", 2.0, "z"), ("B", 1.0, " "), ("B", 4.0, "x"))]
+    out = templates.pivot(transactions_source(ledger(spark, *rows)), row="account", top_n_cols=2)
+    assert out.columns == ["account", "x", "y", "_other_"] and [tuple(r) for r in out.collect()] == [("A", 5.0, 3.0, 0.0), ("B", 4.0, 0.0, 3.0)]
+
+
 def test_rule_validation():
     bad = R.validate({"rules": [{"name": "a", "conditions": [{"field": "amout", "op": "less_then", "value": 1}], "tags": ["x"]}, {"match": "x", "priority": 200}, {"name": "b", "conditions": [{"field": "amount", "op": "between", "value": [1]}], "tags": ["x"]}]})
     text = "\n".join(bad)
@@ -373,6 +395,8 @@ def test_sheets(spark):
     r = sheets.structured(df, "insurance", "2024-02-29", "f").collect()
     assert [(x.institution, x.policy_name, x.paid_amount, x.contract_date) for x in r] == [("A사", "암보험", 50000.0, "2020-01-02")]
     assert sheets.facts(df, "2024-02-29", "f").select("fact_id").distinct().count() == sheets.facts(df, "2024-02-29", "f").count()
+    seen = sheets.inspect(df).first()
+    assert (seen.rows, seen.cells, seen.anchors) == (17, len(cells), ["보험현황", "현금흐름현황"])
     assert sheets.find_sheet(df, ["s"]) == "s" and sheets.find_sheet(df, ["none"]) is None
 
 
