@@ -65,6 +65,37 @@ def _repeated_words(words: Column, window: int) -> Column:
     return F.coalesce(let(hashes, lambda h: F.when(h.isNotNull(), counted(h))), F.lit(0))
 
 
+def _class_counts(text: Column) -> Column:
+    """Struct of the characters per class (``counts``, the last bin for the rest) and the symbols (``symbols``).
+
+    Each class is counted on what the classes before it have left, so only the first pass reads the whole text."""
+    symbols = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"[#*$%&|<>]+", ""))
+
+    def count(rest: Column, k: int, found: list[Column], marks: Column) -> Column:
+        if k == len(CHAR_CLASSES):
+            return F.struct(F.array(*[c.cast("double") for c in (*found, F.length(rest))]).alias("counts"), marks.alias("symbols"))
+        less = F.regexp_replace(rest, f"[{CHAR_CLASSES[k]}]+", "")
+        # the first class holds no symbol, so they can be counted on what it leaves
+        return let(less, lambda x: count(x, k + 1, [*found, F.length(rest) - F.length(x)], marks if k else symbols(x)))
+
+    return count(text, 0, [], F.lit(0))
+
+
+def _common_counts(words: Column, listed: Column) -> Column:
+    """How often each listed word occurs, and all other words. Listed words become letters of one string: counting a
+    letter by its removal is much cheaper than filtering an array for each."""
+    letters = "".join(map(chr, range(65, 65 + N_COMMON)))
+    short = F.filter(words, lambda w: F.octet_length(w) <= 5)
+    codes = F.array_join(F.transform(short, lambda w: F.substring(F.lit(letters), F.nullif(F.array_position(listed, F.lower(w)), F.lit(0)).cast("int"), F.lit(1))), "")
+    return let(
+        codes,
+        lambda c: F.array(
+            *[(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double") for x in letters],
+            (F.size(words) - F.length(c)).cast("double"),
+        ),
+    )
+
+
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: base counts, ``chars`` and ``common`` histograms. One scan, no shuffle."""
     text, lang = F.coalesce(F.col("text"), F.lit("")), F.col("lang")
@@ -72,30 +103,18 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for name, found in COMMON_WORDS.items():
         lists = F.when(lang == name, F.array(*map(F.lit, found))).otherwise(lists)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    base = base.withColumns({"words": words_of(F.col("text")), "listed": lists})
+    base = base.withColumns({"words": words_of(F.col("text")), "listed": lists, "classes": _class_counts(text)})
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
-    size_without = lambda body: F.length(F.regexp_replace(text, f"[{body}]+", ""))
-    classes = [F.length(text) - size_without(c) for c in CHAR_CLASSES]
-    short = F.filter(F.col("words"), lambda w: F.octet_length(w) <= 5)
-    codes = F.filter(F.transform(short, lambda w: F.array_position(F.col("listed"), F.lower(w))), lambda c: c > 0)
-    words = F.col("words")
-    counts = let(
-        codes,
-        lambda c: F.concat(
-            F.transform(F.sequence(F.lit(1), F.lit(N_COMMON)), lambda k: F.size(F.filter(c, lambda x: x == k)).cast("double")),
-            F.array((F.size(words) - F.size(c)).cast("double")),
-        ),
-    )
     return base.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
+        F.col("classes.symbols").cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         _repeated_words(F.col("words"), 8).cast("long").alias("n_repeat_words"),
-        let(F.array(*[c.cast("double") for c in classes]), lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), F.length(text) - F.aggregate(a, F.lit(0.0), lambda s, v: s + v))))).alias("chars"),
-        F.when(F.col("listed").isNotNull(), counts).alias("common"),
+        F.col("classes.counts").alias("chars"),
+        F.when(F.col("listed").isNotNull(), _common_counts(F.col("words"), F.col("listed"))).alias("common"),
     )
 
 
