@@ -38,9 +38,9 @@ POSITIONS, TREES, BRANCH, LEVELS = 64, 2, 3, 3
 #: Nodes of at most SMALL documents are compared exhaustively. Larger ones are dealt out in blocks of LARGE, on the
 #: last level of LAST. A node of one block is done with if comparison with its anchors leaves at most FEW outside one
 #: cluster.
-SMALL, LARGE, LAST, FEW, ANCHORS = 256, 16384, 2048, 1024, 32
+SMALL, LARGE, LAST, FEW, ANCHORS = 1024, 16384, 2048, 1024, 32
 #: Documents and set elements of a block in which links are confirmed.
-BLOCK_DOCS, BLOCK_ITEMS = 2048, 4_000_000
+BLOCK_DOCS, BLOCK_ITEMS = 4096, 1_000_000
 #: Bits of the bitmap that picks possible members of clusters (64 MB).
 MAX_BITS = 1 << 29
 CACHE_ENTRIES = 300_000
@@ -288,11 +288,12 @@ def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
         visited, _ = materialise(visited, "visited")
         found = visited.where("key is null").select("a", "b")
         links = found if links is None else links.union(found)
-        if level == LEVELS or counts.where(F.col("n") > size).isEmpty():
+        children = visited.where("key is not null")
+        if level == LEVELS or children.isEmpty():
             break
         # the smallest centre that a node hangs on: nodes with one centre are connected
         centre = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("centre")).hint("merge")
-        rows = visited.where("key is not null").select("key", F.col("b").alias("node"), "sketch").join(centre, "node", "left")
+        rows = children.select("key", F.col("b").alias("node"), "sketch").join(centre, "node", "left")
         rows = rows.select("key", "node", "sketch", F.coalesce("centre", "node").alias("cluster"))
         rows, _ = materialise(rows, "branches")
     return links
