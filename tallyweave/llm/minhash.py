@@ -5,7 +5,9 @@ recursively by selected minwise tokens: at each node of a tree a document goes t
 ``BRANCH`` sketch positions, named by its minwise token there. Nodes of at most ``SMALL`` documents are compared
 exhaustively; in a larger one each document is compared with a few anchors, and the node branches on. Independent
 trees repeat this to the target recall: a pair of similarity 0.8 is missed by one tree with probability 0.2 **
-BRANCH, about 0.008, and by both with 0.00006.
+BRANCH, about 0.008, and by both with 0.00006; where all its nodes branch down to the last level, by one with 0.0089 and
+by both with 0.00008. On the last level nothing is left to chance: a node too large for one task is compared
+block against block.
 
 What is compared in the trees are sketches; links are confirmed on full sets afterwards, inside the clusters that
 the sketches leave connected. Identical sets are one node throughout. Clusters too large for one task are dealt
@@ -37,8 +39,9 @@ from .components import connected_components
 POSITIONS, TREES, BRANCH, LEVELS = 64, 2, 3, 3
 #: Nodes of at most SMALL documents are compared exhaustively. Larger ones are dealt out in blocks of LARGE, on the
 #: last level of LAST. A node of one block is done with if comparison with its anchors leaves at most FEW outside one
-#: cluster.
-SMALL, LARGE, LAST, FEW, ANCHORS = 1024, 16384, 2048, 1024, 32
+#: cluster. What is outside the largest cluster of a last node of several blocks is compared with all of it, ACROSS by
+#: ACROSS documents in a task.
+SMALL, LARGE, LAST, FEW, ANCHORS, ACROSS = 1024, 16384, 2048, 1024, 32, 8192
 #: Documents and set elements of a block in which links are confirmed.
 BLOCK_DOCS, BLOCK_ITEMS = 4096, 1_000_000
 #: Bits of the bitmap that picks possible members of clusters (64 MB).
@@ -289,7 +292,9 @@ def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
         found = visited.where("key is null").select("a", "b")
         links = found if links is None else links.union(found)
         children = visited.where("key is not null")
-        if level == LEVELS or children.isEmpty():
+        if level == LEVELS:
+            return _across(rows.join(counts.where(F.col("n") > LAST).hint("merge"), "key"), links, least)
+        if children.isEmpty():
             break
         # the smallest centre that a node hangs on: nodes with one centre are connected
         centre = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("centre")).hint("merge")
@@ -299,6 +304,49 @@ def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
     return links
 
 
+def _across(large: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    """``links``, and those between the blocks of the last nodes ``large`` (``key``, ``node``, ``sketch``, ``n``).
+
+    Every member outside the largest component of its node is compared with all members. Where most of a node is
+    outside, as in a family of texts that share a core and are few of them near, this is quadratic in the node's size."""
+    if large.isEmpty():
+        return links
+    found = connected_components(links)
+    stars = found.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    state = large.select("key", "node", "sketch", "n").join(found.hint("merge"), "node", "left")
+    state, _ = materialise(state.select("key", "node", "sketch", "n", F.coalesce("root", "node").alias("component")), "last-nodes")
+    counts = state.groupBy("key", "component").agg(F.count("*").alias("docs"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("docs", "component")).alias("main"), (F.sum("docs") - F.max("docs")).alias("rest"))
+    main, _ = materialise(main.where("rest > 0"), "last-rests")
+    if main.isEmpty():
+        return stars
+    state = state.join(main.hint("merge"), "key")
+    blocks, parts = F.ceil(F.col("n") / ACROSS), F.ceil(F.col("rest") / ACROSS)
+    block, part = (F.pmod(F.xxhash64("node", F.lit(salt)), of) for salt, of in ((11, blocks), (13, parts)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    cols = ("key", "node", "component", "sketch")
+    asked = state.where("component <> main").select(*cols, each(blocks).alias("block"), part.alias("part"), F.lit(True).alias("ask"))
+    others = state.select(*cols, block.alias("block"), each(parts).alias("part"), F.lit(False).alias("ask"))
+    placed = asked.unionByName(others).select(*cols, F.xxhash64("block", "part").alias("cell"), "ask")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 2):
+            sk = _sketches(_column(rows, "sketch"))
+            labels = _Labels(len(sk))
+            _, labels.of = np.unique(_column(rows, "component").to_numpy(), return_inverse=True)
+            for i in np.flatnonzero(_column(rows, "ask").to_numpy(zero_copy_only=False)).tolist():
+                other = np.flatnonzero(labels.of != labels.of[i])
+                near = other[(sk[other] == sk[i]).sum(axis=1) >= least]
+                if len(near):
+                    labels.join(i, near)
+            a, b = labels.stars(_column(rows, "node").to_numpy())
+            yield _links_batch([a], [b])
+
+    dealt = placed.select("key", "cell", "node", "component", "sketch", "ask").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    more, _ = materialise(dealt.mapInArrow(run, "a bigint, b bigint"), "across")
+    return stars.union(more)
+
+
 def _member_bits(members: DataFrame) -> tuple[bytes, Callable[[Column], Column]]:
     """A bitmap of the members' hashes, and the bit of a node in it.
 

@@ -358,6 +358,22 @@ def test_large_groups_cross_blocks(spark, monkeypatch):
     assert len(wrong) <= 1, wrong
 
 
+def test_pairs_in_a_large_family_cross_last_blocks(spark, monkeypatch):
+    """Texts that share a core but are mostly below the similarity: the nodes of the last level are over-full."""
+    for name, value in {"LEVELS": 1, "SMALL": 8, "LARGE": 48, "LAST": 8, "FEW": 2, "ANCHORS": 2, "ACROSS": 40}.items():
+        monkeypatch.setattr(minhash, name, value, raising=False)
+    rnd = random.Random(23)
+    core = prose(rnd, 120)
+    docs = []
+    for k in range(150):
+        own = edited(rnd, core, 0.1)
+        docs += [(k, own), (1000 + k, own + " " + prose(rnd, 3))]
+    out = minhash.near_duplicates(docs_df(spark, docs), words=2).collect()
+    want = brute.near(docs, 2)
+    assert len({r for r in want.values()}) > 50
+    assert not [r.doc_id for r in out if r.component_id != want[r.doc_id]]
+
+
 def test_near_duplicate_query_on_the_small_tables(spark):
     import duckdb
 
