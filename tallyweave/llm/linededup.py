@@ -2,8 +2,8 @@
 
 Each line goes down a tree of fixed depth: by token count, then by its leading tokens, tokens with digits being
 wildcards. In a leaf the most frequent line leads a template; lines that agree with it in enough positions belong
-to the template, their other positions being its variable fields. What agrees with no leader goes one token
-deeper and is compared with the leader there, for ``ROUNDS`` levels. A template found in two documents or more
+to the template, their other positions being its variable fields. The most frequent of what agrees with no leader
+leads the next template of the leaf, until every line has one. A template found in two documents or more
 recurs: its lines are dropped everywhere but in the document with the smallest id that has it, so one copy stays.
 
 Agreement is taken over at most ``PROBES`` evenly spaced tokens, each as a byte of its hash, so that lines of up
@@ -18,12 +18,14 @@ an empty result. Columns named ``n_lines`` or ``n_dropped`` in the input are rep
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, WS_CHARS, let, materialise
 
-LEADING, ROUNDS, PROBES = 3, 4, 32
+LEADING, PROBES = 3, 32
+#: Lines of a leaf that a round looks for leaders among: at first, and at most. Later rounds take more.
+CANDIDATES, MOST_CANDIDATES = 16, 1024
 _VARIABLE = rf"(?<![^{WS}])[^0-9{WS}]*+[0-9][^{WS}]*+"
 
 
@@ -65,24 +67,35 @@ def _agreement(a: Column, b: Column) -> Column:
     return same / F.size(a)
 
 
+def _leaders(similarity: float) -> Column:
+    """The leaders among the ``CANDIDATES`` first lines of a leaf: each that agrees with none before it."""
+    first = F.sort_array(F.collect_list(F.struct("count", "line", "probes")), asc=False)
+
+    def more(led: Column, x: Column) -> Column:
+        follows = F.exists(led, lambda l: _agreement(l["probes"], x["probes"]) >= similarity)
+        return F.when(follows, led).otherwise(F.concat(led, F.array(x)))
+
+    return let(first, lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), F.slice(c, 1, 1), more))
+
+
 def _templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, line) to the leading line of its template, for lines that follow another."""
+    """(leaf, line) to the leading line of its template, for lines of leaves that hold several.
+
+    A line follows the first leader of its leaf, in falling order of count, that it agrees with, or leads. Each round
+    finds the leaders among a leaf's first unplaced lines and places all that agree with one, until none is left."""
     shared = lines.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
-    rest = lines.join(shared, "leaf").select("leaf", "line", "probes", "count", F.col("leaf").alias("at"))
-    rest, _ = materialise(rest, "leaves")
-    found = None
-    for level in range(ROUNDS):
-        leader = rest.groupBy("at").agg(F.max(F.struct("count", "line", "probes")).alias("lead"))
-        paired = rest.join(leader, "at").withColumn("follows", _agreement(F.col("probes"), F.col("lead")["probes"]) >= similarity)
-        followers = paired.where("follows").select("leaf", "line", F.col("lead")["line"].alias("template"))
+    rest, _ = materialise(lines.join(shared, "leaf").select("leaf", "line", "probes", "count"), "leaves")
+    found, most = None, CANDIDATES
+    while found is None or not rest.isEmpty():
+        order = Window.partitionBy("leaf").orderBy(F.desc("count"), F.desc("line"))
+        first = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+        leaders = first.groupBy("leaf").agg(_leaders(similarity).alias("leaders"))
+        agrees = F.filter("leaders", lambda l: _agreement(l["probes"], F.col("probes")) >= similarity)
+        placed = rest.join(leaders, "leaf").select("leaf", "line", "probes", "count", F.get(agrees, F.lit(0))["line"].alias("template"))
+        placed, _ = materialise(placed, "leaves")
+        followers = placed.where("template is not null").select("leaf", "line", "template")
         found = followers if found is None else found.unionByName(followers)
-        if level + 1 == ROUNDS:
-            break
-        deeper = F.xxhash64("at", F.get("probes", F.lit(LEADING + level)))
-        rest = paired.where("not follows").select("leaf", "line", "probes", "count", deeper.alias("at"))
-        rest, _ = materialise(rest, "leaves")
-        if rest.isEmpty():
-            break
+        rest, most = placed.where("template is null").drop("template"), min(4 * most, MOST_CANDIDATES)
     return found
 
 

@@ -422,6 +422,17 @@ def test_line_dedup_groups_equal_a_plain_tree(spark):
         assert r.text == "\n".join(want)
 
 
+def test_a_leaf_holds_any_number_of_templates(spark, monkeypatch):
+    """Log lines of one leaf and one start, of more templates than a round has candidates for."""
+    for name, value in {"CANDIDATES": 2, "MOST_CANDIDATES": 4}.items():
+        monkeypatch.setattr(linededup, name, value, raising=False)
+    rnd = random.Random(24)
+    bodies = [prose(rnd, 12) for _ in range(15)]
+    docs = [(k, f"2024-01-01 10:00:{k} INFO svc worker {k}: {bodies[k % 15]} for {rnd.choice(VOCAB)} as {rnd.choice(VOCAB)}") for k in range(60)]
+    kept = {r.doc_id for r in linededup.drop_recurring_lines(docs_df(spark, docs)).collect() if not r.n_dropped}
+    assert kept == set(range(15))
+
+
 def test_plans_of_native_operators_hold_no_python(spark):
     for name in ("op1_linededup", "op4_urlfilter", "op5_chat", "op8_quality", "op9_secrets"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
