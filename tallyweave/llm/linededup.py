@@ -8,7 +8,7 @@ recurs: its lines are dropped everywhere but in the document with the smallest i
 
 Agreement is taken over at most ``PROBES`` evenly spaced tokens, each as a byte of its hash, so that lines of up
 to that many tokens are compared whole and no line text is shuffled. Lines more than half of whose tokens are variable
-are never dropped, nor are lines under ``min_tokens`` tokens;
+belong to no template and recur only token for token. Lines under ``min_tokens`` tokens are never dropped;
 lines of fewer than ``long_tokens`` tokens must occur ``short_count`` times, as chance repeats them.
 
 Defined cases: a null text stays null and has no lines; a null doc_id is passed through as it is; rows that share a
@@ -26,14 +26,20 @@ from .common import WS, WS_CHARS, let, materialise
 LEADING, PROBES = 3, 32
 #: Lines of a leaf that a round looks for leaders among: at first, and at most. Later rounds take more.
 CANDIDATES, MOST_CANDIDATES = 16, 1024
+#: Last token of a line that is compared as it is; no token of a line can be this.
+EXACT = "\n"
 _VARIABLE = rf"(?<![^{WS}])[^0-9{WS}]*+[0-9][^{WS}]*+"
 
 
 def _tokens(line: Column) -> Column:
-    """Tokens of a line, those with digits as wildcards."""
+    """Tokens of a line, those with digits as wildcards. Where these are more than half, the line has too few words to
+    make a template: its tokens stay as they are, and ``EXACT`` is added to them."""
     plain = F.btrim(line, F.lit(WS_CHARS))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, "<*>")).otherwise(plain)
-    return F.split(masked, f"[{WS}]+")
+    split = lambda x: F.split(x, f"[{WS}]+")
+    masked = split(F.regexp_replace(plain, _VARIABLE, "<*>"))
+    mostly = lambda t: 2 * F.size(F.filter(t, lambda x: x == "<*>")) > F.size(t)
+    exact = lambda t: F.when(mostly(t), F.array_append(split(plain), F.lit(EXACT))).otherwise(t)
+    return F.when(plain.rlike("[0-9]"), let(masked, exact)).otherwise(split(plain))
 
 
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
@@ -42,10 +48,9 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     Tokens are made inside the generator: a filter on them would otherwise be pushed below and make them again."""
     split = F.transform(F.split("text", "\n", -1), _tokens)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(split).alias("line_no", "tokens"))
-    n = F.size("tokens")
-    # a line of numbers only has no words that could make it a template
-    variable = F.when(F.array_contains("tokens", "<*>"), F.size(F.filter("tokens", lambda t: t == "<*>"))).otherwise(0)
-    rows = rows.where((n >= min_tokens) & (2 * variable <= n))
+    exact = F.element_at("tokens", -1) == EXACT
+    n = F.size("tokens") - exact.cast("int")
+    rows = rows.where(n >= min_tokens)
     taken = F.least(n, F.lit(PROBES))
 
     def probes(t: Column) -> Column:
@@ -56,7 +61,8 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
         "doc_id",
         "line_no",
         n.alias("n"),
-        F.xxhash64(n, F.slice("tokens", 1, LEADING)).alias("leaf"),
+        # an exact line has a leaf of its own
+        F.when(exact, F.xxhash64(n, "tokens")).otherwise(F.xxhash64(n, F.slice("tokens", 1, LEADING))).alias("leaf"),
         F.xxhash64("tokens").alias("line"),
         let(F.col("tokens"), probes).alias("probes"),
     )

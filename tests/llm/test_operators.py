@@ -433,6 +433,16 @@ def test_a_leaf_holds_any_number_of_templates(spark, monkeypatch):
     assert kept == set(range(15))
 
 
+def test_lines_of_numbers_recur_token_for_token(spark):
+    rnd = random.Random(25)
+    contact = "Tel 030 1234567 Fax 030 1234568"
+    passage = " ".join(f"w{k}x" if k < 31 else VOCAB[k] for k in range(60))
+    docs = [(k, "\n".join([prose(rnd, 9), contact, passage, contact[:-1] + "0" + str(k)])) for k in range(3)]
+    for r in linededup.drop_recurring_lines(docs_df(spark, docs)).collect():
+        lines = docs[r.doc_id][1].split("\n")
+        assert r.text == "\n".join(lines if r.doc_id == 0 else [lines[0], lines[3]])
+
+
 def test_plans_of_native_operators_hold_no_python(spark):
     for name in ("op1_linededup", "op4_urlfilter", "op5_chat", "op8_quality", "op9_secrets"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
