@@ -6,8 +6,7 @@ to the template, their other positions being its variable fields. The most frequ
 leads the next template of the leaf, until every line has one. A template found in two documents or more
 recurs: its lines are dropped everywhere but in the document with the smallest id that has it, so one copy stays.
 
-Agreement is taken over at most ``PROBES`` evenly spaced tokens, each as a byte of its hash, so that lines of up
-to that many tokens are compared whole and no line text is shuffled. Lines more than half of whose tokens are variable
+Agreement is taken over all tokens, each as two bytes of its hash, so that no line text is shuffled. Lines more than half of whose tokens are variable
 belong to no template and recur only token for token. Lines under ``min_tokens`` tokens are never dropped;
 lines of fewer than ``long_tokens`` tokens must occur ``short_count`` times, as chance repeats them.
 
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WS, WS_CHARS, let, materialise
 
-LEADING, PROBES = 3, 32
+LEADING = 3
 #: Lines of a leaf that a round looks for leaders among: at first, and at most. Later rounds take more.
 CANDIDATES, MOST_CANDIDATES = 16, 1024
 #: Last token of a line that is compared as it is; no token of a line can be this.
@@ -51,11 +50,10 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     exact = F.element_at("tokens", -1) == EXACT
     n = F.size("tokens") - exact.cast("int")
     rows = rows.where(n >= min_tokens)
-    taken = F.least(n, F.lit(PROBES))
-
-    def probes(t: Column) -> Column:
-        at = F.sequence(F.lit(0), taken - 1)
-        return F.transform(at, lambda j: F.pmod(F.xxhash64(F.get(t, F.floor(j * n / taken).cast("int"))), F.lit(251)).cast("smallint"))
+    # two bytes of each token's hash
+    probes = F.when(exact, F.array().cast("array<smallint>")).otherwise(
+        F.transform("tokens", lambda t: (F.pmod(F.xxhash64(t), F.lit(65536)) - 32768).cast("smallint"))
+    )
 
     return rows.select(
         "doc_id",
@@ -64,7 +62,7 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
         # an exact line has a leaf of its own
         F.when(exact, F.xxhash64(n, "tokens")).otherwise(F.xxhash64(n, F.slice("tokens", 1, LEADING))).alias("leaf"),
         F.xxhash64("tokens").alias("line"),
-        let(F.col("tokens"), probes).alias("probes"),
+        probes.alias("probes"),
     )
 
 

@@ -443,6 +443,20 @@ def test_lines_of_numbers_recur_token_for_token(spark):
         assert r.text == "\n".join(lines if r.doc_id == 0 else [lines[0], lines[3]])
 
 
+def test_long_lines_are_compared_whole(spark):
+    """Labels in even places, values in odd ones: lines agree in little more than half of their tokens."""
+    rnd = random.Random(26)
+    labels = prose(rnd, 32).split()
+    docs = []
+    for k in range(6):
+        values = [VOCAB[0], *(f"{rnd.choice(VOCAB)}{'abcdef'[k]}" for _ in range(31))]
+        docs.append((k, " ".join(x for pair in zip(labels, values) for x in pair)))
+    near = docs[0][1].split()
+    docs.append((6, " ".join(near[:40] + [VOCAB[1]] * 4 + near[44:])))
+    out = {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(docs_df(spark, docs)).collect()}
+    assert out == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1}
+
+
 def test_plans_of_native_operators_hold_no_python(spark):
     for name in ("op1_linededup", "op4_urlfilter", "op5_chat", "op8_quality", "op9_secrets"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
