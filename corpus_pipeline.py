@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe, decontam, linededup, minhash, toxicity
-from tallyweave.llm.common import scratch_root, table
+from tallyweave.llm.common import materialise, scratch_root, table
 from tallyweave.llm.queries import word_tokenizer
 
 
@@ -30,16 +30,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes recurring lines. A document that had lines and lost all of them goes: others hold every line of it."""
-    cleaned = linededup.drop_recurring_lines(docs)
+    """Removes recurring lines. A document that would lose all of its lines goes only if the documents that keep their
+    templates hold each of them byte for byte, or one of them is a near duplicate of it; else it stays as it was."""
+    cleaned = linededup.drop_recurring_lines(docs, sources=True)
     empty = (F.col("n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return _with_length(cleaned.where(~empty)).select(*docs.columns)
+    kept = _with_length(cleaned.where(~empty)).select(*docs.columns)
+    emptied = cleaned.where(empty).withColumn("text", F.col("raw_text")).select(*docs.columns, "owners")
+    emptied, _ = materialise(emptied, "emptied")
+    if emptied.isEmpty():
+        return kept
+    ids = emptied.select(F.explode("owners").alias("__owner")).distinct()
+    owners, _ = materialise(docs.join(ids.hint("merge"), docs["doc_id"] == ids["__owner"], "left_semi").select("doc_id", "text"), "owners")
+    line = F.explode(F.split("text", "\n", -1)).alias("line")
+    address = F.sha2("line", 256).alias("address")
+    lines = emptied.select("doc_id", "text", line).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    held = owners.select(line).select(address).distinct()
+    alone = lines.select("doc_id", F.sha2("text", 256).alias("of"), address).join(held.hint("merge"), "address", "left_anti")
+    alone = alone.select(F.col("doc_id").alias("__id"), "of").distinct().hint("merge")
+    same = (emptied["doc_id"] == alone["__id"]) & (F.sha2(emptied["text"], 256) == alone["of"])
+    alone, _ = materialise(emptied.join(alone, same, "left_semi").select(*docs.columns), "alone")
+    if alone.isEmpty():
+        return kept
+    return kept.unionByName(_firsts(alone, minhash.near_duplicates(alone.select("doc_id", "text").unionByName(owners))))
+
+
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with the smallest id of their group of near duplicates."""
+    kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct().hint("merge")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct().hint("merge")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").select(*docs.columns)
+    return _firsts(docs, minhash.near_duplicates(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,7 +111,8 @@ def recurring_lines(
     short_count: int = 5,
     similarity: float = 0.7,
 ) -> DataFrame:
-    """``doc_id`` and ``drop``, the numbers of the lines that the document loses. ``docs``: ``doc_id``, ``text``."""
+    """``doc_id``, ``drop``, the numbers of the lines that the document loses, and ``owners``, the documents that keep
+    a line of the same templates. ``docs``: ``doc_id``, ``text``."""
     occurrences, _ = materialise(_lines(docs, min_tokens), "lines")
     lines = occurrences.groupBy("leaf", "line", "probes", "n").agg(
         F.count("*").alias("count"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
@@ -125,13 +126,16 @@ def recurring_lines(
     templates = placed.groupBy("leaf", "template").agg(F.min("low").alias("owner"), recurs.alias("recurs")).where("recurs")
     dropped = placed.join(templates, ["leaf", "template"]).select("leaf", "line", "owner")
     gone = occurrences.select("doc_id", "line_no", "leaf", "line").join(dropped, ["leaf", "line"]).where("doc_id <> owner")
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"))
+    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"), F.collect_set("owner").alias("owners"))
 
 
-def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """All columns of ``docs`` with the cleaned text, and ``n_lines`` and ``n_dropped``."""
+def drop_recurring_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources: bool = False, **options: float
+) -> DataFrame:
+    """All columns of ``docs`` with the cleaned text, and ``n_lines`` and ``n_dropped``; with ``sources`` also
+    ``raw_text`` and ``owners``, the documents that keep the lines' templates."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drops = recurring_lines(plain, **options).withColumnsRenamed({"doc_id": "__drop_id", "drop": "__drop"})
+    drops = recurring_lines(plain, **options).withColumnsRenamed({"doc_id": "__drop_id", "drop": "__drop", "owners": "__owners"})
     rest = docs.drop("n_lines", "n_dropped")
     joined = rest.join(drops, rest[id_col] == drops["__drop_id"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
@@ -146,4 +150,5 @@ def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         *[(cleaned.alias(c) if c == text_col else F.col(c)) for c in rest.columns],
         count(lines).alias("n_lines"),
         count(F.col("__drop")).alias("n_dropped"),
+        *([F.col(text_col).alias("raw_text"), F.col("__owners").alias("owners")] if sources else []),
     )

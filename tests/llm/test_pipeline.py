@@ -69,6 +69,16 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, tmp_path):
     assert {r.doc_id for r in out.collect()} == want and out.columns == docs_df(spark, docs).columns
 
 
+def test_line_stage_keeps_documents_that_no_other_holds(spark, tmp_path):
+    rnd = random.Random(27)
+    record = lambda k: f"order {k} of lot {k + 7} sent to customer {k * 3} by road"
+    docs = [(k, record(k)) for k in range(5)] + [(10, prose(rnd, 9) + "\n" + record(90)), (11, record(91) + "\n" + record(92)), (12, record(0) + "\n")]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs_df(spark, docs), str(tmp_path)).collect()}
+    want = {d: t for d, t in docs if d != 12}
+    want[10] = want[10].split("\n")[0]
+    assert out == want
+
+
 def test_empty_table(spark, tmp_path):
     base = f"file://{tmp_path}"
     none = docs_df(spark, [(1, "x")]).where("false")
