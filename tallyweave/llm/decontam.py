@@ -6,7 +6,8 @@ passage is a query: block-max WAND retrieves all items at or above the threshold
 the common ones together can give no item more than half the threshold, so an item's bound for a passage is what
 the passage's other terms give it and all that common terms could add. These bounds are taken for all passages of a
 text at once; where none reaches the threshold, the query is over. Retrieved items are then verified: word pairs of
-the item's question and the words of its answer (its last sentence) must be found in the passage.
+the item's question and the words of its answer (its last sentence) must be found in the passage. An item in several
+segments is found by any of them: the pairs are those of the segment, and the whole answer must be in some passage of the text.
 
 Passages are windows of two segment lengths every segment length, so that every stretch as long as a segment lies
 whole in one of them. The index is broadcast: its size is that of the test items, which are read in blocks of at
@@ -58,6 +59,11 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return [t for p in parts[:-1] for t in p], parts[-1]
 
 
+def _segments(n: int) -> list[int]:
+    """Starts of the segments of an item of ``n`` terms; the last one ends with the item and overlaps the one before."""
+    return [min(at, max(0, n - SEGMENT_WORDS)) for at in range(0, n, SEGMENT_WORDS)]
+
+
 class Index:
     """Impact-ordered by document: per term, blocks of (unit ids, impacts) with their highest impact."""
 
@@ -65,19 +71,21 @@ class Index:
         self.key = uuid.uuid4().hex
         self.items: list[int] = []
         self.checks: list[tuple[set[tuple[str, str]], set[str]]] = []
+        #: Terms of the answer, for the units of items in several segments: it is looked for in the whole text.
+        self.apart: dict[int, int] = {}
         units: list[Counter] = []
         self.span = 16
         for item, text in items:
             question, answer = question_answer(text)
             all_terms = question + answer
-            for at in range(0, len(all_terms), SEGMENT_WORDS):
+            for at in _segments(len(all_terms)):
                 part = all_terms[at : at + SEGMENT_WORDS]
-                if at and len(part) < SEGMENT_WORDS // 4:
-                    continue  # a short rest is covered by its neighbour
                 cut = max(0, min(len(part), len(question) - at))
                 asked = part[:cut]
+                if len(part) < len(all_terms):
+                    self.apart[len(self.items)] = len(answer)
                 self.items.append(item)
-                self.checks.append((set(zip(asked, asked[1:])) or {(t, "") for t in asked}, set(part[cut:])))
+                self.checks.append((set(zip(asked, asked[1:])) or {(t, "") for t in asked}, set(answer)))
                 units.append(Counter(part))
                 self.span = max(self.span, len(part))
         n, mean = len(units), (sum(map(Counter.total, units)) / len(units) if units else 1)
@@ -210,6 +218,15 @@ class _Ids(dict):
 _CACHE: dict[str, _Ids] = {}
 
 
+def _answer_share(index: Index, unit: int, pieces: list[str]) -> float:
+    """The largest share of the answer of a long item that a passage of the text holds. A passage for an answer longer than
+    a segment is as much longer."""
+    answer, step = index.checks[unit][1], index.span
+    width = (1 + max(1, -(-index.apart[unit] // step))) * step
+    windows = (set(map(term, pieces[at : at + width])) for at in range(0, len(pieces), step))
+    return max((len(answer & w) / len(answer) for w in windows), default=0.0)
+
+
 def _search_text(index: Index, known: _Ids, text: str, threshold: float, question: float, answer: float) -> dict[int, tuple[int, float, float, float]]:
     """item -> (passages, best score, question overlap, answer overlap) of one text."""
     pieces = text.lower().split()
@@ -220,6 +237,8 @@ def _search_text(index: Index, known: _Ids, text: str, threshold: float, questio
         passage = [t for t in map(term, pieces[at : at + 2 * step]) if t]
         for unit, score in index.search(set(passage), threshold):
             q, a = index.verify(unit, passage)
+            if q >= question and a < answer and unit in index.apart:
+                a = max(a, _answer_share(index, unit, pieces))
             if q >= question and a >= answer:
                 was = out.get(index.items[unit], (0, 0.0, 0.0, 0.0))
                 out[index.items[unit]] = (was[0] + 1, *max(was[1:], (score, q, a)))

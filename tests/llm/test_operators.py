@@ -244,6 +244,25 @@ def test_leaks_are_found_wherever_they_lie(spark):
     assert decontam.find_leaks(df, table.where("false")).count() == 0 and decontam.without_leaks(df, table.where("false")).count() == len(docs)
 
 
+def test_long_items_need_their_whole_answer(spark):
+    rnd = random.Random(28)
+    own = lambda n: " ".join(f"l{rnd.randrange(5000)}g" for _ in range(n))
+    answer = "So it is " + own(12) + "."
+    question = own(138)
+    item = f"{question}. {answer}"
+    words = item.split()
+    docs = [
+        (0, prose(rnd, 300) + " " + item),
+        (1, question),  # no answer
+        (2, prose(rnd, 200) + " " + " ".join(words[-128:])),  # the tail with the answer
+        (3, question + ". " + prose(rnd, 700) + " " + answer),  # the answer elsewhere
+        (4, answer),
+    ]
+    table = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.find_leaks(docs_df(spark, docs), table).collect()} == {0, 2, 3}
+    assert {r.doc_id for r in decontam.without_leaks(docs_df(spark, docs), table).collect()} == {1, 4}
+
+
 def test_decontamination_query_finds_verbatim_items(spark):
     import duckdb
 
