@@ -11,7 +11,8 @@ segments is found by any of them: the pairs are those of the segment, and the wh
 
 Passages are windows of two segment lengths every segment length, so that every stretch as long as a segment lies
 whole in one of them. The index is broadcast: its size is that of the test items, which are read in blocks of at
-most ``INDEX_CHARS`` characters, one scan of the texts for each block.
+most ``INDEX_CHARS`` characters, one scan of the texts for each block; unit counts, mean and greatest length are those of
+all items.
 
 Defined cases: a null or blank text has no passages; a null or blank item is ignored; items that share an id are one
 item with the texts' union of hits; repeated documents give repeated rows; without items the result is empty.
@@ -23,7 +24,7 @@ import math
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import materialise
 
 K1, B = 1.2, 0.75
 SEGMENT_WORDS = 128
@@ -67,7 +69,10 @@ def _segments(n: int) -> list[int]:
 class Index:
     """Impact-ordered by document: per term, blocks of (unit ids, impacts) with their highest impact."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], counts: Callable[[set[str]], tuple[int, float, int, dict[str, int]]] | None = None) -> None:
+        """``counts``: for a set of terms, number of units, their mean and greatest length and the terms' unit counts over
+        all blocks;
+        without it the items are all there are."""
         self.key = uuid.uuid4().hex
         self.items: list[int] = []
         self.checks: list[tuple[set[tuple[str, str]], set[str]]] = []
@@ -89,11 +94,16 @@ class Index:
                 units.append(Counter(part))
                 self.span = max(self.span, len(part))
         n, mean = len(units), (sum(map(Counter.total, units)) / len(units) if units else 1)
-        df = Counter(t for u in units for t in u)
+        df: dict[str, int] = Counter(t for u in units for t in u)
+        if counts:
+            total, mean, longest, df = counts(set(df))
+            self.span = max(self.span, longest)
+        else:
+            total = n
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, u in enumerate(units):
             norm = K1 * (1 - B + B * u.total() / mean)
-            impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in u.items()}
+            impact = {t: math.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in u.items()}
             own = sum(impact.values())
             for t, x in impact.items():
                 postings[t].append((k, x / own))
@@ -258,9 +268,52 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
+def _counts(items: DataFrame) -> Callable[[set[str]], tuple[int, float, int, dict[str, int]]]:
+    """Unit counts of terms over all items: a table, read through once for each block for the block's own terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            df: Counter = Counter()
+            units = length = longest = 0
+            for text in b.column(0).to_pylist():
+                question, answer = question_answer(text)
+                all_terms = question + answer
+                for at in _segments(len(all_terms)):
+                    part = all_terms[at : at + SEGMENT_WORDS]
+                    df.update(set(part))
+                    units, length, longest = units + 1, length + len(part), max(longest, len(part))
+            # no term is empty or blank
+            rows = [("", units), (" ", length), ("\n", longest), *df.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int64())], names=["term", "df"])
+
+    total = F.when(F.col("term") == "\n", F.max("df")).otherwise(F.sum("df"))
+    table, _ = materialise(items.select("text").mapInArrow(run, "term string, df bigint").groupBy("term").agg(total.alias("df")), "item-terms")
+
+    def counts(wanted: set[str]) -> tuple[int, float, int, dict[str, int]]:
+        df = {r["term"]: r["df"] for r in table.toLocalIterator() if r["term"] in wanted or not r["term"].strip()}
+        units, length, longest = df.pop(""), df.pop(" "), df.pop("\n")
+        return units, length / max(units, 1), longest, df
+
+    return counts
+
+
 def _indexes(items: DataFrame) -> Iterator[Index]:
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    yield from map(Index, _blocks(wanted.where("text is not null and item_id is not null").orderBy("item_id", "text")))
+    wanted = wanted.where("text is not null and item_id is not null")
+    counts = None
+    for block, more in _with_more(_blocks(wanted.orderBy("item_id", "text"))):
+        if more and counts is None:
+            counts = _counts(wanted)
+        yield Index(block, counts)
+
+
+def _with_more(blocks: Iterator[list[tuple[int, str]]]) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Each block, and whether another one follows."""
+    held = next(blocks, None)
+    while held is not None:
+        after = next(blocks, None)
+        yield held, after is not None
+        held = after
 
 
 def _searched(index: Index, texts: list[str | None], limits: tuple[float, float, float]) -> list[dict]:

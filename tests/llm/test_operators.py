@@ -263,6 +263,17 @@ def test_long_items_need_their_whole_answer(spark):
     assert {r.doc_id for r in decontam.without_leaks(docs_df(spark, docs), table).collect()} == {1, 4}
 
 
+def test_scores_do_not_depend_on_index_blocks(spark, monkeypatch):
+    rnd = random.Random(29)
+    items = [(k, prose(rnd, rnd.randrange(20, 200))) for k in range(30)]
+    docs = docs_df(spark, [(k, " ".join(t.split()[: int(len(t.split()) * rnd.uniform(0.5, 1))])) for k, t in items])
+    table = spark.createDataFrame([*items, (40, None), (41, " ")], "item_id long, text string")
+    hits = lambda: {(r.doc_id, r.item_id): (r.n_passages, round(r.score, 9)) for r in decontam.find_leaks(docs, table).collect()}
+    want = hits()
+    monkeypatch.setattr(decontam, "INDEX_CHARS", 1500)
+    assert want and hits() == want
+
+
 def test_decontamination_query_finds_verbatim_items(spark):
     import duckdb
 
