@@ -1,7 +1,8 @@
-"""Session settings, and delivery of this package to Python workers."""
+"""Session settings, the shared scratch folder, and delivery of this package to Python workers."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,6 +27,30 @@ def build_session(app: str = "tallyweave", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``, or the session's checkpoint folder.
+
+    Only a local session, whose driver is its one executor, gets a temporary folder where neither is set; a cluster
+    without a shared folder is an error, as other executors would not see what one of them wrote."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = known.get() if known.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"{master}: spark.checkpoint.dir names no shared folder")
+        root = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later plan reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: Spark's file server hands them a zip of it, once a session."""
     context = spark.sparkContext

@@ -158,6 +158,30 @@ def test_matching_equals_sequential_greedy(spark, seed):
     assert state.groupBy("transfer_group_id").count().where("transfer_group_id is not null and count <> 2").isEmpty()
 
 
+def test_rows_without_time_meet_by_amount_only(spark):
+    """All rows of a day without times share one time bucket; the amounts must part them."""
+    rnd = random.Random(5)
+    sizes = [1000.0 * 1.02**k for k in range(150)]
+    df = ledger(spark, *[dict(row_hash=f"{k:05d}", type_raw="이체", datetime="2024-01-15T00:00:00", amount=(-1) ** k * rnd.choice(sizes)) for k in range(1500)])
+    pairs = X.candidate_pairs(df)
+    joined = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "near" in joined
+    met = X.candidate_pairs(df, tolerance=0.0100001)
+    rows = X.candidates(df)
+    step = 0.0100503
+    bucket = lambda c: F.floor(F.log(F.abs(c)) / step)
+    a, b = rows.where("amount < 0").select(F.explode(F.array(*[bucket("amount") + k for k in (-1, 0, 1)])).alias("n")), rows.where("amount > 0").select(bucket("amount").alias("n"))
+    assert met.count() == pairs.count() > 0 and a.join(b, "n").count() <= 10 * pairs.count()
+
+
+def test_a_chain_of_falling_edges_is_matched(spark):
+    rows = [dict(row_hash=f"{k:04d}", type_raw="이체", datetime=f"2024-01-15T10:{k * (k + 1) // 2 // 60:02d}:{k * (k + 1) // 2 % 60:02d}", amount=(-1) ** k * 100.0, at=k * (k + 1) // 2) for k in range(24)]
+    df = ledger(spark, *[{k: v for k, v in r.items() if k != "at"} for r in rows])
+    got = {(r.out_row_hash, r.in_row_hash) for r in X.match_pairs(X.candidate_pairs(df, 0.01, 300)).collect()}
+    want = greedy([r | {"major_raw": "식비"} for r in rows], 0.01, 300)
+    assert got == want and len(got) == 12
+
+
 def test_window_and_tolerance_are_inclusive(spark):
     base = dict(type_raw="이체")
     edge = ledger(spark, base | dict(row_hash="a", amount=-100.0, datetime="2024-01-01T10:00:00"), base | dict(row_hash="b", amount=99.0, datetime="2024-01-01T10:05:00"))
