@@ -1,15 +1,16 @@
-"""Shared helpers: table access, shared scratch storage, let-binding for higher-order expressions."""
+"""Shared helpers: table access, scratch tables, literal rows, let-binding for higher-order expressions."""
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import release, scratch_root
+
 #: ASCII white space, as a Java character class body.
 WS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\f\r"
@@ -19,25 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where the session has none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def release(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _release_at_exit(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:
@@ -48,7 +30,8 @@ def _release_at_exit(spark: SparkSession, path: str) -> None:
 
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared scratch folder and read it back: later stages restart from
-    the files when an executor is lost, and no plan is computed twice. Returns the table and its path."""
+    the files when an executor is lost, and no plan is computed twice. Returns the table and its path, which the
+    caller releases once no plan reads it; what a lazy result still reads goes when the session ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -67,3 +50,12 @@ def words_of(text: Column) -> Column:
     """Array of maximal runs of characters other than ASCII white space; empty for null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WS}]+"))
+
+
+def values(spark: SparkSession, columns: str, rows: Iterable[tuple[str | int, ...]]) -> DataFrame:
+    """A few literal rows, at least one, as SQL VALUES: no Python step in the plan. ``columns`` are name and type pairs."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    quoted = lambda v: str(v) if isinstance(v, int) else "r'" + v + "'"
+    body = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+    casts = ", ".join(f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in columns.split(", "))
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({', '.join(names)})")

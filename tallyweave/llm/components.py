@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from ..session import release
+from .common import materialise
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -6,13 +6,21 @@ to the template, their other positions being its variable fields. The most frequ
 leads the next template of the leaf, until every line has one. A template found in two documents or more
 recurs: its lines are dropped everywhere but in the document with the smallest id that has it, so one copy stays.
 
-Agreement is taken over all tokens, each as two bytes of its hash, so that no line text is shuffled. Lines more than half of whose tokens are variable
-belong to no template and recur only token for token. Lines under ``min_tokens`` tokens are never dropped;
-lines of fewer than ``long_tokens`` tokens must occur ``short_count`` times, as chance repeats them.
+Agreement is taken over all tokens, each as two bytes of its hash, so that no line text is shuffled. Lines more than
+half of whose tokens are variable belong to no template and recur only token for token. Lines under ``min_tokens``
+tokens are never dropped; lines of fewer than ``long_tokens`` tokens must occur ``short_count`` times, as chance
+repeats them.
+
+A leaf of many lines is dealt out in parts, each of which meets all leaders of a round; only the lines that may lead
+are ever together. Each round places at least all lines that its leaders lead, so a leaf of many templates takes
+several rounds.
 
 Defined cases: a null text stays null and has no lines; a null doc_id is passed through as it is; rows that share a
-doc_id are one document; a text without recurring lines comes back unchanged, byte for byte; an empty table gives
-an empty result. Columns named ``n_lines`` or ``n_dropped`` in the input are replaced by the operator's.
+doc_id are one document; a text without recurring lines comes back unchanged, byte for byte; a very long text or line is
+compared whole; of lines that are equally frequent the one whose tokens hash highest leads, so the result does not
+depend on the order of rows; repeated rows drop nothing, as they are one document; an empty table gives
+an empty result. Columns named ``n_lines`` or ``n_dropped`` in the input are replaced by the operator's, others are
+carried along, also where they bear names that the operator uses inside.
 """
 
 from __future__ import annotations
@@ -20,11 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import WS, WS_CHARS, let, materialise
 
 LEADING = 3
-#: Lines of a leaf that a round looks for leaders among: at first, and at most. Later rounds take more.
-CANDIDATES, MOST_CANDIDATES = 16, 1024
+#: Lines of a leaf that a round looks for leaders among: at first, and at most. Later rounds take more. Up to a thousand,
+#: map tasks cut the ranking off, so no task sorts a hot leaf.
+CANDIDATES, MOST_CANDIDATES = 16, 1000
+#: Lines of a leaf in one part, about.
+PART_LINES = 1024
 #: Last token of a line that is compared as it is; no token of a line can be this.
 EXACT = "\n"
 _VARIABLE = rf"(?<![^{WS}])[^0-9{WS}]*+[0-9][^{WS}]*+"
@@ -82,25 +94,30 @@ def _leaders(similarity: float) -> Column:
     return let(first, lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), F.slice(c, 1, 1), more))
 
 
-def _templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, line) to the leading line of its template, for lines of leaves that hold several.
+def _templates(lines: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
+    """(leaf, line) to the leading line of its template, for lines of leaves that hold several, and the paths it reads.
 
     A line follows the first leader of its leaf, in falling order of count, that it agrees with, or leads. Each round
     finds the leaders among a leaf's first unplaced lines and places all that agree with one, until none is left."""
-    shared = lines.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
-    rest, _ = materialise(lines.join(shared, "leaf").select("leaf", "line", "probes", "count"), "leaves")
-    found, most = None, CANDIDATES
+    spark = lines.sparkSession
+    shared = lines.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf", F.ceil(F.col("k") / PART_LINES).alias("parts"))
+    part = F.pmod(F.xxhash64("line"), F.col("parts"))
+    rest, path = materialise(lines.join(shared, "leaf").select("leaf", "line", "probes", "count", "parts", part.alias("part")), "leaves")
+    found, paths, most = None, [path], CANDIDATES
     while found is None or not rest.isEmpty():
         order = Window.partitionBy("leaf").orderBy(F.desc("count"), F.desc("line"))
         first = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-        leaders = first.groupBy("leaf").agg(_leaders(similarity).alias("leaders"))
+        leaders = first.groupBy("leaf").agg(_leaders(similarity).alias("leaders"), F.first("parts").alias("of"))
+        leaders = leaders.select("leaf", "leaders", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)).alias("part"))
         agrees = F.filter("leaders", lambda l: _agreement(l["probes"], F.col("probes")) >= similarity)
-        placed = rest.join(leaders, "leaf").select("leaf", "line", "probes", "count", F.get(agrees, F.lit(0))["line"].alias("template"))
-        placed, _ = materialise(placed, "leaves")
+        placed = rest.join(leaders, ["leaf", "part"])
+        placed = placed.select("leaf", "line", "probes", "count", "parts", "part", F.get(agrees, F.lit(0))["line"].alias("template"))
+        placed, path = materialise(placed, "leaves")
+        paths.append(path)
         followers = placed.where("template is not null").select("leaf", "line", "template")
         found = followers if found is None else found.unionByName(followers)
         rest, most = placed.where("template is null").drop("template"), min(4 * most, MOST_CANDIDATES)
-    return found
+    return found, paths
 
 
 def recurring_lines(
@@ -113,20 +130,27 @@ def recurring_lines(
 ) -> DataFrame:
     """``doc_id``, ``drop``, the numbers of the lines that the document loses, and ``owners``, the documents that keep
     a line of the same templates. ``docs``: ``doc_id``, ``text``."""
-    occurrences, _ = materialise(_lines(docs, min_tokens), "lines")
+    occurrences, path = materialise(_lines(docs, min_tokens), "lines")
+    scratch = [path]
     lines = occurrences.groupBy("leaf", "line", "probes", "n").agg(
         F.count("*").alias("count"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
     )
-    lines, _ = materialise(lines, "distinct-lines")
-    to = _templates(lines, similarity)
+    lines, path = materialise(lines, "distinct-lines")
+    scratch.append(path)
+    to, paths = _templates(lines, similarity)
+    scratch += paths
     placed = lines.select("leaf", "line", "n", "count", "low", "high").join(to, ["leaf", "line"], "left")
     placed = placed.withColumn("template", F.coalesce("template", "line"))
-    placed, _ = materialise(placed, "placed-lines")
+    placed, path = materialise(placed, "placed-lines")
+    scratch.append(path)
     recurs = (F.min("low") < F.max("high")) & ((F.max("n") >= long_tokens) | (F.sum("count") >= short_count))
     templates = placed.groupBy("leaf", "template").agg(F.min("low").alias("owner"), recurs.alias("recurs")).where("recurs")
     dropped = placed.join(templates, ["leaf", "template"]).select("leaf", "line", "owner")
     gone = occurrences.select("doc_id", "line_no", "leaf", "line").join(dropped, ["leaf", "line"]).where("doc_id <> owner")
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"), F.collect_set("owner").alias("owners"))
+    drops, _ = materialise(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"), F.collect_set("owner").alias("owners")), "dropped-lines")
+    for path in scratch:
+        release(docs.sparkSession, path)
+    return drops
 
 
 def drop_recurring_lines(
@@ -135,20 +159,22 @@ def drop_recurring_lines(
     """All columns of ``docs`` with the cleaned text, and ``n_lines`` and ``n_dropped``; with ``sources`` also
     ``raw_text`` and ``owners``, the documents that keep the lines' templates."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drops = recurring_lines(plain, **options).withColumnsRenamed({"doc_id": "__drop_id", "drop": "__drop", "owners": "__owners"})
+    drops = recurring_lines(plain, **options)
     rest = docs.drop("n_lines", "n_dropped")
-    joined = rest.join(drops, rest[id_col] == drops["__drop_id"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    joined = rest.join(drops, rest[id_col] == drops["doc_id"], "left")
+    text, gone = rest[text_col], drops["drop"]
+    lines = F.split(text, "\n", -1)
 
     def kept(x: Column) -> Column:
-        numbers = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop"))
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone)
         return F.array_join(F.transform(numbers, lambda i: F.get(x, i)), "\n")
 
-    cleaned = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(let(lines, kept))
+    cleaned = F.when(gone.isNull(), text).otherwise(let(lines, kept))
     count = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0)).cast("long")
+    more = {"raw_text": text, "owners": drops["owners"]} if sources else {}
     return joined.select(
-        *[(cleaned.alias(c) if c == text_col else F.col(c)) for c in rest.columns],
+        *[(cleaned.alias(c) if c == text_col else rest[c]) for c in rest.columns if c not in more],
         count(lines).alias("n_lines"),
-        count(F.col("__drop")).alias("n_dropped"),
-        *([F.col(text_col).alias("raw_text"), F.col("__owners").alias("owners")] if sources else []),
+        count(gone).alias("n_dropped"),
+        *[v.alias(k) for k, v in more.items()],
     )

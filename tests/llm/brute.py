@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -105,3 +108,95 @@ def url_verdict(host, at, entries):
             if log and log[-1][2] == "add":
                 best = min(best or (0, ""), (-len(domain), name)) if best else (-len(domain), name)
     return best[1] if best else None
+
+
+def _tokens_hash(tokens):
+    """The engine's hash of an array of texts, by which ties between leaders go."""
+    h = 42
+    for t in tokens:
+        h = xxhash.xxh64_intdigest(t.encode(), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def line_templates(docs, min_tokens=3, long_tokens=6, short_count=5, similarity=0.7, leading=3):
+    """(cleaned text, lines, dropped lines) by document of a template tree over (id, text) pairs, each id once."""
+    leaves, where = defaultdict(Counter), defaultdict(list)
+    for d, text in docs:
+        for k, line in enumerate((text or "").split("\n") if d is not None and text is not None else ()):
+            plain = WORD.findall(line)
+            if len(plain) < min_tokens:
+                continue
+            masked = tuple("<*>" if re.search("[0-9]", w) else w for w in plain)
+            if re.search("[0-9]", line) and 2 * masked.count("<*>") > len(masked):
+                leaf, key = ("exact", *plain), (*plain, "\n")
+            else:
+                leaf, key = (len(masked), *masked[:leading]), masked
+            leaves[leaf][key] += 1
+            where[leaf, key].append((d, k))
+    gone = defaultdict(set)
+    for leaf, lines in leaves.items():
+        templates = []
+        for key, n in sorted(lines.items(), key=lambda x: (x[1], _tokens_hash(x[0])), reverse=True):
+            for t in templates:
+                if leaf[0] != "exact" and sum(a == b for a, b in zip(t[0], key)) >= similarity * len(key):
+                    t.append(key)
+                    break
+            else:
+                templates.append([key])
+        for t in templates:
+            at = [x for key in t for x in where[leaf, key]]
+            owner = min(d for d, _ in at)
+            n = len(t[0]) - (leaf[0] == "exact")
+            if owner < max(d for d, _ in at) and (n >= long_tokens or len(at) >= short_count):
+                for d, k in at:
+                    if d != owner:
+                        gone[d].add(k)
+    out = {}
+    for d, text in docs:
+        lines = text.split("\n") if text is not None else []
+        kept = [x for k, x in enumerate(lines) if k not in gone[d]]
+        out[d] = (None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept))
+    return out
+
+
+def _terms(text):
+    return [t for t in (re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in text.lower().split()) if t]
+
+
+def leaks(docs, items, threshold=0.6, overlap=0.6, k1=1.2, b=0.75, segment=128):
+    """{(doc, item): (passages, score, question, answer)} by BM25 of every unit against every passage.
+
+    For items of at most a segment, each id once."""
+    units = {}
+    for item, text in items:
+        if text and item is not None:
+            parts = [p for p in (_terms(x) for x in re.split(r"(?<=[.!?])\s+|\n+", text)) if p]
+            asked, answer = ([t for p in parts[:-1] for t in p], parts[-1]) if len(parts) > 1 else (parts[0] if parts else [], [])
+            if asked or answer:
+                assert len(asked) + len(answer) <= segment
+                units[item] = (asked, answer, Counter(asked + answer))
+    n = len(units)
+    mean = sum(u.total() for *_, u in units.values()) / max(1, n)
+    step = max([16, *(u.total() for *_, u in units.values())])
+    df = Counter(t for *_, u in units.values() for t in u)
+    weight = {}
+    for item, (*_, u) in units.items():
+        one = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * u.total() / mean)) for t, f in u.items()}
+        weight[item] = {t: x / sum(one.values()) for t, x in one.items()}
+    out = {}
+    for d, text in docs:
+        pieces = (text or "").lower().split()
+        for at in range(0, len(pieces), step):
+            passage = _terms(" ".join(pieces[at : at + 2 * step]))
+            words, pairs = set(passage), set(zip(passage, passage[1:]))
+            for item, (asked, answer, _) in units.items():
+                score = sum(x for t, x in weight[item].items() if t in words)
+                if score < threshold - 1e-9:
+                    continue
+                wanted = set(zip(asked, asked[1:]))
+                question = len(wanted & pairs) / len(wanted) if wanted else len(set(asked) & words) / len(set(asked)) if asked else 1.0
+                said = len(set(answer) & words) / len(set(answer)) if answer else 1.0
+                if question >= overlap and said >= overlap:
+                    was = out.get((d, item), (0, 0.0, 0.0, 0.0))
+                    out[d, item] = (was[0] + 1, *map(max, zip(was[1:], (score, question, said))))
+    return out

@@ -452,6 +452,48 @@ def test_line_dedup_groups_equal_a_plain_tree(spark):
         assert r.text == "\n".join(want)
 
 
+def small_documents():
+    import duckdb
+
+    return duckdb.connect().execute(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+
+
+def test_line_dedup_query_equals_a_plain_template_tree(spark):
+    want = brute.line_templates(small_documents())
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in QUERIES["op1_linededup"](spark, SF).collect()}
+    assert got == want and sum(n for *_, n in want.values()) > 50
+
+
+def test_line_dedup_equals_a_plain_tree_on_hot_leaves(spark, monkeypatch):
+    """Leaves of many templates, lines that tie, long lines, in small parts and rounds."""
+    for name, value in {"CANDIDATES": 2, "MOST_CANDIDATES": 5, "PART_LINES": 7}.items():
+        monkeypatch.setattr(linededup, name, value)
+    rnd = random.Random(31)
+    bodies = [f"svc {rnd.randrange(9)} says " + prose(rnd, rnd.choice((8, 8, 300))) for _ in range(25)]
+    docs = [(k, "\n".join(edited(rnd, rnd.choice(bodies), rnd.choice((0, 0.1, 0.3, 0.5))) for _ in range(rnd.randrange(1, 12)))) for k in range(60)]
+    docs += [(100, None), (101, ""), (102, "a b c\n" * 4), (103, prose(rnd, 30_000))]
+    out = linededup.drop_recurring_lines(docs_df(spark, docs).withColumns({"leaf": F.lit(1), "owners": F.lit(2), "__drop": F.lit(3)}).repartition(7)).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in out} == brute.line_templates(docs)
+
+
+def test_every_template_of_a_leaf_is_dropped(spark):
+    """Twelve templates of one length and start, each in ten documents: all but the first copies go."""
+    rnd = random.Random(32)
+    heads = [prose(rnd, 9) for _ in range(12)]
+    docs = [(k, f"INFO svc worker {heads[k % 12]} took {k} ms") for k in range(120)]
+    out = linededup.drop_recurring_lines(docs_df(spark, docs)).collect()
+    assert sum(r.n_dropped for r in out) == 108
+
+
+def test_lines_that_share_a_tenth_are_kept(spark):
+    rnd = random.Random(33)
+    a = prose(rnd, 320).split()
+    b = [w if k % 10 == 0 else w + "x" for k, w in enumerate(a)]
+    b[:3] = a[:3]
+    out = linededup.drop_recurring_lines(docs_df(spark, [(1, " ".join(a)), (2, " ".join(b))])).collect()
+    assert not any(r.n_dropped for r in out)
+
+
 def test_a_leaf_holds_any_number_of_templates(spark, monkeypatch):
     """Log lines of one leaf and one start, of more templates than a round has candidates for."""
     for name, value in {"CANDIDATES": 2, "MOST_CANDIDATES": 4}.items():
