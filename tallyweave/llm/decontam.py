@@ -10,12 +10,14 @@ the item's question and the words of its answer (its last sentence) must be foun
 segments is found by any of them: the pairs are those of the segment, and the whole answer must be in some passage of the text.
 
 Passages are windows of two segment lengths every segment length, so that every stretch as long as a segment lies
-whole in one of them. The index is broadcast: its size is that of the test items, which are read in blocks of at
-most ``INDEX_CHARS`` characters, one scan of the texts for each block; unit counts, mean and greatest length are those of
-all items.
+whole in one of them. The index is broadcast: its size is that of the test items, which are read in blocks of about
+``INDEX_CHARS`` characters. Of several blocks each is searched, written and freed before the next one is built, so one
+index is in memory at a time; unit counts, mean and greatest length are those of all items.
 
 Defined cases: a null or blank text has no passages; a null or blank item is ignored; items that share an id are one
-item with the texts' union of hits; repeated documents give repeated rows; without items the result is empty.
+item with the texts' union of hits; a very long text is searched whole, passage by passage; a score that equals the
+threshold reaches it (to 1e-9); repeated documents give repeated rows; without items or documents the result is empty;
+``find_leaks`` looks at id and text only, ``without_leaks`` carries all columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import release, ship_package
 from .common import materialise
 
 K1, B = 1.2, 0.75
@@ -256,10 +258,11 @@ def _search_text(index: Index, known: _Ids, text: str, threshold: float, questio
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of at most INDEX_CHARS characters; a block is on the driver, the items never all."""
+    """The test items in blocks of about INDEX_CHARS characters; a block is on the driver, the items never all. Items that
+    share an id are in one block."""
     held, chars = [], 0
     for r in items.toLocalIterator():
-        if held and chars + len(r["text"]) > INDEX_CHARS:
+        if held and chars + len(r["text"]) > INDEX_CHARS and held[-1][0] != r["item_id"]:
             yield held
             held, chars = [], 0
         held.append((r["item_id"], r["text"]))
@@ -297,14 +300,15 @@ def _counts(items: DataFrame) -> Callable[[set[str]], tuple[int, float, int, dic
     return counts
 
 
-def _indexes(items: DataFrame) -> Iterator[Index]:
+def _indexes(items: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """The index of each block, and whether another one follows."""
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     wanted = wanted.where("text is not null and item_id is not null")
     counts = None
     for block, more in _with_more(_blocks(wanted.orderBy("item_id", "text"))):
         if more and counts is None:
             counts = _counts(wanted)
-        yield Index(block, counts)
+        yield Index(block, counts), more
 
 
 def _with_more(blocks: Iterator[list[tuple[int, str]]]) -> Iterator[tuple[list[tuple[int, str]], bool]]:
@@ -342,8 +346,8 @@ def find_leaks(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, n_passages int, score double, question_overlap double, answer_overlap double"
-    out = spark.createDataFrame([], schema)
-    for index in _indexes(items):
+    out: DataFrame | None = None
+    for index, more in _indexes(items):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -354,8 +358,12 @@ def find_leaks(
                 arrays = [b.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "n_passages", "score", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    return out
+        found = rows.mapInArrow(run, schema)
+        if more or out is not None:
+            found, _ = materialise(found, "leaks")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def without_leaks(
@@ -371,7 +379,8 @@ def without_leaks(
     spark = docs.sparkSession
     ship_package(spark)
     limits = (threshold, question_overlap, answer_overlap)
-    for index in _indexes(items):
+    path = None
+    for index, more in _indexes(items):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -380,4 +389,10 @@ def without_leaks(
                 yield b.filter(pa.array([not x for x in hits], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if more:
+            docs, after = materialise(docs, "without-leaks")
+            shared.destroy()
+            if path is not None:
+                release(spark, path)
+            path = after
     return docs

@@ -274,6 +274,44 @@ def test_scores_do_not_depend_on_index_blocks(spark, monkeypatch):
     assert want and hits() == want
 
 
+def test_decontamination_query_equals_plain_scores(spark):
+    import duckdb
+
+    items = duckdb.connect().execute(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
+    want = brute.leaks(small_documents(), items)
+    got = {(r.doc_id, r.item_id): (r.n_passages, r.score, r.question_overlap, r.answer_overlap) for r in QUERIES["op6_decontam"](spark, SF).collect()}
+    assert want and set(got) == set(want)
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
+def test_decontamination_equals_plain_scores_on_near_misses(spark, monkeypatch):
+    """Items in part, out of order, with another answer, in very long and repeated texts; items that share an id; several index blocks."""
+    rnd = random.Random(34)
+    own = lambda n: " ".join(f"y{rnd.randrange(150)}k" for _ in range(n))
+    items = [(k, own(rnd.randrange(6, 40)) + ". It is " + own(4) + ".") for k in range(40)]
+    docs = []
+    for k in range(160):
+        words = rnd.choice(items)[1].split()
+        cut = words[: int(len(words) * rnd.uniform(0.4, 1))]
+        if k % 4 == 1:
+            rnd.shuffle(cut)
+        docs.append((k, prose(rnd, rnd.randrange(80)) + " " + " ".join(w if rnd.random() > 0.04 else "other" for w in cut) + " " + prose(rnd, 9)))
+    docs += [(500, prose(rnd, 30_000) + " " + items[7][1] + " " + prose(rnd, 30_000)), (501, None), (502, items[3][1] * 3)]
+    df = docs_df(spark, docs).withColumns({"item_id": F.lit("clash"), "score": F.lit(None)})
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(docs, items)
+    found = lambda: {(r.doc_id, r.item_id): (r.n_passages, r.score, r.question_overlap, r.answer_overlap) for r in decontam.find_leaks(df, table).collect()}
+    got = found()
+    assert len(want) > 15 and set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    monkeypatch.setattr(decontam, "INDEX_CHARS", 1500)
+    assert set(found()) == set(want)
+    kept = decontam.without_leaks(df, table)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    shared = spark.createDataFrame([*items, *((k, prose(rnd, 30)) for k in range(40))], "item_id long, text string")
+    assert set(want) <= {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, shared).collect()}
+    assert decontam.find_leaks(df, shared).groupBy("doc_id", "item_id").count().where("count > 1").isEmpty()
+
+
 def test_decontamination_query_finds_verbatim_items(spark):
     import duckdb
 
