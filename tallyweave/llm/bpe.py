@@ -9,7 +9,9 @@ the file's pattern, byte-level alphabet, word-end suffix. Their path is a parame
 broadcast once (their size is that of the file). Each Python worker keeps bounded caches of encoded words.
 
 Defined cases: a null or blank text has no tokens and decodes to the empty string; special token strings inside
-a text become their ids, as in the library; repeated rows give repeated results; only id and text are looked at.
+a text become their ids, as in the library; a very long text or word is encoded whole, the word in n log n; pairs of one
+rank merge from left to right; repeated rows give repeated results; an empty table gives an empty result; only id and
+text are looked at, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+import uuid
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -24,6 +27,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,21 +156,25 @@ class Bpe:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-_LOADED: dict[int, Bpe] = {}
+_LOADED: dict[str, Bpe] = {}
+
+
+def _tokenizer(key: str, tables: Broadcast) -> Bpe:
+    """The tokenizer of a key; a worker keeps the last one over its tasks."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Bpe(tables.value)
+    return _LOADED[key]
 
 
 def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` per row; one pass over the texts, no shuffle."""
     spark = docs.sparkSession
     ship_package(spark)
-    tables = spark.sparkContext.broadcast(load(path))
+    tables, key = spark.sparkContext.broadcast(load(path)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tables.id if hasattr(tables, "id") else 0)
-        bpe = _LOADED.get(key)
-        if bpe is None:
-            _LOADED.clear()
-            bpe = _LOADED[key] = Bpe(tables.value)
+        bpe = _tokenizer(key, tables)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 b = whole.slice(at, BATCH_ROWS)

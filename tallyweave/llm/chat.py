@@ -9,12 +9,19 @@ Template: a turn is ``<|turn|>role\\ntext<|end|>``, a repeated one ``<|seen|>rol
 texts a backslash becomes ``\\\\`` and ``<|`` becomes ``<\\|``, so no text can forge a marker, and unescaping
 gives back the text. Line breaks in a role become ``\\n``.
 
-Defined cases: null role or text counts as empty; turns are ordered by turn (null first), then role, then text,
-so ties and repeated rows have one order; a null conv_id is one conversation; an empty table gives no window.
+Tokens are those of a column where one is named, such as the counts of a tokenizer that has run before; else an
+estimate from the text, by default its characters over four, rounded up, plus four for the markers.
+
+Defined cases: null role or text counts as empty, a null or negative token count as none; turns are ordered by turn (null
+first), then role, then text, so ties and repeated rows have one order; a very long turn has a window of its own and is not
+cut; rows without conv_id belong to no common conversation: equal ones are one conversation, told apart by ``part``; an
+empty table gives no window; columns other than those named are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,23 +48,30 @@ def role_in(role: Column) -> Column:
     return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
+def estimated_tokens(text: Column) -> Column:
+    return F.ceil(F.length(text) / 4).cast("long") + 4
+
+
 def format_windows(
     conversations: DataFrame,
     *,
     budget: int = 512,
     history: int = 128,
+    tokens_col: str | None = None,
+    estimate: Callable[[Column], Column] = estimated_tokens,
 ) -> DataFrame:
-    """One row per window: ``conv_id``, ``window``, ``formatted``, ``loss`` (array of code point (start, end)), ``tokens``.
+    """One row per window: ``conv_id``, ``part`` (null but for rows without conv_id), ``window``, ``formatted``, ``loss``
+    (array of code point (start, end)), ``tokens``.
 
-    A turn's tokens are estimated as its characters over four, rounded up, plus four for the markers. Prefix sums
-    are cut into cells of ``budget - history - system`` tokens. A turn belongs to the cell in which it begins; one
-    that runs over the cell's end stays in its window if the window still fits, or else has a window to itself. So
-    a window exceeds the budget only where a single turn does. History is the run of turns at the end of the
-    window before whose tokens stay within ``history``."""
+    A turn's tokens are ``tokens_col`` or ``estimate`` of its text. Prefix sums are cut into cells of ``budget - history -
+    system`` tokens. A turn belongs to the cell in which it begins; one that runs over the cell's end stays in its window
+    if the window still fits, or else has a window to itself. So a window exceeds the budget only where a single turn does.
+    History is the run of turns at the end of the window before whose tokens stay within ``history``."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tokens", F.ceil(F.length("text") / 4).cast("long") + 4)
-    conv = Window.partitionBy("conv_id")
+    tokens = estimate(text) if tokens_col is None else F.greatest(F.lit(0), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)))
+    part = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", role, text))
+    rows = conversations.select("conv_id", part.alias("part"), "turn", role.alias("role"), text.alias("text"), tokens.alias("tokens"))
+    conv = Window.partitionBy("conv_id", "part")
     order = conv.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"pos": F.row_number().over(order), "upto": F.sum("tokens").over(upto)})
@@ -72,22 +86,22 @@ def format_windows(
     width = F.greatest(F.lit(1), budget - history - F.col("sys_tokens"))
     begin, end = F.greatest(F.lit(0), F.col("upto") - F.col("tokens") - F.col("sys_tokens")), F.col("upto") - F.col("sys_tokens")
     rows = rows.withColumns({"begin": begin, "end": end, "width": width}).withColumn("cell", F.floor(F.col("begin") / F.col("width")))
-    rows = rows.withColumn("first", F.min("begin").over(Window.partitionBy("conv_id", "cell")))
+    rows = rows.withColumn("first", F.min("begin").over(Window.partitionBy("conv_id", "part", "cell")))
     alone = (F.col("end") > (F.col("cell") + 1) * F.col("width")) & (F.col("end") - F.col("first") > F.col("width"))
     rows = rows.withColumn("cell", 2 * F.col("cell") + F.when(alone, 1).otherwise(0))
     rows = rows.withColumn("window", F.dense_rank().over(conv.orderBy("cell")) - 1)
-    backwards = Window.partitionBy("conv_id", "window").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    backwards = Window.partitionBy("conv_id", "part", "window").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"to_end": F.sum("tokens").over(backwards), "last": F.max("window").over(conv)})
     again = rows.where((F.col("to_end") <= history) & ~is_system & (F.col("window") < F.col("last"))).select(
-        "conv_id", (F.col("window") + 1).alias("window"), "pos", "role", "text", "tokens", F.lit(True).alias("seen")
+        "conv_id", "part", (F.col("window") + 1).alias("window"), "pos", "role", "text", "tokens", F.lit(True).alias("seen")
     )
     head = (
         rows.where((F.col("window") > 0) & F.col("sys_text").isNotNull())
-        .groupBy("conv_id", "window")
+        .groupBy("conv_id", "part", "window")
         .agg(F.lit(0).alias("pos"), F.first("sys_role").alias("role"), F.first("sys_text").alias("text"), F.first("sys_tokens").alias("tokens"))
         .withColumn("seen", F.lit(True))
     )
-    parts = rows.select("conv_id", "window", "pos", "role", "text", "tokens", F.lit(False).alias("seen")).unionByName(again).unionByName(head)
+    parts = rows.select("conv_id", "part", "window", "pos", "role", "text", "tokens", F.lit(False).alias("seen")).unionByName(again).unionByName(head)
     lead = F.concat(F.when(F.col("seen"), SEEN).otherwise(TURN), _role_out(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     item = F.struct(
@@ -97,7 +111,7 @@ def format_windows(
         F.length(body).alias("inside"),
         (~F.col("seen") & (F.col("role") == "assistant")).alias("learn"),
     )
-    windows = parts.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum("tokens").alias("tokens"))
+    windows = parts.groupBy("conv_id", "part", "window").agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum("tokens").alias("tokens"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -107,6 +121,7 @@ def format_windows(
 
     return windows.select(
         "conv_id",
+        "part",
         "window",
         F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("formatted"),
         F.aggregate("items", zero, step, lambda acc: acc["loss"]).alias("loss"),

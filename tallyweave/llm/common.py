@@ -28,14 +28,20 @@ def _release_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared scratch folder, which goes when the session ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_release_at_exit, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared scratch folder and read it back: later stages restart from
     the files when an executor is lost, and no plan is computed twice. Returns the table and its path, which the
     caller releases once no plan reads it; what a lazy result still reads goes when the session ends."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_release_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -46,6 +52,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_prefix(columns: Iterable[str]) -> str:
+    """A beginning of names that none of the columns has."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def words_of(text: Column) -> Column:
     """Array of maximal runs of characters other than ASCII white space; empty for null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

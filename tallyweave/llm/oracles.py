@@ -3,16 +3,19 @@
 ORACLES: dict[str, str] = {}
 
 # as-of join of captures with the validity intervals of the fixed list and the derived feed
-ORACLES["op4_urlfilter"] = """
-WITH cap AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched_at,
-    nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '[.]$', ''), '') AS host FROM pages),
+ORACLES["op4_urlfilter"] = r"""
+WITH auth AS (SELECT page_id, url, CASE WHEN regexp_matches(lower(trim(url)), '^[a-z][a-z0-9+.-]*://') THEN split_part(split_part(split_part(split_part(substr(lower(trim(url)), instr(lower(trim(url)), '://') + 3), '/', 1), '?', 1), '#', 1), '\', 1) END AS a FROM pages),
+place AS (SELECT page_id, url, list_last(string_split(a, '@')) AS a FROM auth),
+cap AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched_at,
+    nullif(CASE WHEN starts_with(a, '[') THEN CASE WHEN contains(a, ']') THEN split_part(a, ']', 1) || ']' END ELSE rtrim_one END, '') AS host
+    FROM (SELECT *, CASE WHEN ends_with(split_part(a, ':', 1), '.') THEN left(split_part(a, ':', 1), length(split_part(a, ':', 1)) - 1) ELSE split_part(a, ':', 1) END AS rtrim_one FROM place)),
 hosts AS (SELECT DISTINCT host AS domain, md5(host) AS m FROM cap WHERE host IS NOT NULL),
 picked AS (SELECT domain, CAST(CAST('0x' || substr(m, 5, 4) AS INTEGER) % 300 AS INTEGER) AS d FROM hosts WHERE CAST('0x' || substr(m, 1, 4) AS INTEGER) % 12 = 0),
 spans AS (SELECT 'feed' AS list, domain, CAST(DATE '2024-01-01' + d AS DATE) AS since, CAST(DATE '2024-01-01' + (d + 90) AS DATE) AS until FROM picked
     UNION ALL SELECT * FROM (VALUES ('spam', 'spam-farm.example.org', DATE '2024-01-10', NULL), ('spam', 'casino-win.example.net', DATE '2024-02-01', DATE '2024-08-01'),
     ('spam', 'free-bets.example.net', DATE '2024-03-05', NULL), ('pharma', 'cheap-pills.example.net', DATE '2024-01-01', NULL), ('adult', 'adult-x.example.com', DATE '2024-04-15', NULL),
     ('ads', 'ads-track.example.com', DATE '2024-05-20', DATE '2024-06-20'), ('ads', 'ads-track.example.com', DATE '2024-09-20', NULL)) AS t(list, domain, since, until)),
-hits AS (SELECT DISTINCT host, fetched_at, list, domain, since FROM cap JOIN spans ON (host = domain OR ends_with(host, '.' || domain)) AND since <= fetched_at AND (until IS NULL OR fetched_at < until)),
+hits AS (SELECT DISTINCT host, fetched_at, list, domain, since FROM cap JOIN spans ON (host = domain OR length(host) <= 253 AND NOT regexp_full_match(host, '[0-9]+([.][0-9]+){3}') AND ends_with(host, '.' || domain)) AND since <= fetched_at AND (until IS NULL OR fetched_at < until)),
 best AS (SELECT *, row_number() OVER (PARTITION BY host, fetched_at ORDER BY length(domain) DESC, list, domain, since) AS r FROM hits)
 SELECT cap.page_id, cap.url, cap.fetched_at, cap.host, list IS NOT NULL AS blocked, list, domain AS matched_domain, since
 FROM cap LEFT JOIN best ON cap.host = best.host AND cap.fetched_at = best.fetched_at AND r = 1"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, linededup, minhash, pii, quality, secrets, toxicity, urlfilter
-from .common import table
+from .common import scratch_path, table, values
 
 
 def word_tokenizer() -> str:
@@ -62,7 +62,7 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     for ninety days, so that the list grows with the captures."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")))
-    fixed = spark.createDataFrame(list(LIST_ENTRIES), "list string, domain string, at string, action string")
+    fixed = values(spark, "list string, domain string, at date, action string", LIST_ENTRIES)
     hosts = captures.select(urlfilter.host_of(F.col("url")).alias("domain")).where("domain is not null").distinct()
     code = lambda at: F.conv(F.substring(F.md5("domain"), at, 4), 16, 10).cast("int")
     hosts = hosts.where(code(1) % 12 == 0).withColumn("from", code(5) % 300)
@@ -70,24 +70,25 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = hosts.select(F.lit("feed").alias("list"), "domain", day(F.col("from")), F.lit("add").alias("action")).unionByName(
         hosts.select(F.lit("feed").alias("list"), "domain", day(F.col("from") + 90), F.lit("remove").alias("action"))
     )
-    entries = fixed.withColumn("at", F.col("at").cast("date")).unionByName(feed)
-    return urlfilter.evaluate(captures, entries)
+    return urlfilter.evaluate(captures, fixed.unionByName(feed))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` has no token counts: the budget of 512 is of estimated tokens, characters over four."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    probe = values(spark, "conv_id bigint, turn bigint, role string, text string", [(-1, 0, "user", said), (-1, 1, "assistant", said)])
     windows = chat.format_windows(rows.unionByName(probe))
     read = windows.select(
         "conv_id",
+        "part",
         "window",
         chat.read_turns(F.col("formatted")).alias("turns"),
         chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned"),
         F.length("formatted").cast("long").alias("chars"),
     )
     item = F.struct("window", "turns", "learned")
-    whole = read.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("w"), F.sum("chars").alias("formatted_chars"))
+    whole = read.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(item)).alias("w"), F.sum("chars").alias("formatted_chars"))
     whole = whole.select(
         "conv_id",
         F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"),
@@ -120,7 +121,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    """Two scans into one ledger, as of a repository that grows: the even documents first, then all of them, of which only
+    blobs that the first scan has not seen are scanned. The result is that of the second scan, over every document."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, scratch_path(spark, "secret-ledger"))
+    ledger.scan(docs.where("doc_id % 2 = 0"), "first")
+    found = ledger.scan(docs, "all")
     return found.select(
         "doc_id",
         *[secrets.count_kind(F.col("findings"), k).alias(f"n_{k}") for k in secrets.BASE_KINDS],

@@ -1,25 +1,26 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Every text is addressed by its SHA-256. A (blob, rule version) pair that the ledger holds is not scanned
-again; of the others one copy of each blob is scanned, and findings are joined back to every path.
+again; of the others one copy of each blob is scanned, and findings are joined back to every path that holds the blob or
+ever held it. The ledger is a pair of tables that outlive the session (see ``Ledger``).
 
 Match positions: ``split`` gives the pieces between matches and ``regexp_extract_all`` the matches, so running
 lengths give code point offsets. The rules below match exactly what the looser base patterns match and keep:
 runs of hex digits are cut only at run ends, so asking for 32 at once drops no and adds no match.
 
-Defined cases: a null text is the empty blob; repeated rows are further paths of one blob; an empty table gives
-empty results; columns other than id and text are not looked at.
+Defined cases: a null text is the empty blob; a null id is a path like any other; repeated rows are further paths of one
+blob; a very long text is scanned whole; spans of one start go by the order of the rules; an empty table gives empty
+results; columns other than id and text are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialise
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -69,36 +70,62 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob", F.sort_array(found).alias("findings"))
 
 
-def scan(
-    docs: DataFrame,
-    ledger: DataFrame | None = None,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    rules: tuple[Rule, ...] = RULES,
-    version: str = RULE_VERSION,
-) -> tuple[DataFrame, DataFrame]:
-    """Findings per path (``doc_id``, ``blob``, ``findings``) and the ledger (``blob``, ``version``, ``findings``) after the scan.
-
-    The texts cross the network at most once, already reduced to one copy of each blob per map task. Paths carry
-    only the blob address; when most rows share one blob, AQE splits that partition of the join."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    addressed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
-    paths = addressed.select("doc_id", "blob")
-    unseen = addressed.select("blob", "text")
-    known = None
-    if ledger is not None:
-        known = ledger.where(F.col("version") == version).select("blob", "version", "findings")
-        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
-    unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-    fresh = scan_blobs(unseen, rules).select("blob", F.lit(version).alias("version"), "findings")
-    fresh, _ = materialise(fresh, "secret-ledger")
-    after = fresh if known is None else ledger.select("blob", "version", "findings").unionByName(fresh)
-    current = fresh if known is None else known.unionByName(fresh)
+class Ledger:
+    """The lasting record of scans in one folder: ``blobs`` (``blob``, ``version``, ``findings``) holds each blob and rule
+    version once scanned, ``paths`` (``doc_id``, ``blob``, ``seen``) each blob that a path ever held, by the scan that saw it
+    first. Both are Parquet tables that only grow; a scan that failed half-way is repeated, and what it wrote twice counts once."""
+
+    def __init__(self, spark: SparkSession, base: str) -> None:
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def _load(self, name: str, schema: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def blobs(self, version: str | None = None) -> DataFrame | None:
+        """What has been scanned, each pair of blob and version once; None before the first scan."""
+        rows = self._load("blobs", f"blob string, version string, findings array<{SPAN}>")
+        if rows is None:
+            return None
+        return (rows if version is None else rows.where(F.col("version") == version)).dropDuplicates(["blob", "version"])
+
+    def paths(self, kind: str = "bigint") -> DataFrame | None:
+        return self._load("paths", f"doc_id {kind}, blob string, seen string")
+
+    def scan(self, docs: DataFrame, name: str, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+        """Scans what is unseen, records it under the scan's name, and returns ``doc_id``, ``blob`` and ``findings`` per row.
+
+        The texts cross the network at most once, already reduced to one copy of each blob per map task. Paths carry
+        only the blob address; when most rows share one blob, AQE splits that partition of the join."""
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        addressed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
+        known, kind = self.blobs(version), addressed.schema["doc_id"].dataType.simpleString()
+        unseen = addressed.select("blob", "text")
+        if known is not None:
+            unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+        unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
+        scan_blobs(unseen, rules).select("blob", F.lit(version).alias("version"), "findings").write.mode("append").parquet(f"{self.base}/blobs")
+        seen, now = self.paths(kind), addressed.select("doc_id", "blob").distinct()
+        if seen is not None:
+            now = now.join(seen.select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("blob") == F.col("__blob")), "left_anti")
+        now.select("doc_id", "blob", F.lit(name).alias("seen")).write.mode("append").parquet(f"{self.base}/paths")
+        return _with_findings(addressed.select("doc_id", "blob"), self.blobs(version))
+
+    def findings(self, version: str = RULE_VERSION, kind: str = "bigint") -> DataFrame:
+        """``doc_id``, ``blob``, ``seen`` and ``findings`` of every version that a path ever held."""
+        return _with_findings(self.paths(kind).dropDuplicates(["doc_id", "blob"]), self.blobs(version))
+
+
+def _with_findings(paths: DataFrame, blobs: DataFrame) -> DataFrame:
     # most blobs hold nothing: only findings are joined back
-    hits = current.where(F.size("findings") > 0).select("blob", "findings")
+    hits = blobs.where(F.size("findings") > 0).select("blob", "findings")
     joined = paths.join(hits, "blob", "left")
-    return joined.select("doc_id", "blob", F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings")), after
+    cols = [c for c in paths.columns if c != "blob"]
+    return joined.select(cols[0], "blob", *cols[1:], F.coalesce("findings", F.array().cast(f"array<{SPAN}>")).alias("findings"))
 
 
 def spans_text(findings: Column, kinds: tuple[str, ...] | None = None) -> Column:

@@ -6,11 +6,14 @@ penalty: each labelled text that names a group is paired with a copy in which th
 others of their kind, and any change of score between the two costs. So mentioning a group carries no weight by
 itself. Labels come only from rows outside the held-out fold; language, source and id are never inputs.
 
-``SAMPLE_ROWS`` bounds the labelled rows that are fitted on, and so what the driver holds; nothing else is capped.
+``sample_rows`` bounds the labelled rows that are fitted on and ``max_features`` the model, and so what the driver holds;
+both are parameters, and nothing else is capped: every text is scored whole.
 
 Defined cases: a null text counts as empty and gets the score of no evidence; without labels of both classes
 every score is the smoothed share of toxic labels; rows of ``labels`` with a null id or label are ignored, several
-for one id count as toxic if any is; repeated rows get repeated scores; other columns are not looked at.
+for one id count as toxic if any is; a null id is in no fold; a very long text is a set of words like any other; features of
+equal surprise are taken in the order of their text; repeated rows get repeated scores; an empty table gives an empty result;
+other columns are not looked at, and carried along only where ``keep`` names them and no result bears their name.
 """
 
 from __future__ import annotations
@@ -93,7 +96,7 @@ def _features_table(rows: DataFrame) -> DataFrame:
 
 
 class ToxicityModel:
-    """Bias and weights of at most ``MAX_FEATURES`` features."""
+    """Bias and weights of features."""
 
     def __init__(self, bias: float, weights: dict[str, float]) -> None:
         self.bias, self.weights, self.key = bias, weights, uuid.uuid4().hex
@@ -106,8 +109,11 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, counterfactual: float = 1.0) -> ToxicityModel:
-    """Learn from at most ``sample_rows`` labelled documents, those whose ids hash lowest."""
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, counterfactual: float = 1.0
+) -> ToxicityModel:
+    """Learn from at most ``sample_rows`` labelled documents, those whose ids hash lowest, with at most ``max_features``
+    features, those whose toxic share differs most from the overall one."""
     ship_package(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -123,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         # surprise: how far the toxic share of the documents with the feature is from the overall one
         share = F.lit(toxic / n)
         surprise = F.abs(F.col("pos") - F.col("all") * share) / F.sqrt(F.col("all") * share * (1 - share))
-        picked = seen.where((F.col("all") >= MIN_DOCUMENTS) & (surprise >= MIN_SURPRISE)).orderBy(surprise.desc(), "f").limit(MAX_FEATURES).select("f")
+        picked = seen.where((F.col("all") >= MIN_DOCUMENTS) & (surprise >= MIN_SURPRISE)).orderBy(surprise.desc(), "f").limit(max_features).select("f")
         names = sorted({r["f"] for r in picked.collect()} | {"=" + t for t in SWAP})
         at = {f: k for k, f in enumerate(names)}
         known = docs.sparkSession.sparkContext.broadcast(at)
@@ -196,6 +202,14 @@ class _Known(dict):
 _CACHE: dict[str, _Known] = {}
 
 
+def _known(key: str, weights: dict[str, float]) -> _Known:
+    """The features of a model's key; a worker keeps those of the last model over its tasks."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = _Known(weights)
+    return _CACHE[key]
+
+
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` per row. One pass over the texts, no shuffle.
 
@@ -206,10 +220,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, bias, weights = shared.value
-        if key not in _CACHE:
-            _CACHE.clear()
-            _CACHE[key] = _Known(weights)
-        known = _CACHE[key].__getitem__
+        known = _known(key, weights).__getitem__
         for b in batches:
             out = []
             for t in b.column(b.num_columns - 1).to_pylist():

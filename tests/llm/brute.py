@@ -39,6 +39,11 @@ def pii(text):
     return labels(out, ["email", "ip", "card", "phone"])
 
 
+def iban(text):
+    raw = text.replace(" ", "")
+    return 15 <= len(raw) <= 34 and int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
+
+
 def secrets(text):
     text, out = text or "", []
     word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -97,16 +102,35 @@ def conversation(rows):
     return len(rows), sha("".join(f"{r}\n{x}\n" for *_, r, x in rows)), len(learned), sha(learned)
 
 
+def url_host(url):
+    """The host of a URL by plain steps, or None."""
+    url = (url or "").strip(" ").lower()
+    scheme, found, rest = url.partition("://")
+    if not found or not re.fullmatch("[a-z][a-z0-9+.-]*", scheme):
+        return None
+    for mark in "/?#\\":
+        rest = rest.partition(mark)[0]
+    host = rest.rpartition("@")[2]
+    if host.startswith("["):
+        host, end, _ = host.partition("]")
+        return host + "]" if end else None
+    host = host.partition(":")[0]
+    if re.search(r"[\[\]]", host):
+        host = re.split(r"[\[\]]", host)[0]
+    return host.removesuffix(".") or None
+
+
 def url_verdict(host, at, entries):
     """The longest matching domain's list that is active at a time, or None."""
     best = None
     labels = host.split(".")
+    alone = host.startswith("[") or re.fullmatch("[0-9]+([.][0-9]+){3}", host) or len(host) > 253
     for name in {n for n, *_ in entries}:
-        for k in range(max(1, len(labels) - 1)):
+        for k in range(1 if alone else len(labels)):
             domain = ".".join(labels[k:])
             log = sorted((t, 0 if a == "add" else 1, a) for n, d, t, a in entries if n == name and d == domain and t <= at)
             if log and log[-1][2] == "add":
-                best = min(best or (0, ""), (-len(domain), name)) if best else (-len(domain), name)
+                best = min(best, (-len(domain), name)) if best else (-len(domain), name)
     return best[1] if best else None
 
 

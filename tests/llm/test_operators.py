@@ -78,10 +78,32 @@ def test_pii_method_kinds_need_their_confirmation():
     kinds = lambda t: [k for _, k, _, _ in pii.find_pii(t)]
     assert kinds("IBAN GB82 WEST 1234 5698 7654 32 ok") == ["iban"] and "iban" not in kinds("IBAN GB83 WEST 1234 5698 7654 32")
     assert kinds("ssn 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    spans = lambda t: [(s, k, e) for s, k, e, _ in pii.find_pii(t)]
+    # an upper-case word after it is no part of it; countries without a length have none
+    assert spans("BE68 5390 0754 7034 IST") == [(0, "iban", 19)] == spans("BE68 5390 0754 7034 ist") and spans("BE68539007547034") == [(0, "iban", 16)]
+    assert spans("BE68 5390 0754 7034X") == [] and kinds("QQ68 5390 0754 7034") == [] and spans("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32") == [(0, "iban", 27), (28, "iban", 55)]
+    assert kinds("Sozialversicherung 123-45-6789") == ["ssn"] == kinds("sécurité sociale: 123-45-6789")
     near, far = pii.find_pii("call phone +1 980 555 6268")[0], pii.find_pii("xxxx +1 980 555 6268")[0]
     assert near[3] > far[3]
 
 
+def test_pii_query_equals_plain_patterns(spark):
+    """Base kinds of every row of the query, and that all spans hold them."""
+    docs = dict(small_documents())
+    out = QUERIES["op3_pii"](spark, SF).collect()
+    assert {r.doc_id for r in out} == set(docs)
+    for r in out:
+        base = brute.pii(docs[r.doc_id])
+        assert r.base_sha256 == brute.sha(base) and set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        assert {k: r[f"n_{k}"] for k in pii.BASE} == {k: base.count(k + ":") for k in pii.BASE}
+        for extra in set(filter(None, r.spans.split(","))) - set(base.split(",")):
+            kind, start, end = extra.split(":")
+            said = docs[r.doc_id][int(start) : int(end)]
+            assert kind == "iban" and brute.iban(said) or kind == "ssn" and said.count("-") == 2
+    odd = docs_df(spark, [(None, "a@b.co"), (1, None), (2, "x" * 200_000 + " a@b.co")]).withColumns({"pii": F.lit("clash"), "kind": F.lit(1)})
+    assert {r.doc_id: len(r.pii) for r in pii.detect(odd).collect()} == {None: 1, 1: 0, 2: 1}
+
+
 @pytest.mark.parametrize("text", ["a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "GB82" * 50_000])
 def test_pii_is_linear(text):
     began = time.perf_counter()
@@ -89,25 +111,49 @@ def test_pii_is_linear(text):
     assert time.perf_counter() - began < 5
 
 
-def test_secrets_equal_plain_patterns_and_ledger_is_incremental(spark):
+def test_secrets_equal_plain_patterns_and_ledger_is_incremental(spark, tmp_path):
     rnd = random.Random(3)
     parts = ["token", "Api_Key", "secret", "=", ":", " ", "'", '"', "abcdef0123456789", "AKIA", "ABCDEFGHIJKL", "-", "é😀", "\n", "x", "ToKeN=abc12345", "passwd"]
     texts = [None, "", *["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(500)], "token=token=abcdefgh", "token=secret:abcdefghij", "K=Key", "a" * 32 + "g" + "b" * 40]
     rows = docs_df(spark, list(enumerate(texts)) + [(9000, texts[5]), (9001, texts[5])])
-    found, ledger = secrets.scan(rows)
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    found = ledger.scan(rows, "first")
     got = {r.doc_id: r for r in found.select("doc_id", secrets.spans_text(F.col("findings"), secrets.BASE_KINDS).alias("s"), "findings").collect()}
     assert len(got) == len(texts) + 2
     for k, t in enumerate(texts):
         assert got[k].s == brute.secrets(t), t
     assert got[9000].s == got[9001].s == got[5].s
-    blobs = ledger.count()
+    blobs = ledger.blobs().count()
     assert blobs == len({t or "" for t in texts})
-    again, after = secrets.scan(rows.unionByName(docs_df(spark, [(9002, "fresh token=abcd12345678")])), ledger)
-    assert after.count() == blobs + 1 and again.count() == len(texts) + 3
-    assert secrets.scan(rows, ledger, version="next")[1].count() == 2 * blobs
-    assert secrets.scan(rows.where("false"))[0].count() == 0
-    extra = secrets.scan(docs_df(spark, [(1, "-----BEGIN RSA PRIVATE KEY-----")]).withColumn("blob", F.lit(1)))[0].first()
-    assert [f.kind for f in extra.findings] == ["pem"]
+    # a path with a new text, and one without change
+    later = docs_df(spark, [(5, "fresh token=abcd12345678"), (6, texts[6]), (None, "token=abcd12345678")])
+    again = ledger.scan(later, "second").collect()
+    assert ledger.blobs().count() == blobs + 2 and [len(r.findings) for r in again if r.doc_id in (5, None)] == [1, 1]
+    history = {(r.doc_id, r.seen): len(r.findings) for r in ledger.findings().collect() if r.doc_id in (5, 6, None)}
+    assert set(history) == {(5, "first"), (5, "second"), (6, "first"), (None, "second")} and history[5, "second"] == 1
+    ledger.scan(rows, "rules", version="next")
+    assert ledger.blobs().count() == blobs + 2 + blobs and ledger.blobs("next").count() == blobs
+    # what a failed scan wrote twice counts once
+    ledger.blobs("next").write.parquet(f"file://{tmp_path}/copy")
+    spark.read.parquet(f"file://{tmp_path}/copy").write.mode("append").parquet(f"file://{tmp_path}/ledger/blobs")
+    assert ledger.scan(rows, "rules", version="next").count() == len(texts) + 2
+    empty = secrets.Ledger(spark, f"file://{tmp_path}/empty")
+    assert empty.blobs() is None and empty.scan(rows.where("false"), "x").count() == 0
+    long = "x " * 400_000 + "token=abcd12345678 " + "a" * 300_000
+    extra = empty.scan(docs_df(spark, [(1, "-----BEGIN RSA PRIVATE KEY-----"), (2, long)]).withColumns({"blob": F.lit(1), "seen": F.lit(2)}), "y").orderBy("doc_id").collect()
+    assert [[f.kind for f in r.findings] for r in extra] == [["pem"], ["assign", "hex"]]
+    assert secrets.spans_text(F.lit(None)) is not None and brute.secrets(long) == f"assign:800000:800018,hex:{800019}:{1100019}"
+
+
+def test_second_scan_reads_only_what_is_new(spark, tmp_path, monkeypatch):
+    seen = []
+    plain = secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda blobs, rules: (seen.append(blobs.count()), plain(blobs, rules))[1])
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/l")
+    docs = docs_df(spark, [(k, f"text {k // 2}") for k in range(20)])
+    ledger.scan(docs.where("doc_id < 10"), "a")
+    ledger.scan(docs, "b")
+    assert seen == [5, 5]
 
 
 # ---- chat
@@ -187,21 +233,35 @@ def test_quality_base_equals_plain_counts_and_verdicts(spark):
 
 def test_url_filter_equals_plain_lookup(spark):
     rnd = random.Random(6)
-    domains = ["a.com", "x.a.com", "b.org", "y.x.a.com", "com"]
-    entries = [(rnd.choice("pq"), rnd.choice(domains), rnd.randrange(20), rnd.choice(("add", "remove"))) for _ in range(60)]
-    captures = [(k, f"https://u@{rnd.choice(['a.com', 'X.a.com.', 'z.y.x.a.com', 'b.org', 'other.net', 'com'])}:80/p?q#f", rnd.randrange(22)) for k in range(300)]
-    captures += [(900, None, 3), (901, "no url", 3), (902, "http://a.com/", None), (0, captures[0][1], captures[0][2])]
-    cap = spark.createDataFrame(captures, "page_id long, url string, fetched_at int").withColumn("list", F.lit("clash"))
+    domains = ["a.com", "x.a.com", "b.org", "y.x.a.com", "com", "10.1.2.3", "2.3", "[2001:db8::1]", "ss"]
+    hosts = ["a.com", "X.a.com.", "z.y.x.a.com", "b.org", "other.net", "com", "10.1.2.3", "110.1.2.3", "[2001:DB8::1]", "a" * 300 + ".a.com"]
+    users = ["", "u@", "u:p@", "user:p@ss@", "b.org@", "@"]
+    entries = [(rnd.choice("pq"), rnd.choice(domains), rnd.randrange(20), rnd.choice(("add", "remove"))) for _ in range(90)]
+    captures = [(k, f"https://{rnd.choice(users)}{rnd.choice(hosts)}{rnd.choice(('', ':80', ':'))}{rnd.choice(('', '/p?q@b.org#f', '?x@b.org', '#b.org', chr(92) + '@b.org'))}", rnd.randrange(22)) for k in range(600)]
+    odd = [None, "no url", "http://", "http:///x", "http://[::1", "://a.com", "1a://a.com", " HTTP://A.com ", "http://a.com]/", "http://a..com./", "http://a.com/" + "x@" * 100_000, "http://" + "a." * 5000 + "a.com/"]
+    captures += [(900 + k, u, 3) for k, u in enumerate(odd)] + [(990, "http://a.com/", None), (0, captures[0][1], captures[0][2])]
+    cap = spark.createDataFrame(captures, "page_id long, url string, fetched_at int").withColumns({"list": F.lit("clash"), "domain": F.lit("x"), "__host": F.lit("y")})
     ent = spark.createDataFrame([*entries, (None, "a.com", 0, "add"), ("p", None, 0, "add"), *entries[:5]], "list string, domain string, at int, action string")
     out = urlfilter.evaluate(cap, ent).collect()
     assert len(out) == len(captures)
     for r in out:
+        assert r.host == brute.url_host(r.url), r
         want = brute.url_verdict(r.host, r.fetched_at, entries) if r.host and r.fetched_at is not None else None
         assert (r.list, r.blocked) == (want, want is not None), r
+    assert len({r.list for r in out}) == 3
     assert urlfilter.evaluate(cap, ent.where("false")).where("blocked").isEmpty()
     assert urlfilter.evaluate(cap.where("false"), ent).count() == 0
 
 
+def test_hosts_are_those_that_browsers_reach(spark):
+    cases = {"http://user:p@ss@Evil.com/": "evil.com", "http://[2001:db8::1]/x": "[2001:db8::1]", "http://10.1.2.3:8080/": "10.1.2.3", "http://good.org\\@evil.com/": "good.org", "http://evil.com?@good.org": "evil.com"}
+    df = spark.createDataFrame([(u,) for u in cases], "url string").select("url", urlfilter.host_of(F.col("url")).alias("h"))
+    assert {r.url: r.h for r in df.collect()} == cases
+    ent = spark.createDataFrame([("l", "com", 0, "add"), ("l", "2.3", 0, "add")], "list string, domain string, at int, action string")
+    out = urlfilter.evaluate(df.select("url", F.lit(1).alias("fetched_at")), ent).collect()
+    assert {r.host for r in out if r.blocked} == {"evil.com"}
+
+
 # ---- decontamination
 
 
