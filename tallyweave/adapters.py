@@ -29,7 +29,7 @@ def transactions_source(ledger: DataFrame) -> DataFrame:
     """The ledger with ``month``, ``is_transfer_bool`` and ``tags_list``, from whatever of their columns it has."""
     have, kinds = set(ledger.columns), dict(ledger.dtypes)
     out = ledger
-    if "date" in have:
+    if "date" in have and "month" not in have:
         out = out.withColumn("month", F.substring("date", 1, 7))
     flag = F.col("is_transfer") if "is_transfer" in have else None
     out = out.withColumn("is_transfer_bool", confirmed_transfer(flag, F.col("transfer_group_id") if "transfer_group_id" in have else None))

@@ -66,8 +66,9 @@ def check_period(period: str | None) -> str | None:
     return period
 
 
-def in_period(period: str) -> Column:
-    return F.col("date").startswith(check_period(period))
+def in_period(period: str, month: str = "month") -> Column:
+    """Dates that begin with a month, asked of the view's month, which prunes partitions."""
+    return F.col(month) == check_period(period)
 
 
 def between_dates(start: str, end: str, column: str = "date") -> Column:
@@ -103,23 +104,34 @@ def merchant_contains(text: str) -> Column:
     return F.col("merchant_raw").contains(text)
 
 
+def merchant_matches(pattern: str) -> Column:
+    """A regular expression, found anywhere in the lower-cased name; the pattern is lower-cased too."""
+    re.compile(pattern.lower())
+    return F.lower("merchant_raw").rlike(pattern.lower())
+
+
 def search(df: DataFrame, text: str, date: str | None = None, limit: int = 10) -> DataFrame:
     """Case-insensitive search in merchants and memos, newest first. ``%`` and ``_`` in the text are literal."""
     like = "%" + re.sub(r"([%_\\])", r"\\\1", text) + "%"
     found = df.where(F.col("merchant_raw").ilike(like) | F.col("memo_raw").ilike(like))
     if date is not None:
-        found = found.where(F.col("date") == date)
+        found = _within(found, date, date)
     return found.orderBy(F.desc("date"), "row_hash").limit(limit)
 
 
+def _within(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Rows of a date range; their months first, where the view has them, to prune partitions."""
+    for bound, name in ((start, "__ge__"), (end, "__le__")):
+        if bound is not None:
+            df = df.where(getattr(F.col("date"), name)(bound))
+            if "month" in df.columns and len(bound) >= 7:
+                df = df.where(getattr(F.col("month"), name)(bound[:7]))
+    return df
+
+
 def filter_range(df: DataFrame, start: str | None, end: str | None, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of a date range, newest first, some columns of them."""
-    out = df
-    if start is not None:
-        out = out.where(F.col("date") >= start)
-    if end is not None:
-        out = out.where(F.col("date") <= end)
-    out = out.orderBy(F.desc("date"), F.desc("time"), "row_hash")
+    out = _within(df, start, end).orderBy(F.desc("date"), F.desc("time"), "row_hash")
     return out.select(*columns) if columns else out
 
 

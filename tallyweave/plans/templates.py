@@ -127,11 +127,15 @@ def merchant_monthly_trend(tx: DataFrame, merchant: str, since: str | None = Non
     """By default the twelve months that end with the data's last month of spending."""
     like = "%" + re.sub(r"([%_\\])", r"\\\1", merchant) + "%"
     rows = tx.where(is_spending())
-    last = F.lit(check_period(until)) if until is not None else F.max("month")
-    bounds = rows.agg(last.alias("until_month"))
-    first = F.lit(check_period(since)) if since is not None else F.date_format(F.add_months(F.to_date(F.concat("until_month", F.lit("-01"))), -11), "yyyy-MM")
-    bounds = bounds.withColumn("since_month", first)
-    hits = with_bounds(rows.where(F.col("merchant_raw").ilike(like)), bounds).where(F.col("month").between(F.col("since_month"), F.col("until_month")))
+    if until is not None:
+        at = int(check_period(until)[:4]) * 12 + int(until[5:7]) - 12
+        hits = rows.where(in_months(since or f"{at // 12:04d}-{at % 12 + 1:02d}", until) & F.col("merchant_raw").ilike(like))
+    else:
+        bounds = rows.agg(F.max("month").alias("until_month"))
+        first = F.lit(check_period(since)) if since is not None else F.date_format(F.add_months(F.to_date(F.concat("until_month", F.lit("-01"))), -11), "yyyy-MM")
+        bounds = bounds.withColumn("since_month", first)
+        hits = with_bounds(rows.where(in_months(since) & F.col("merchant_raw").ilike(like)), bounds)
+        hits = hits.where(F.col("month").between(F.col("since_month"), F.col("until_month")))
     out = hits.groupBy("month").agg(F.count("*").alias("transaction_count"), spend().alias("total_spend"), mean_spend().alias("avg_spend"))
     return out.orderBy(F.desc("month")).limit(top_n)
 

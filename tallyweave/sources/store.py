@@ -5,8 +5,10 @@ rerun changes nothing. A batch is read against those months of the store only th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.joins import anti_join, keep_first
 from ..schema import TABLES, TableSpec
+from ..session import release
 
 _PARTS = ("year", "month")
 
@@ -49,6 +52,14 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def ledger(self) -> DataFrame:
+        """The transactions view over the store. Its ``month`` is made of the partition columns, so that a filter on it
+        reads only the months it asks for."""
+        from ..adapters import transactions_source
+
+        month = F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-"), F.lpad(F.col("month").cast("string"), 2, "0"))
+        return transactions_source(self._stored(TABLES["transactions"]).withColumn("month", month).drop("year"))
+
     def read(self, table: str, columns: Sequence[str] | None = None) -> DataFrame:
         out = self._stored(TABLES[table]).drop(*_PARTS)
         return out.select(*columns) if columns else out
@@ -78,10 +89,7 @@ class Store:
 
     def register_views(self, filters: object = None) -> None:
         """``transactions_raw``, ``transactions_source`` and, with report filters applied, ``transactions``."""
-        from ..adapters import transactions_source
-
-        raw = self.read("transactions")
-        source = transactions_source(raw)
+        raw, source = self.read("transactions"), self.ledger()
         raw.createOrReplaceTempView("transactions_raw")
         source.createOrReplaceTempView("transactions_source")
         (filters.apply(source) if filters is not None else source).createOrReplaceTempView("transactions")
@@ -94,7 +102,7 @@ class Store:
         month = self._month_of(spec)
         if spec.name == "cashflow":
             month = F.when(month.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), month).otherwise(F.raise_error(F.concat(F.lit("no month: "), F.coalesce(month, F.lit("null")))).cast("string"))
-        batch = batch.withColumns({"year": F.substring(month, 1, 4).cast("int"), "month": F.substring(month, 6, 2).cast("int")})
+        batch = batch.withColumns({"year": F.substring(month, 1, 4).try_cast("int"), "month": F.substring(month, 6, 2).try_cast("int")})
         if dedup:
             order = [c for c in ("source_row", "file_id") if c in spec.schema.names] or list(spec.key)
             batch = keep_first(batch, spec.key, order)
@@ -103,11 +111,15 @@ class Store:
     def _months(self, batch: DataFrame) -> list[tuple[int, int]]:
         return [(r["year"], r["month"]) for r in batch.select(*_PARTS).distinct().collect()]
 
-    def _in(self, df: DataFrame, months: list[tuple[int, int]]) -> DataFrame:
+    def _in(self, df: DataFrame, months: list[tuple[int | None, int | None]]) -> DataFrame:
+        """Rows of some months; rows without a readable date are in a month of their own."""
         by_year: dict[int, list[int]] = {}
-        for y, m in months:
-            by_year.setdefault(y, []).append(m)
         cond = F.lit(False)
+        for y, m in months:
+            if y is None or m is None:
+                cond = cond | F.col("year").eqNullSafe(F.lit(y)) & F.col("month").eqNullSafe(F.lit(m))
+            else:
+                by_year.setdefault(y, []).append(m)
         for y, ms in by_year.items():
             cond = cond | ((F.col("year") == y) & F.col("month").isin(*ms))
         return df.where(cond)
@@ -120,7 +132,7 @@ class Store:
         if not deduplicate:
             return rows, months
         old = self._in(self._stored(spec), months)
-        return anti_join(rows, old, [*_PARTS, *spec.key] if not spec.null_safe else list(spec.key), spec.null_safe), months
+        return anti_join(rows, old, list(spec.key), spec.null_safe), months
 
     def append(self, table: str, batch: DataFrame, deduplicate: bool = True) -> AppendResult:
         """Adds what is new as further files of its partitions; what is stored is not rewritten."""
@@ -152,18 +164,28 @@ class Store:
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(self.path(table))
 
     def upsert(self, table: str, rows: DataFrame) -> None:
-        """Replaces rows by key in the months of the new rows. The result is staged beside the table first, because a
-        partition cannot be read and replaced in one job."""
+        """Replaces rows by key, wherever they are stored: also one whose new date lies in another month. The keys alone
+        are looked up in all months; read and replaced are only the months of the new and of the found rows. The result is
+        staged beside the table first, because a partition cannot be read and replaced in one job."""
         spec = TABLES[table]
         new = self._prepared(spec, rows, True)
-        months = self._months(new)
-        old = self._in(self._stored(spec), months)
-        kept = anti_join(old, new, list(spec.key), spec.null_safe)
-        stage = f"{self.base}/_staged_{table}"
-        kept.unionByName(new).write.mode("overwrite").parquet(stage)
-        staged = self.spark.read.parquet(stage)
-        staged = staged.repartition(*_PARTS).sortWithinPartitions(*_PARTS, *(spec.sort or spec.key))
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(self.path(table))
+        keys = list(spec.key)
+        stored = self._stored(spec).select(*keys, *_PARTS)
+        right = new.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        same = reduce(lambda a, b: a & b, [stored[k].eqNullSafe(right[f"__{k}"]) if spec.null_safe else stored[k] == right[f"__{k}"] for k in keys])
+        months = sorted({*self._months(new), *self._months(stored.join(right, same, "left_semi"))}, key=str)
+        kept = anti_join(self._in(self._stored(spec), months), new, keys, spec.null_safe)
+        stage = f"{self.base}/_staged_{table}_{uuid.uuid4().hex}"
+        try:
+            kept.unionByName(new).write.parquet(stage)
+            staged = self.spark.read.schema(self._stored(spec).schema).parquet(stage)
+            left = {(r["year"], r["month"]) for r in staged.select(*_PARTS).distinct().collect()}
+            staged = staged.repartition(*_PARTS).sortWithinPartitions(*_PARTS, *(spec.sort or spec.key))
+            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(self.path(table))
+            for y, m in set(months) - left:  # a month whose last row moved away
+                release(self.spark, f"{self.path(table)}/year={y}/month={m}")
+        finally:
+            release(self.spark, stage)
 
     def find(self, row_hash: str) -> DataFrame:
         """The row of a hash; an error where there is none or more than one."""

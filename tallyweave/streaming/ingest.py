@@ -15,17 +15,16 @@ def ledger_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -
     return spark.readStream.schema(LEDGER_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def ingest(stream: DataFrame, store: Store, checkpoint: str, delay: str = "3 days", available_now: bool = True) -> StreamingQuery:
-    """Appends each batch by key. Hashes seen within the delay are dropped from state; older repetitions are dropped by
-    the append itself, and so is a batch that runs again after a failure."""
-    timed = stream.withColumn("__at", F.to_timestamp("datetime")).withWatermark("__at", delay)
-    once = timed.dropDuplicatesWithinWatermark(["row_hash"]).drop("__at")
-    writer = once.writeStream.foreachBatch(lambda batch, _: store.append("transactions", batch)).option("checkpointLocation", checkpoint)
+def ingest(stream: DataFrame, store: Store, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Appends each batch by key, however old its rows are: statements of past months that arrive late are the normal case
+    of a ledger, so nothing is dropped for its time and rows without one are kept. No state is held: repetitions, within a
+    batch or of earlier ones, are dropped by the append itself, and so is a batch that runs again after a failure."""
+    writer = stream.writeStream.foreachBatch(lambda batch, _: store.append("transactions", batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def windowed_spend(stream: DataFrame, width: str = "1 day", delay: str = "3 days") -> DataFrame:
-    """Spending per window and account; a window is final once the watermark passes it."""
+    """Spending per window and account; a window is final once the watermark passes it, and rows later than that do not count."""
     rows = stream.where("amount < 0").withColumn("at", F.to_timestamp("datetime")).withWatermark("at", delay)
     out = rows.groupBy(F.window("at", width), "account").agg(F.count("*").alias("transaction_count"), F.abs(F.sum(F.col("amount").cast("decimal(18,2)"))).alias("total_spend"))
     return out.select("window.start", "window.end", "account", "transaction_count", "total_spend")

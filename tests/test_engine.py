@@ -248,6 +248,13 @@ def test_rule_validation():
 # ---- templates
 
 
+def test_trend_ends_with_its_last_month(spark):
+    tx = transactions_source(ledger(spark, *[dict(row_hash=f"{k}", date=f"{2023 + k // 12}-{k % 12 + 1:02d}-05", merchant_raw="Shop") for k in range(20)]))
+    months = lambda **p: [r.month for r in templates.run_template(tx, "merchant_monthly_trend", merchant="shop", **p).collect()]
+    assert months() == [f"{2023 + k // 12}-{k % 12 + 1:02d}" for k in range(19, 7, -1)]
+    assert months(until="2024-01") == [f"{2023 + k // 12}-{k % 12 + 1:02d}" for k in range(12, 0, -1)] and months(since="2024-07") == ["2024-08", "2024-07"]
+
+
 def test_template_parameters(spark):
     tx = transactions_source(ledger(spark, dict(date="2024-01-01"), dict(date="2024-02-01", amount=-50.0)))
     assert templates.run_template(tx, "monthly_spend", since="2024-02").count() == 1
@@ -312,6 +319,43 @@ def test_append_is_idempotent_and_previewed(spark, tmp_path):
     assert Store(spark, f"file://{tmp_path}/none").count("balance") == 0
 
 
+MONTH_TEMPLATES = {
+    "monthly_spend": {"since": "2024-02"}, "tag_breakdown": {"since": "2024-02", "until": "2024-02"}, "monthly_consumption_summary": {"until": "2024-01"},
+    "consumption_category_breakdown": {"month": "2024-02"}, "merchant_top_spend": {"month": "2024-02"}, "event_adjusted_spend": {"month": "2024-02"},
+    "anomaly_large_txn": {"since": "2024-02", "threshold": 10000}, "card_spend_summary": {"since": "2024-02"}, "merchant_monthly_trend": {"merchant": "x", "since": "2024-02", "until": "2024-02"},
+    "spend_by_weekday_hour": {"since": "2024-02"}, "compare": {"baseline_months": "2024-01", "current_months": "2024-02"}, "pivot": {"months": "2024-02..2024-02"},
+}
+
+
+def test_months_prune_partitions(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.append("transactions", ledger(spark, *[dict(row_hash=f"{m}{k}", date=f"2024-{m:02d}-1{k}", tags_final=["a"], amount=-20000.0) for m in range(1, 5) for k in range(3)]))
+    tx = store.ledger()
+    plain = transactions_source(store.read("transactions"))
+
+    def pruned(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        found = [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]]
+        return bool(found) and all("month" in x for x in found)
+
+    for name, params in MONTH_TEMPLATES.items():
+        out = templates.run_template(tx, name, **params)
+        assert pruned(out), name
+        assert rows_of(out) == rows_of(templates.run_template(plain, name, **params)), name
+    for f in (lambda t: P.filter_range(t, "2024-02-05", "2024-03-11"), lambda t: t.where(P.in_period("2024-03")), lambda t: P.search(t, "cafe", "2024-02-11"), lambda t: signals.budget_status(t, spark.createDataFrame([("x", 1)], "category string, target long"), "2024-02")):
+        assert pruned(f(tx)) and rows_of(f(tx).drop("month")) == rows_of(f(plain).drop("month"))
+    store.register_views()
+    assert pruned(endpoint.query(spark, "select account, sum(amount) as s from transactions where month between '2024-02' and '2024-03' group by account"))
+
+
+def test_upsert_moves_rows_between_months(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.append("transactions", ledger(spark, dict(row_hash="a", date="2024-01-10"), dict(row_hash="b", date="2024-02-10"), dict(row_hash="c", date="2024-02-11")))
+    store.upsert("transactions", ledger(spark, dict(row_hash="a", date="2024-03-01"), dict(row_hash="b", date="2024-03-02")))
+    assert {(r.row_hash, r.date) for r in store.read("transactions").collect()} == {("a", "2024-03-01"), ("b", "2024-03-02"), ("c", "2024-02-11")}
+    assert store.read_month("transactions", 2024, 1).isEmpty() and not [x for x in (tmp_path / "s").iterdir() if x.name.startswith("_staged")]
+
+
 def test_null_safe_tables_and_cashflow_months(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     b = spark.createDataFrame([("2024-01-31", "asset", None, "Cash", 1.0, 4)], "snapshot_date string, side string, category string, item_name string, amount double, source_row long")
@@ -433,6 +477,15 @@ def test_stream_appends_once(spark, tmp_path):
         q = ingest(ledger_stream(spark, src), store, f"file://{tmp_path}/ckpt")
         q.awaitTermination(120)
     assert store.count("transactions") == 4
+    # an older statement, and rows without a time, in later batches
+    ledger(spark, dict(row_hash="old", date="2021-03-05", datetime="2021-03-05T10:00:00"), dict(row_hash="timeless", datetime=None), dict(row_hash="dateless", date=None, datetime=None)).coalesce(1).write.mode("append").parquet(src)
+    for _ in range(2):
+        ingest(ledger_stream(spark, src), store, f"file://{tmp_path}/ckpt").awaitTermination(120)
+        ledger(spark, dict(row_hash="old", date="2021-03-05"), dict(row_hash="dateless", date=None), dict(row_hash="0", date="2024-01-10")).coalesce(1).write.mode("append").parquet(src)
+    assert store.count("transactions") == 7 and store.read_month("transactions", 2021, 3).count() == 1
+    src = f"file://{tmp_path}/in2"
+    for k in range(2):
+        ledger(spark, *[dict(row_hash=f"{n}", date="2024-01-10") for n in range(k, k + 3)]).coalesce(1).write.mode("append").parquet(src)
     q = windowed_spend(ledger_stream(spark, src)).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").first().transaction_count == 6
