@@ -25,6 +25,11 @@ from ..functions.normalize import category_final, manual_category, merge_tags
 FIELDS = ("merchant_raw", "memo_raw", "major_raw", "minor_raw", "account", "amount", "type_norm")
 OPERATORS = ("contains", "not_contains", "is", "is_not", "starts_with", "regex", "less_than", "greater_than", "between")
 ALIASES = {"equals": "is", "eq": "is", "not_equals": "is_not", "lt": "less_than", "gt": "greater_than", "startswith": "starts_with", "matches": "regex"}
+# What is meant by other words for an operator.
+HINTS = {
+    "equal": "is", "equals": "is", "eq": "is", "ne": "is_not", "notequal": "is_not", "lt": "less_than", "gt": "greater_than", "matches": "regex",
+    "startswith": "starts_with", "start_with": "starts_with", "contain": "contains", "has": "contains", "in_range": "between",
+}
 NUMERIC = ("less_than", "greater_than", "between")
 DEFAULT_PRIORITY, FOLD = 50, 200
 CONFIDENT, REVIEW_BELOW = 1.0, 0.7
@@ -84,8 +89,9 @@ class Rule:
         if self.conditions:
             parts = [c.column() for c in self.conditions]
             return reduce((lambda a, b: a | b) if self.logic == "any" else (lambda a, b: a & b), parts)
+        # only the visible columns are looked at; another name counts as empty
         words = [w.strip().lower() for w in (self.match or "").split("|") if w.strip()]
-        hits = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).contains(w) for w in words for f in self.fields]
+        hits = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).contains(w) for w in words for f in self.fields if f in FIELDS]
         return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
@@ -182,12 +188,15 @@ def validate(config: dict) -> list[str]:
         priority = r.get("priority", DEFAULT_PRIORITY)
         if not isinstance(priority, int) or not 0 <= priority <= 100:
             out.append(f"{at}: priority {priority!r} is not within 0 to 100")
+        for name in r.get("fields") or ():
+            if name not in FIELDS:
+                out.append(f"{at}: unknown field {name!r}" + _meant(name, FIELDS))
         for c in r.get("conditions") or ():
             op, name, value = ALIASES.get(c.get("op"), c.get("op")), c.get("field"), c.get("value")
             if name not in FIELDS:
-                out.append(f"{at}: unknown field {name!r}" + "".join(f", did you mean {x}?" for x in difflib.get_close_matches(str(name), FIELDS, 1)))
+                out.append(f"{at}: unknown field {name!r}" + _meant(name, FIELDS))
             if op not in OPERATORS:
-                out.append(f"{at}: unknown operator {op!r}" + "".join(f", did you mean {x}?" for x in difflib.get_close_matches(str(op), [*OPERATORS, *ALIASES], 1)))
+                out.append(f"{at}: unknown operator {op!r}" + _meant(op, OPERATORS))
             elif op in NUMERIC and not _numeric(op, value):
                 out.append(f"{at}: {op} needs {'two numbers' if op == 'between' else 'a number'}, not {value!r}")
             elif op == "regex" and not _pattern(value):
@@ -195,6 +204,13 @@ def validate(config: dict) -> list[str]:
     return out
 
 
+def _meant(word: object, known: Sequence[str]) -> str:
+    """A hint at the known word that an unknown one stands for or nearly is."""
+    hint = HINTS.get(str(word).lower())
+    close = [hint] if hint in known else difflib.get_close_matches(str(word), known, 1)
+    return f", did you mean {close[0]}?" if close else ""
+
+
 def _numeric(op: str, value: object) -> bool:
     values = value if op == "between" else [value]
     try:

@@ -180,8 +180,3 @@ def top_categories(tx: DataFrame, top_n: int = 5) -> DataFrame:
     name = F.coalesce(*[blank_to_null(F.col(c)) for c in ("category_final", "category_rule", "minor_raw", "major_raw")], F.lit(UNCATEGORISED))
     out = tx.where(is_spending()).groupBy(name.alias("name")).agg(F.round(-F.sum("amount"), 0).cast("long").alias("amount"))
     return out.orderBy(F.desc("amount"), "name").limit(top_n)
-
-
-def consumption_rows(tx: DataFrame) -> DataFrame:
-    """Budgets count these: spending by type, without transfers and without what is no consumption."""
-    return tx.where(is_spending() & (F.col("type_norm") == "expense") & ~non_consumption())

@@ -55,8 +55,13 @@ def _named(tx: DataFrame) -> DataFrame:
     return tx.where(~F.col("is_transfer_bool") & blank_to_null(name).isNotNull() & ~name.rlike("^[0-9]+$"))
 
 
+MEMO_SAMPLE = 3
+
+
 def merchant_context(tx: DataFrame, min_count: int = 2, limit: int = 50, file_id: str | None = None) -> DataFrame:
-    """What is known of each untagged merchant. Ties of modes go to the smallest value."""
+    """What is known of each untagged merchant. Ties of modes go to the smallest value. ``sample_memos`` is a sample: the
+    three most frequent memos, then by text; memos are counted before they are put together, and for the merchants shown
+    only, so a gateway with millions of them costs three."""
     rows = _named(tx).where(untagged())
     if file_id is not None:
         rows = rows.where(F.col("file_id") == file_id)
@@ -74,9 +79,15 @@ def merchant_context(tx: DataFrame, min_count: int = 2, limit: int = 50, file_id
         (F.count_if(F.weekday(F.to_date("date")) < 5) / F.count("*")).alias("weekday_pct"),
         (F.count_if(hour.between(11, 13)) / F.count("*")).alias("lunch_pct"),
         (F.count_distinct("month") >= 2).alias("is_recurring"),
-        F.array_join(F.array_sort(F.collect_set(blank_to_null(F.col("memo_raw")))), ",").alias("sample_memos"),
     )
-    return out.where(F.col("transaction_count") >= min_count).orderBy(F.desc("transaction_count"), "merchant").limit(limit)
+    out = out.where(F.col("transaction_count") >= min_count).orderBy(F.desc("transaction_count"), "merchant").limit(limit)
+    memo = blank_to_null(F.col("memo_raw"))
+    memos = rows.select(F.col("merchant_raw").alias("of"), memo.alias("memo")).where("memo is not null").groupBy("of", "memo").agg(F.count("*").alias("n"))
+    memos = memos.join(out.select(F.col("merchant").alias("of")), "of", "left_semi")
+    memos = memos.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "memo"))).where(F.col("r") <= MEMO_SAMPLE)
+    memos = memos.groupBy("of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "memo"))), lambda x: x["memo"]), ",").alias("sample_memos"))
+    out = out.join(memos, F.col("merchant") == F.col("of"), "left").drop("of").withColumn("sample_memos", F.coalesce("sample_memos", F.lit("")))
+    return out.orderBy(F.desc("transaction_count"), "merchant")
 
 
 def tagged_merchants(tx: DataFrame) -> DataFrame:
@@ -90,7 +101,8 @@ def tagged_merchants(tx: DataFrame) -> DataFrame:
 
 def similar_merchants(tx: DataFrame, min_count: int = 2, top: int = 3) -> DataFrame:
     """For each untagged merchant the tagged ones with the nearest mean amounts."""
-    left = merchant_context(tx, min_count, 1_000_000).select("merchant", "avg_amount")
+    rows = _named(tx).where(untagged()).groupBy(F.col("merchant_raw").alias("merchant"))
+    left = rows.agg((money(F.sum(F.abs("amount"))) / F.count("*")).alias("avg_amount"), F.count("*").alias("n")).where(F.col("n") >= min_count)
     return nearest_by_mean(left, tagged_merchants(tx).select("merchant", "avg_amount", "category"), name="merchant", value="avg_amount", top=top)
 
 
@@ -102,23 +114,56 @@ def merchant_clusters(tx: DataFrame, min_names: int = 2) -> DataFrame:
     return out.where(F.col("names") >= min_names).orderBy(F.desc("transaction_count"), "cluster")
 
 
-# Payment gateways, whose names say nothing of the purchase.
-GATEWAYS = ("네이버페이", "카카오페이", "토스", "페이코", "paypal", "naverpay", "kakaopay")
-
-
-def rule_suggestions(tx: DataFrame, covered: Column | None = None, min_count: int = 2, limit: int = 50) -> DataFrame:
-    """Rule proposals from untagged merchants: pattern, category, and whether a gateway hides the merchant."""
-    out = merchant_context(tx, min_count, limit).withColumnRenamed("merchant", "merchant_raw")
-    if covered is not None:
-        out = out.where(~covered)
-    key = F.lower("merchant_raw")
-    gateway = F.lit(False)
-    for g in GATEWAYS:
-        gateway = gateway | key.contains(g)
+# Payment gateways, whose names say nothing of the purchase, as they are without spaces and marks; what the
+# names of others begin with; the priority of a suggested rule, and what a recurring charge adds to it.
+GATEWAYS = (
+    "KGINICIS 이니시스 케이지이니시스 NHNKCP KCP 엔에이치엔케이씨피 토스페이먼츠 TOSSPAYMENTS 나이스페이먼츠 NICEPAYMENTS KICC 한국정보통신 ALIPAY ALIPAYCONNECT ANOMALY"
+).split()
+GATEWAY_STARTS = ("PAYPAL*", "PAYPAL *", "STRIPE*", "STRIPE *")
+SUGGESTED_PRIORITY, RECURRING_BOOST = 80, 5
+
+
+def is_gateway(name: Column) -> Column:
+    starts = F.lit(False)
+    for x in GATEWAY_STARTS:
+        starts = starts | F.upper(F.trim(name)).startswith(x)
+    return F.upper(merchant_key(name)).isin(*GATEWAYS) | starts
+
+
+def covered_by(pattern: Column, merchant: Column, known: Sequence[str]) -> Column:
+    """A known rule's word stands in the merchant's name or its pattern, or holds the pattern."""
+    words = sorted({w.lower() for k in known for w in k.split("|") if w})
+    name, own = F.lower(merchant), F.lower(pattern)
+    return F.exists(F.array(*map(F.lit, words)), lambda w: name.contains(w) | own.contains(w) | w.contains(own)) if words else F.lit(False)
+
+
+def rule_suggestions(tx: DataFrame, patterns: Sequence[str] = (), names: Sequence[str] = (), min_count: int = 2, top_n: int = 10, file_id: str | None = None) -> DataFrame:
+    """Rule proposals for the most frequent untagged merchants that no rule covers (``patterns``): what kind of merchant it
+    is, what to do by default, and the rule itself. A rule's name is that of the merchant, numbered where it is taken."""
+    out = merchant_context(tx, min_count, max(top_n * 20, top_n), file_id)
+    out = out.withColumn("pattern", match_pattern(F.col("merchant"))).where(~covered_by(F.col("pattern"), F.col("merchant"), patterns))
+    out = out.orderBy(F.desc("transaction_count"), "merchant").limit(top_n)
+    minor, major = blank_to_null(F.col("minor_raw")), blank_to_null(F.col("major_raw"))
+    stem = F.trim(F.regexp_replace(F.lower("merchant"), "[^a-z0-9가-힣]+", "_"), F.lit("_"))
+    base = F.concat(F.lit("suggested_"), F.coalesce(F.nullif(F.substring(stem, 1, 30), F.lit("")), F.lit("unknown")))
+    nth = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("transaction_count"), "merchant"))
+    taken = F.array(*map(F.lit, names)).cast("array<string>")
+    numbered = F.transform(F.sequence(F.lit(1), F.col("nth") + len(names)), lambda k: F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), k.cast("string"))))
+    free = F.filter(numbered, lambda x: ~F.array_contains(taken, x))
+    gateway = is_gateway(F.col("merchant"))
+    out = out.withColumn("base", base).withColumn("nth", nth)
     return out.select(
-        "merchant_raw", match_pattern(F.col("merchant_raw")).alias("pattern"), F.coalesce("minor_raw", "major_raw", F.lit(UNCATEGORISED)).alias("category"),
-        gateway.alias("is_gateway"), "transaction_count", "total_amount",
-    )
+        "merchant", "transaction_count", "total_amount", "pattern",
+        F.when(gateway, "payment_gateway").otherwise("merchant").alias("merchant_kind"),
+        F.when(gateway, "payment_gateway").alias("ambiguous_reason"),
+        F.when(gateway, "skip_rule").otherwise("create_rule").alias("default_action"),
+        (~gateway).alias("auto_apply_eligible"),
+        F.element_at(free, F.col("nth")).alias("rule_name"),
+        F.coalesce(minor, major, F.lit(UNCATEGORISED)).alias("category"),
+        F.when(F.coalesce(minor, major).isNull(), F.lit(UNCATEGORISED)).otherwise(F.array_join(F.array_distinct(F.array_compact(F.array(minor, major))), ",")).alias("tags"),
+        (F.lit(SUGGESTED_PRIORITY) + F.when(F.col("is_recurring"), RECURRING_BOOST).otherwise(0)).alias("priority"),
+        "sample_memos",
+    ).orderBy(F.desc("transaction_count"), "merchant")
 
 
 def gap_analysis(tx: DataFrame, expected: Mapping[str, str] | None = None) -> DataFrame:
@@ -225,11 +270,12 @@ def review_queue(tx: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def large_transactions(tx: DataFrame, threshold: float, top: int = 5) -> DataFrame:
-    """The largest rows beside the count of all that reach the threshold."""
+    """The largest rows beside the count of all that reach the threshold. Without any, one row with the count 0 alone."""
     rows = tx.where(is_spending() & (F.abs("amount") >= threshold))
     total = rows.agg(F.count("*").alias("count"))
     shown = rows.orderBy(F.desc(F.abs("amount")), "row_hash").limit(top).select("row_hash", "date", "merchant_raw", money(F.abs("amount")).alias("amount"))
-    return with_bounds(shown, total)
+    both = total.withColumn("__one", F.lit(1)).join(shown.withColumn("__one", F.lit(1)), "__one", "left")  # one row and at most ``top``
+    return both.select(*shown.columns, "count")
 
 
 def template_domain(domain: Column, name: Column) -> Column:
@@ -278,8 +324,46 @@ def freshness(tables: Mapping[str, tuple[DataFrame, str, int]], today: str) -> D
     return out.select("domain", F.date_format("latest", "yyyy-MM-dd").alias("latest"), days.alias("days_since"), "threshold_days", state.alias("status"))
 
 
+def top_commands(events: DataFrame, top: int = 5) -> DataFrame:
+    """The most frequent commands of the audit log; events without one do not count."""
+    return events.where(F.col("command").isNotNull()).groupBy("command").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "command").limit(top)
+
+
+def networth_posture(position: DataFrame, target: float | None = None) -> DataFrame:
+    """State of a net worth (``total_assets``, ``total_liabilities``, ``net_worth``, one row or, without any data, none)."""
+    worth, goal = F.col("net_worth"), F.lit(target).cast("double")
+    state = (
+        F.when(worth.isNull() | (F.col("total_assets").isNull() & F.col("total_liabilities").isNull()), "missing_data")
+        .when(worth < 0, "negative").when(goal.isNotNull() & (worth >= goal), "on_target").when(goal.isNotNull(), "tracking").otherwise("healthy")
+    )
+    one = position.agg(*[F.max(c).alias(c) for c in ("total_assets", "total_liabilities", "net_worth")])
+    out = one.select(F.lit("networth").alias("domain"), state.alias("status"), "net_worth", goal.alias("target"), (goal - worth).alias("gap_to_target"))
+    return out.withColumn("actionable", F.col("status").isin("missing_data", "negative"))
+
+
+def obligations_posture(tx: DataFrame, **options: object) -> DataFrame:
+    """Whether recurring charges wait to be confirmed: empty ledger, needs_confirmation, or healthy."""
+    rows = tx.agg(F.count("*").alias("rows"))
+    found = recurring_obligations(tx, **options).agg(F.count("*").alias("candidates"))
+    state = F.when(F.col("rows") == 0, "empty").when(F.col("candidates") > 0, "needs_confirmation").otherwise("healthy")
+    out = with_bounds(rows, found).select(F.lit("obligations").alias("domain"), state.alias("status"), "candidates")
+    return out.withColumn("actionable", F.col("status") == "needs_confirmation")
+
+
+def review_posture(tx: DataFrame) -> DataFrame:
+    """Rows of the latest month that wait for review: empty, needs_attention, or healthy."""
+    by_month = tx.groupBy("month").agg(F.count_if(needs_attention()).alias("waiting"))
+    last = by_month.agg(F.max("month").alias("month"), F.max_by("waiting", "month").alias("waiting"))
+    state = F.when(F.col("month").isNull(), "empty").when(F.col("waiting") > 0, "needs_attention").otherwise("healthy")
+    out = last.select(F.lit("review").alias("domain"), state.alias("status"), "month", F.coalesce("waiting", F.lit(0)).alias("waiting"))
+    return out.withColumn("actionable", F.col("status") == "needs_attention")
+
+
 # What to do about each state, by priority.
-ACTIONS = (("freshness", "missing", 1, "import"), ("freshness", "stale", 2, "import"), ("budget", "over", 2, "budget"), ("review", "high", 3, "review"), ("obligations", "new", 4, "goals"), ("networth", "stale", 3, "assets"))
+ACTIONS = (
+    ("freshness", "missing", 1, "import"), ("freshness", "stale", 2, "import"), ("budget", "missing", 2, "budget"), ("budget", "over", 2, "budget"),
+    ("networth", "missing_data", 2, "assets"), ("networth", "negative", 1, "assets"), ("review", "needs_attention", 1, "review"), ("obligations", "needs_confirmation", 2, "goals"),
+)
 
 
 def next_actions(posture: DataFrame) -> DataFrame:
@@ -287,11 +371,3 @@ def next_actions(posture: DataFrame) -> DataFrame:
     spark: SparkSession = posture.sparkSession
     known = spark.createDataFrame(list(ACTIONS), "domain string, status string, priority int, command string")
     return posture.join(F.broadcast(known), ["domain", "status"]).select("priority", "domain", "command", "status").orderBy("priority", "domain", "command")
-
-
-def expense_rows(tx: DataFrame) -> DataFrame:
-    return tx.where(is_expense())
-
-
-def spending_rows(tx: DataFrame) -> DataFrame:
-    return tx.where(is_spending())

@@ -40,12 +40,15 @@ def tag_breakdown(tx: DataFrame, since: str | None = None, until: str | None = N
 
 
 def monthly_consumption_summary(tx: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    rows = tx.where(is_expense() & in_months(since, until)).select("month", F.abs("amount").alias("spent"), non_consumption().alias("other"))
+    """The pattern is asked of each distinct combination of labels, not of each row."""
+    labels = ("category_final", "major_raw", "minor_raw", "tags_list")
+    rows = tx.where(is_expense() & in_months(since, until)).groupBy("month", *labels).agg(F.count("*").alias("n"), F.sum(F.abs("amount")).alias("spent"))
+    rows = rows.select("month", "n", "spent", non_consumption().alias("other"))
     whole = lambda keep: F.round(F.coalesce(F.sum(F.when(keep, F.col("spent"))), F.lit(0)), 0).cast("long")
     return (
         rows.groupBy("month")
         .agg(
-            F.count_if(~F.col("other")).alias("transaction_count"),
+            F.coalesce(F.sum(F.when(~F.col("other"), F.col("n"))), F.lit(0)).alias("transaction_count"),
             whole(~F.col("other")).alias("consumption_spend"),
             whole(F.col("other")).alias("excluded_non_consumption_spend"),
         )

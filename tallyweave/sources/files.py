@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import re
 import zipfile
 from collections.abc import Sequence
+from html import escape
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +84,17 @@ def file_id(path: str, taken: Sequence[str] = ()) -> str:
     return f"{day}_{n}"
 
 
+def list_imports(history: DataFrame) -> DataFrame:
+    """All imports, the newest first."""
+    return history.select(*IMPORT_COLUMNS).orderBy(F.desc("imported_at"), "file_id")
+
+
+def find_import(history: DataFrame, file_id: str) -> dict[str, str | None] | None:
+    """The entry of a file id, or None."""
+    found = history.where(F.col("file_id") == file_id).select(*IMPORT_COLUMNS).first()
+    return found.asDict() if found else None
+
+
 def record_import(history: DataFrame, entry: DataFrame) -> DataFrame:
     """History with an entry, replacing that of the same source path; a file id of another path is refused."""
     clash = history.join(entry.select("file_id", F.col("imported_from").alias("__from")), "file_id").where("imported_from <> __from")
@@ -98,27 +111,68 @@ def export_master(df: DataFrame) -> DataFrame:
     return neutralize_strings(out.select(*cols)).orderBy(F.desc("date"), F.desc("time"), "row_hash")
 
 
-def write_report_csv(df: DataFrame, path: str) -> None:
-    """A report as one CSV file with a byte order mark. Reports are small by nature: a top-k or a group per label."""
-    rows = [tuple(df.columns), *df.limit(1_000_000).toLocalIterator()]
-    import csv
+def write_master(df: DataFrame, path: str) -> int:
+    """The master export as a workbook; the number of rows."""
+    from .workbook import write_workbook
 
+    return write_workbook(export_master(df), path, "Master")
+
+
+def write_report_csv(df: DataFrame, path: str) -> None:
+    """A report as one CSV file on the driver, with a byte order mark, text safe for spreadsheets. Rows are written as they
+    come, one partition at a time, and none is left out."""
+    safe = neutralize_strings(df)
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        csv.writer(f).writerows(rows)
+        out = csv.writer(f)
+        out.writerow(df.columns)
+        out.writerows(safe.toLocalIterator())
+
 
+def _shown(df: DataFrame, limit: int | None) -> tuple[list[Row], str]:
+    """Rows to show, and a note where there are more."""
+    if limit is None:
+        return df.collect(), ""
+    rows = df.limit(limit + 1).collect()
+    return rows[:limit], f"only the first {limit} rows are shown" if len(rows) > limit else ""
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    rows = df.limit(limit).collect()
-    head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |\n" for r in rows)
 
+def markdown_table(df: DataFrame, limit: int | None = 1000) -> str:
+    """A table for a report; one cut at a limit says so."""
+    rows, note = _shown(df, limit)
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    head = "| " + " | ".join(map(cell, df.columns)) + " |\n|" + "---|" * len(df.columns) + "\n"
+    return head + "".join("| " + " | ".join(map(cell, r)) + " |\n" for r in rows) + (f"\n*{note}*\n" if note else "")
 
-def html_table(df: DataFrame, limit: int = 1000) -> str:
-    from html import escape
 
+def html_table(df: DataFrame, limit: int | None = 1000) -> str:
+    """A table for a report; one cut at a limit says so."""
+    rows, note = _shown(df, limit)
     cell = lambda tag, v: f"<{tag}>{escape('' if v is None else str(v))}</{tag}>"
-    rows = ["".join(cell("th", c) for c in df.columns), *["".join(cell("td", v) for v in r) for r in df.limit(limit).collect()]]
-    return "<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>"
+    lines = ["".join(cell("th", c) for c in df.columns), *["".join(cell("td", v) for v in r) for r in rows]]
+    return "<table>" + (f"<caption>{note}</caption>" if note else "") + "".join(f"<tr>{r}</tr>" for r in lines) + "</table>"
+
+
+def bar_chart(rows: Sequence[tuple[str, float]], title: str, width: int = 640) -> str:
+    """Labels and amounts as an SVG of bars, for a report; negative amounts count by their size."""
+    most = max((abs(v) for _, v in rows), default=0) or 1
+    bars = "".join(
+        f'<text x="0" y="{24 * k + 41}">{escape(str(name))}</text><rect x="160" y="{24 * k + 28}" width="{round((width - 260) * abs(v) / most, 1)}" height="16"/>'
+        f'<text x="{round(166 + (width - 260) * abs(v) / most, 1)}" y="{24 * k + 41}">{abs(v):,.0f}</text>'
+        for k, (name, v) in enumerate(rows)
+    )
+    none = "" if rows else '<text x="0" y="41">no data</text>'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{24 * max(1, len(rows)) + 30}" role="img"><title>{escape(title)}</title><text x="0" y="16">{escape(title)}</text>{bars}{none}</svg>'
+
+
+def line_chart(rows: Sequence[tuple[str, float]], title: str, width: int = 640, height: int = 240) -> str:
+    """Periods and amounts as an SVG line with a mark a period, in the order given."""
+    most = max((abs(v) for _, v in rows), default=0) or 1
+    step = (width - 40) / max(1, len(rows) - 1)
+    points = [(round(20 + k * step, 1), round(height - 30 - (height - 70) * abs(v) / most, 1)) for k, (_, v) in enumerate(rows)]
+    marks = "".join(f'<circle cx="{x}" cy="{y}" r="3"><title>{escape(str(n))}: {abs(v):,.0f}</title></circle>' for (x, y), (n, v) in zip(points, rows))
+    ends = "".join(f'<text x="{points[k][0]}" y="{height - 8}" text-anchor="{a}">{escape(str(rows[k][0]))}</text>' for k, a in ((0, "start"), (-1, "end"))) if rows else '<text x="20" y="60">no data</text>'
+    path = " ".join(f"{x},{y}" for x, y in points)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" role="img"><title>{escape(title)}</title><text x="20" y="20">{escape(title)}</text><polyline fill="none" stroke="currentColor" points="{path}"/>{marks}{ends}</svg>'
 
 
 def extract_zip(path: str, target: str, suffix: str = ".xlsx") -> list[str]:

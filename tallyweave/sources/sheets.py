@@ -1,19 +1,22 @@
 """Overview worksheets as relations: cells ``(sheet, row, col, value)`` in, facts and typed tables out.
 
 Anchors are filters over cells, sections run from an anchor to the next one, tables are cells below a header, joined by
-row and pivoted by header. Workbooks themselves are read on the driver where a reader is installed; one sheet is at
-most a million rows."""
+row and pivoted by header. Workbooks themselves are read on the driver; one sheet is at most a million rows."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import fact_id, parse_date, parse_number, parse_period_month
 from ..schema import TABLES
+from .workbook import read_cells, sheet_names
 
+#: Cells of a workbook that go to the engine at once.
+BLOCK_CELLS = 500_000
 # Section titles, summary labels and the headers of the tables.
 SECTIONS = {"고객정보": "customer", "현금흐름현황": "cashflow", "재무현황": "balance", "보험현황": "insurance", "투자현황": "investments", "대출현황": "loans"}
 SUMMARY = ("합계", "총계", "총자산", "총부채")
@@ -39,15 +42,39 @@ def norm(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^\d+\s*[.)]\s*", ""), r"[\s_.·:()-]", "")
 
 
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of a workbook, where a reader for the format is installed."""
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise RuntimeError("no reader for workbooks is installed; pass cells as a table") from e
-    book = openpyxl.load_workbook(path, read_only=True, data_only=True)
-    rows = [(s.title, c.row, c.column, str(c.value)) for s in book for line in s.iter_rows() for c in line if c.value is not None]
-    return spark.createDataFrame(rows, "sheet string, row int, col int, value string")
+def read_workbook(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Cells of a workbook on the driver, of all sheets or some; a sheet's cells go to the engine in blocks of rows."""
+    schema = "sheet string, row int, col int, value string"
+    out, cells = None, read_cells(path, names)
+    while block := list(islice(cells, BLOCK_CELLS)):
+        part = spark.createDataFrame(block, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def transaction_sheet(names: Sequence[str]) -> str:
+    """The sheet that an export keeps its transactions in: the second one, or the only one."""
+    if not names:
+        raise ValueError("a workbook without sheets")
+    return names[1] if len(names) > 1 else names[0]
+
+
+def records(cells: DataFrame, sheet: str) -> DataFrame:
+    """A sheet as a table: its first row names the columns; rows without any value are left out. All values are text."""
+    rows = cells.where(F.col("sheet") == sheet)
+    first = rows.agg(F.min("row").alias("row"))
+    head = rows.join(F.broadcast(first), "row").orderBy("col").select("row", "col", F.trim("value").alias("name")).collect()
+    if not head:
+        return cells.sparkSession.createDataFrame([], "source_row long")
+    names = {r["col"]: r["name"] for r in reversed(head) if r["name"]}
+    body = rows.where(F.col("row") > head[0]["row"]).groupBy("row").pivot("col", sorted(names)).agg(F.first("value"))
+    return body.select(F.col("row").cast("long").alias("source_row"), *[F.col(f"`{k}`").alias(n) for k, n in sorted(names.items())])
+
+
+def read_transactions(spark: SparkSession, path: str) -> DataFrame:
+    """The transaction sheet of an exported workbook, as a table of text."""
+    sheet = transaction_sheet(sheet_names(path))
+    return records(read_workbook(spark, path, [sheet]), sheet)
 
 
 def find_sheet(cells: DataFrame, names: Sequence[str]) -> str | None:

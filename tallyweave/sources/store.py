@@ -77,6 +77,25 @@ class Store:
         out = out.orderBy(*(spec.sort or (spec.date_column,))).drop(*_PARTS)
         return out.select(*columns) if columns else out
 
+    def in_months(self, table: str, months: Sequence[tuple[int, int]], columns: Sequence[str] | None = None) -> DataFrame:
+        """Rows of a list of months."""
+        out = self._in(self._stored(TABLES[table]), list(months)).drop(*_PARTS)
+        return out.select(*columns) if columns else out
+
+    def with_months(self, table: str, rows: DataFrame, months: Sequence[tuple[int, int]]) -> DataFrame:
+        """Those of any rows whose dates lie in a list of months."""
+        month = self._month_of(TABLES[table])
+        return rows.where(month.isin(*[f"{y:04d}-{m:02d}" for y, m in months]))
+
+    def months(self, table: str) -> list[tuple[int, int]]:
+        """Months that the store has rows of, without those whose date is unknown."""
+        return sorted((y, m) for y, m in self._months(self._stored(TABLES[table])) if y and m)
+
+    def fresh_months(self, table: str, batch: DataFrame) -> list[tuple[int, int]]:
+        """Months in which a batch has rows that the store lacks."""
+        fresh, _ = self.new_rows(table, batch)
+        return sorted((y, m) for y, m in self._months(fresh) if y and m)
+
     def read_partitions(self, table: str, pattern: str, columns: Sequence[str] | None = None) -> DataFrame:
         """Partitions by a relative glob such as ``year=2024/month=*``."""
         if pattern.startswith("/") or ".." in pattern.split("/"):

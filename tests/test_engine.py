@@ -92,6 +92,13 @@ def test_filter_complement_and_nulls(spark):
     assert P.exclude_transfers(tx.drop("transfer_group_id")).count() == 3
 
 
+def test_merchant_pattern(spark):
+    tx = transactions_source(ledger(spark, dict(merchant_raw="CAFE 12"), dict(merchant_raw="cafe x"), dict(merchant_raw=None)))
+    assert tx.where(P.merchant_matches("Cafe [0-9]+$")).count() == 1 and tx.where(P.merchant_contains("cafe")).count() == 1
+    with pytest.raises(Exception):
+        P.merchant_matches("(")
+
+
 def test_order_by_is_allow_listed(spark):
     tx = transactions_source(ledger(spark, {}))
     assert P.order_by(tx, "amount desc, date").count() == 1
@@ -114,12 +121,16 @@ def test_null_safe_anti_join(spark):
 def test_nearest_equals_all_pairs(spark):
     rnd = random.Random(3)
     left, right = [(f"l{k}", rnd.uniform(1, 2000)) for k in range(40)], [(f"r{k}", rnd.uniform(1, 2000)) for k in range(60)]
+    left += [("l", 50.0), ("r1", 77.0), ("far", 1e9), ("none", -1.0), ("null", None)]
+    right += [(f"t{k}", 50.0) for k in range(9)] + [("r1", 77.0), ("zero", 0.0), ("next", 5e8 + 1)]
     got = J.nearest_by_mean(spark.createDataFrame(left, "n string, v double"), spark.createDataFrame(right, "n string, v double"), name="n", value="v")
     want = set()
     for n, v in left:
-        near = sorted((abs(v - w) / max(v, w), m) for m, w in right if abs(v - w) / max(v, w) < 0.5)[:3]
+        near = sorted((abs(v - w) / max(v, w), m) for m, w in right if v and v > 0 < w and m != n and abs(v - w) / max(v, w) < 0.5)[:3]
         want |= {(n, m, k + 1) for k, (_, m) in enumerate(near)}
-    assert {(r.name, r.near, r["rank"]) for r in got.collect()} == want
+    assert {(r.name, r.near, r["rank"]) for r in got.collect()} == want and ("l", "t2", 3) in want
+    empty = spark.createDataFrame([], "n string, v double")
+    assert J.nearest_by_mean(empty, empty, name="n", value="v").count() == 0
 
 
 # ---- transfers
@@ -241,6 +252,10 @@ def test_rule_validation():
     text = "\n".join(bad)
     assert "did you mean amount?" in text and "did you mean less_than?" in text and "no name" in text and "200" in text and "two numbers" in text
     assert R.validate({}) == ["no list of rules"]
+    said = lambda rule: "; ".join(R.validate({"rules": [{"name": "a", "tags": ["x"]} | rule]}))
+    assert "did you mean is_not?" in said({"conditions": [{"field": "amount", "op": "ne", "value": 1}]}) and "unknown field 'file_id'" in said({"match": "x", "fields": ["merchant_raw", "file_id"]})
+    for word, meant in R.HINTS.items():
+        assert meant in R.OPERATORS and (word in R.ALIASES or f"did you mean {meant}?" in said({"conditions": [{"field": "account", "op": word, "value": "1"}]}))
     found = R.lint([R.Rule("a", match="star", category="A", priority=60), R.Rule("b", match="starbucks", category="B", priority=10), R.Rule("b", match="q")])
     assert any("twice" in x for x in found) and any("before the more specific" in x for x in found)
 
@@ -266,6 +281,42 @@ def test_template_parameters(spark):
     assert templates.month_list("2023-11..2024-02") == ["2023-11", "2023-12", "2024-01", "2024-02"]
 
 
+def test_rules_see_their_columns_only(spark):
+    df = ledger(spark, dict(file_id="caf", merchant_raw="x"))
+    assert R.apply_rules(df, [R.Rule("a", ("t",), match="caf", fields=("file_id", "merchant_raw"))]).first().tags_rule == []
+
+
+def test_large_transactions_count_none(spark):
+    tx = transactions_source(ledger(spark, dict(amount=-5.0), dict(row_hash="b", amount=-7.0)))
+    assert [tuple(r) for r in signals.large_transactions(tx, 100).collect()] == [(None, None, None, None, 0)]
+    assert [(r.row_hash, r["count"]) for r in signals.large_transactions(tx, 5, 1).collect()] == [("b", 2)]
+
+
+def test_suggestions(spark):
+    shop = lambda name, n, **more: [dict(row_hash=f"{name}{k}", merchant_raw=name, date=f"2024-0{1 + k % 2}-05", tags_final=[], memo_raw=f"m{k % 5}") | more for k in range(n)]
+    rows = shop("Cafe 강남점", 9) + shop("Cafe! 12", 4) + shop("KG-INICIS", 6) + shop("paypal *x", 3) + shop("Known Shop", 8) + shop("Once", 1) + shop("Plain", 2, major_raw=None, minor_raw=" ")
+    out = {r.merchant: r for r in signals.rule_suggestions(transactions_source(ledger(spark, *rows)), patterns=("known|zzz",), names=("suggested_plain",)).collect()}
+    assert set(out) == {"Cafe 강남점", "Cafe! 12", "KG-INICIS", "paypal *x", "Plain"}
+    a = out["Cafe 강남점"]
+    assert (a.pattern, a.category, a.tags, a.priority, a.default_action, a.sample_memos) == ("Cafe", "외식", "외식,식비", 85, "create_rule", "m0,m1,m2")
+    assert out["KG-INICIS"].default_action == out["paypal *x"].default_action == "skip_rule" and not out["paypal *x"].auto_apply_eligible
+    assert out["Plain"].rule_name == "suggested_plain_2" and out["Plain"].category == out["Plain"].tags == "미분류"
+
+
+def test_posture(spark):
+    tx = transactions_source(ledger(spark, *[dict(row_hash=f"{m}", date=f"2024-0{m}-01", amount=-400000.0, tags_final=["a"] if m < 6 else []) for m in range(1, 7)]))
+    none = tx.where("false")
+    status = lambda df: df.first().status
+    assert [status(signals.obligations_posture(t)) for t in (tx, none, tx.where("month < '2024-05'"))] == ["needs_confirmation", "empty", "healthy"]
+    assert [status(signals.review_posture(t)) for t in (tx, none, tx.where("month < '2024-05'"))] == ["needs_attention", "empty", "healthy"]
+    worth = lambda a, b: spark.createDataFrame([(a, b, a - b)], "total_assets double, total_liabilities double, net_worth double")
+    assert [status(signals.networth_posture(*x)) for x in ((worth(1.0, 2.0), 5), (worth(9.0, 2.0), 5), (worth(6.0, 2.0), 5), (worth(6.0, 2.0), None), (worth(1.0, 1.0).where("false"), 5))] == ["negative", "on_target", "tracking", "healthy", "missing_data"]
+    all_ = signals.review_posture(tx).select("domain", "status").unionByName(signals.networth_posture(worth(1.0, 2.0)).select("domain", "status"))
+    assert [(r.priority, r.domain) for r in signals.next_actions(all_).collect()] == [(1, "networth"), (1, "review")]
+    events = spark.createDataFrame([("tag",), ("tag",), (None,), ("import",)], "command string")
+    assert [tuple(r) for r in signals.top_commands(events).collect()] == [("tag", 2), ("import", 1)]
+
+
 def test_null_category_is_gone_and_new(spark):
     tx = transactions_source(ledger(spark, dict(date="2024-01-20", category_final=None), dict(date="2024-01-10", category_final=None)))
     out = templates.weekly_anomalies(tx)
@@ -395,23 +446,120 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.record_import(h, spark.createDataFrame([("a", "n", "/q", "", "", "t", "2")], cols))
     df = spark.createDataFrame([("=1+1", "a|b")], "x string, y string")
-    files.write_report_csv(N.neutralize_strings(df), str(tmp_path / "r.csv"))
+    files.write_report_csv(df, str(tmp_path / "r.csv"))
+    many = spark.range(30).select("id")
+    assert "only the first 5 rows" in files.markdown_table(many, 5) and "only the first 5 rows" in files.html_table(many, 5) and "only" not in files.markdown_table(many, 30)
+    assert len(files.markdown_table(many, None).splitlines()) == 32 and files.find_import(h, "a")["source_rows"] == "1" and files.find_import(h, "z") is None and files.list_imports(h).count() == 1
+    rows = [("2024-01", -5.0), ("<b>", 2.0)]
+    assert "&lt;b&gt;" in files.bar_chart(rows, "x") and files.line_chart(rows, "x").count("<circle") == 2 and "no data" in files.line_chart([], "x") and "no data" in files.bar_chart([], "x")
     assert (tmp_path / "r.csv").read_bytes().startswith(b"\xef\xbb\xbf") and "'=1+1" in (tmp_path / "r.csv").read_text("utf-8-sig")
     assert "a\\|b" in files.markdown_table(df) and "<td>=1+1</td>" in files.html_table(df)
 
 
+def raw_export(spark, *rows):
+    names = "날짜 시간 타입 대분류 소분류 내용 금액 화폐 결제수단 메모".split()
+    return spark.createDataFrame(list(rows), ", ".join(f"`{c}` string" for c in names))
+
+
+def export_rows():
+    day = lambda k: f"2024-{1 + k % 3:02d}-{28 - k % 20:02d}"
+    rows = [(day(k), f"{k % 24:02d}:10", "지출", "식비", "외식", f"Cafe {k % 4}", f"-{1000 + k}", "KRW", "Card", None) for k in range(30)]
+    rows += [("2024-01-31", "23:59", "이체", "이체", None, "own", "-5,000", "KRW", "A", None), ("2024-02-01", "00:01", "이체", "이체", None, "own", "5,000", "KRW", "B", None)]
+    return [*rows, *rows[:3], (None, "x", "지출", None, None, "Cafe", "1", None, "C", None)]
+
+
+def test_run_from_workbook_to_export(spark, tmp_path):
+    from tallyweave.plans.run import export, run
+    from tallyweave.sources.workbook import sheet_names, write_workbook
+
+    rules = [R.Rule("cafe", ("coffee",), "Coffee", match="cafe 1")]
+    raw = raw_export(spark, *export_rows())
+    path = str(tmp_path / "2024-03-31.xlsx")
+    write_workbook(raw, path, "가계부 <내역>")
+    assert sheet_names(path) == ["가계부 <내역>"]
+    read = sheets.read_transactions(spark, path)
+    assert read.count() == raw.count() and rows_of(read.drop("source_row")) == rows_of(raw)
+    store = Store(spark, f"file://{tmp_path}/s")
+    first = run(store, [("f1", read)], rules)
+    assert (first.new, first.duplicates, first.rejected, first.transfers) == (32, 3, 1, 1) and first.changed > 0
+    state = rows_of(store.read("transactions"))
+    again = run(store, [("f1", read)], rules)
+    assert (again.new, again.duplicates, again.changed) == (0, 35, 0) and rows_of(store.read("transactions")) == state
+    forced = run(store, [("f2", read)], rules, force=True)
+    assert forced.changed == 0 and rows_of(store.read("transactions")) == state
+    # the order and split of the imports do not matter
+    other = Store(spark, f"file://{tmp_path}/t")
+    for k in (2, 0, 1):
+        run(other, [("f1", raw_export(spark, *export_rows()[k::3]))], rules)
+    strip = lambda s: rows_of(s.read("transactions").drop("source_row"))
+    assert strip(other) == strip(store)
+    out = export(store)
+    assert out.where("tags_final = 'coffee'").count() == out.where("category_final = 'Coffee'").count() > 0
+    assert out.where("is_transfer = 1").count() == 2 and files.write_master(store.read("transactions"), str(tmp_path / "m.xlsx")) == 32
+
+
+def test_workbook_values(spark, tmp_path):
+    import zipfile
+
+    from tallyweave.sources.workbook import read_cells, write_workbook
+
+    df = spark.createDataFrame([(1, 2.5, True, " a <b> & \x01", None)], "i int, d double, b boolean, s string, n string")
+    write_workbook(df, str(tmp_path / "a.xlsx"), "S")
+    assert [c[1:] for c in read_cells(str(tmp_path / "a.xlsx"))][5:] == [(2, 1, "1"), (2, 2, "2.5"), (2, 3, "TRUE"), (2, 4, " a <b> & ")]
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="info" r:id="a"/><sheet name="rows" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Target="worksheets/1.xml"/><Relationship Id="b" Target="/xl/worksheets/2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>날짜</t></si><si><r><t>금</t></r><r><t>액</t></r></si></sst>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="yyyy/mm/dd"/><numFmt numFmtId="171" formatCode="#,##0.00"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="22"/><xf numFmtId="171"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/1.xml", f'<worksheet xmlns="{main}"><sheetData/></worksheet>')
+        z.writestr("xl/worksheets/2.xml", f'<worksheet xmlns="{main}"><sheetData><row r="2"><c r="A2" t="s"><v>0</v></c><c r="AB2" t="s"><v>1</v></c></row><row r="3"><c r="A3" s="1"><v>45296</v></c><c r="AB3" s="3"><v>12.5</v></c></row><row r="4"><c r="A4" s="2"><v>45296.5</v></c></row></sheetData></worksheet>')
+    got = sheets.read_transactions(spark, str(tmp_path / "b.xlsx"))
+    assert rows_of(got) == rows_of(spark.createDataFrame([(3, "2024-01-05", "12.5"), (4, "2024-01-05 12:00:00", None)], "source_row long, `날짜` string, `금액` string"))
+
+
 # ---- endpoint
 
 
 @pytest.mark.parametrize("sql", [
     "drop table transactions", "insert into transactions values (1)", "select 1; select 2", "select reflect('java.lang.System', 'getProperty', 'user.dir')", "select * from other",
     "select * from parquet.`/tmp/x`", "set spark.x = 1", "show tables", "select input_file_name() from transactions", "with a as (select * from other) select * from a", "select (select max(x) from other) from transactions",
+    "select * from range(1000000000000000)", "select sequence(1, 1000000000) from transactions", "select repeat(account, 1000000) from transactions", "select java_method('java.lang.System', 'exit') from transactions",
+    "select * from (with a as (select 1) select * from a) join a", "with a as (select * from b), b as (select 1) select * from a", "select count(*) from transactions where amount > (select min(value) from other)",
+    "select current_user()", "select spark_catalog.default.f(amount) from transactions", "select transform(tags_list, x -> reflect(x)) from transactions", "select sum(uuid()) over (order by version()) from transactions", "from transactions insert into x select *",
 ])
 def test_guard_refuses(spark, sql):
     with pytest.raises(endpoint.GuardError):
         endpoint.guard(spark, sql)
 
 
+@pytest.mark.parametrize("sql", [
+    "select 'drop table x; reflect(' as word, count(*) from transactions", "with a as (select * from transactions), b as (select * from a) select * from a join b on a.row_hash = b.row_hash",
+    "select account, sum(amount) over (partition by account order by date) from transactions where date in (select max(date) from transactions)", "select t.tag from transactions lateral view explode(tags_list) t as tag",
+    "select case when amount < 0 then 'out' else 'in' end as way, count(distinct account), extract(year from to_date(date)) from transactions group by 1, 3 having count(*) > 0 order by 1 limit 3",
+    "select cast(amount as string), amount between 1 and 2, account like 'C%', transform(tags_list, x -> upper(x)) from transactions union all select '1', true, false, array()",
+])
+def test_guard_allows_queries(spark, sql):
+    transactions_source(ledger(spark, {})).createOrReplaceTempView("transactions")
+    endpoint.query(spark, sql).collect()
+
+
+def test_pages_by_key(spark):
+    df = spark.createDataFrame([(k, None if k % 5 == 0 else float(k % 3)) for k in range(23)], "id int, x double")
+    seen, after = [], None
+    while rows := endpoint.page_after(df, after, 4, ("x", "id")).collect():
+        seen += [tuple(r) for r in rows]
+        after = rows[-1].asDict()
+    assert seen == sorted(((k, None if k % 5 == 0 else float(k % 3)) for k in range(23)), key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+
+
+def test_outputs(spark):
+    assert endpoint.failure(endpoint.GuardError("x"), "query")["error"] == {"code": "QUERY_ERROR", "exit_code": 2, "message": "x"}
+    assert endpoint.failure(LookupError("none"), "show")["error"]["exit_code"] == 4 and endpoint.failure(RuntimeError(), "x")["error"]["code"] in endpoint.ERROR_CODES
+    schema = endpoint.output_schema(spark.createDataFrame([(1, [("a", 1.0)])], "n long, xs array<struct<k: string, v: double>>"))
+    assert schema["items"]["properties"]["xs"]["items"]["properties"]["v"] == {"type": ["number", "null"]} and schema["items"]["required"] == ["n", "xs"]
+
+
 def test_pages_cover_all_rows_once(spark):
     transactions_source(ledger(spark, *[dict(row_hash=f"{k % 7}", amount=-float(k % 3)) for k in range(23)])).createOrReplaceTempView("transactions")
     sql = "with transactions as (select row_hash, amount, 'drop' as word from transactions) select * from transactions"
