@@ -25,6 +25,7 @@ TX = """ledger AS (
 ), tx AS (
   SELECT *, substr(date, 1, 7) AS month, is_transfer = 1 AND trim(coalesce(transfer_group_id, '')) <> '' AS is_transfer_bool FROM ledger
 ), spend AS (SELECT * FROM tx WHERE amount < 0 AND NOT is_transfer_bool)"""
+# Fixed value: what marks a row as no consumption.
 NON = (
     "regexp_matches(lower(concat_ws(' ', coalesce(category_final, ''), coalesce(major_raw, ''), coalesce(minor_raw, ''), coalesce(array_to_string(tags_list, ' '), ''))), "
     "'(카드대금|카드결제|결제대금|상환|이체|송금|투자|증권|주식|펀드|isa|irp|연금|저축|적금|예금|savings?|investment|소비제외|금융|금융비용|외화)')"
@@ -232,7 +233,7 @@ ORACLES: dict[str, str] = {
         "round(coalesce(stddev_samp(CAST(abs(amount) AS DOUBLE)), 0), 2) AS amount_stddev, string_agg(DISTINCT month, ',' ORDER BY month) AS active_months, min(major_raw) AS major_raw, min(minor_raw) AS minor_raw, "
         "(SELECT account FROM u v WHERE v.merchant_raw = u.merchant_raw GROUP BY account ORDER BY count(*) DESC, account LIMIT 1) AS payment_method, "
         "count(*) FILTER (isodow(CAST(date AS DATE)) <= 5) / count(*) AS weekday_pct, count(*) FILTER (CAST(substr(time, 1, 2) AS INTEGER) BETWEEN 11 AND 13) / count(*) AS lunch_pct, "
-        "count(DISTINCT month) >= 2 AS is_recurring, coalesce(string_agg(DISTINCT memo_raw, ',' ORDER BY memo_raw), '') AS sample_memos FROM u GROUP BY merchant_raw HAVING count(*) >= 2 ORDER BY transaction_count DESC, merchant LIMIT 200",
+        "count(DISTINCT month) >= 2 AS is_recurring, coalesce((SELECT string_agg(memo_raw, ',' ORDER BY n DESC, memo_raw) FROM (SELECT v.memo_raw, count(*) AS n FROM u v WHERE v.merchant_raw = u.merchant_raw AND trim(v.memo_raw) <> '' GROUP BY v.memo_raw ORDER BY n DESC, v.memo_raw LIMIT 3)), '') AS sample_memos FROM u GROUP BY merchant_raw HAVING count(*) >= 2 ORDER BY transaction_count DESC, merchant LIMIT 200",
         "u AS (SELECT * FROM tx WHERE len(tags_list) = 0 AND NOT is_transfer_bool AND trim(merchant_raw) <> '' AND NOT regexp_matches(merchant_raw, '^[0-9]+$'))",
     ),
     "tagged_merchants": q(
@@ -283,11 +284,11 @@ ORACLES: dict[str, str] = {
         "(SELECT 'orders' AS domain, max(CAST(o_orderdate AS DATE)) AS latest, 30 AS threshold_days FROM orders UNION ALL SELECT 'events', max(CAST(ts AS DATE)), 400 FROM events UNION ALL SELECT 'none', NULL, 1)"
     ),
     "anti_join": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) GROUP BY 1",
-    "nullsafe_anti_join": "WITH a AS (SELECT DISTINCT o_orderkey % 400 AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders) SELECT s, count(*) AS n FROM a WHERE k % 3 <> 0 GROUP BY s",
-    "dedup_keep_first": q("SELECT account, month, row_hash, CAST(amount AS DOUBLE) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY account, month ORDER BY source_row, file_id) AS r FROM tx) WHERE r = 1"),
-    "append_preview": q(
-        "SELECT month, count(*) AS unique_rows, count(*) FILTER (source_row % 2 = 1) AS new_rows FROM tx WHERE source_row % 2 = 1 OR source_row % 20 = 0 OR source_row % 7 = 1 GROUP BY month"
+    "nullsafe_anti_join": (
+        "WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders), b AS (SELECT l_orderkey AS k, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE l_linestatus END AS s FROM lineitem WHERE l_returnflag = 'R') "
+        "SELECT s, count(*) AS n FROM a ANTI JOIN b ON a.k = b.k AND a.s IS NOT DISTINCT FROM b.s GROUP BY s"
     ),
+    "dedup_keep_first": q("SELECT account, month, row_hash, CAST(amount AS DOUBLE) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY account, month ORDER BY source_row, file_id) AS r FROM tx) WHERE r = 1"),
     "asof_snapshot": f"WITH {_SNAP} SELECT snapshot_date, account_id, count(*) AS n FROM snap WHERE snapshot_date = (SELECT max(snapshot_date) FROM snap WHERE snapshot_date <= '1997-07-15') GROUP BY 1, 2",
     "asset_status": f"WITH {_SNAP} SELECT snapshot_date, account_id, CAST(sum(market_value) AS DOUBLE) AS total_value, count(*) AS positions FROM snap WHERE snapshot_date = (SELECT max(snapshot_date) FROM snap) GROUP BY 1, 2",
     "holdings": f"WITH {_SNAP} SELECT account_id, instrument_id, CAST(count(*) AS DOUBLE) AS quantity, CAST(sum(market_value) AS DOUBLE) AS market_value, 'KRW' AS currency FROM snap WHERE snapshot_date = (SELECT max(snapshot_date) FROM snap) AND contains(account_id, 'URGENT') GROUP BY 1, 2 ORDER BY market_value DESC, account_id, instrument_id LIMIT 50",
@@ -305,7 +306,7 @@ ORACLES: dict[str, str] = {
         "SELECT count(*), CAST(sum(k) AS BIGINT), 'union_all' FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT c_custkey FROM customer)"
     ),
     "grouping_sets": q(f"SELECT account, type_norm, count(*) AS n, {SIGNED} AS total FROM tx GROUP BY ROLLUP (account, type_norm)"),
-    "unnest_tags": q("SELECT row_hash, CAST(unnest(range(len(tags_list))) AS INTEGER) AS pos, unnest(tags_list) AS tag FROM tx WHERE month = '1996-01'"),
+    "unnest_tags": q("SELECT row_hash, CAST(unnest(range(len(tags_list))) AS INTEGER) AS pos, unnest(tags_list) AS tag FROM tx"),
     "row_hash": q("SELECT source_row, substr(sha256(concat_ws('|', date, time, type_raw, merchant_raw, CAST(amount AS VARCHAR), currency, account)), 1, 16) AS row_hash FROM tx"),
     "normalize_type": (
         "WITH r AS (SELECT ['카드지출','출금이체','급여수입','입금','계좌이체','기타',''][o_orderkey % 7 + 1] AS raw, CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM orders), t AS (SELECT raw, p, CASE WHEN raw LIKE '%지출%' OR raw LIKE '%출금%' THEN 'expense' "
@@ -327,7 +328,7 @@ ORACLES: dict[str, str] = {
         "SELECT c_custkey, CASE WHEN starts_with(n, '=') THEN '''' || n ELSE n END AS safe, regexp_replace(n, '[0-9]+', '#', 'g') AS masked, lower(regexp_replace(n, '[^\\p{L}\\p{N}]', '', 'g')) AS key, 'see [path] and [file] ' || n AS redacted FROM "
         "(SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '=' || c_name ELSE c_mktsegment || ' 강남점 12' END AS n FROM customer)"
     ),
-    "export_master": q("SELECT row_hash, date, time, merchant_raw, array_to_string(tags_list, ', ') AS tags_final, category_final, CAST(amount AS DOUBLE) AS amount FROM tx WHERE date BETWEEN '1996-01-01' AND '1996-01-31'"),
+    "export_master": q("SELECT row_hash, date, time, merchant_raw, array_to_string(tags_list, ', ') AS tags_final, category_final, CAST(amount AS DOUBLE) AS amount FROM tx"),
     "tag_rules": q(
         "SELECT row_hash, array_to_string(list_concat(list_concat(list_concat(CASE WHEN m_asia THEN ['asia','far'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN m_big THEN ['big'] ELSE CAST([] AS VARCHAR[]) END), list_concat(CASE WHEN m_mid THEN ['mid'] ELSE CAST([] AS VARCHAR[]) END, "
         "CASE WHEN m_urgent THEN ['urgent'] ELSE CAST([] AS VARCHAR[]) END)), list_concat(CASE WHEN m_any THEN ['any'] ELSE CAST([] AS VARCHAR[]) END, CASE WHEN m_income THEN ['income'] ELSE CAST([] AS VARCHAR[]) END)), ',') AS tags, "
@@ -408,3 +409,8 @@ ORACLES |= {
         "UNION ALL SELECT 'insurance', 'text', 1, 1"
     ),
 }
+
+# after the oracles above, as some are made of them
+from .store_oracles import STORE_ORACLES  # noqa: E402
+
+ORACLES |= STORE_ORACLES(ORACLES)

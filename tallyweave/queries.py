@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,19 +14,12 @@ from .operators import transfers as X
 from .operators.rules import Condition, Rule, apply_rules, matched_rules, rule_cotags, rule_months, rule_preview
 from .plans import endpoint, networth, reports, signals, templates
 from .plans.templates import money
+from .registry import QUERIES, register
 from .schema import TAG_COLUMNS, parse_tags
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
 BASE = ("amount", "date", "is_transfer", "transfer_group_id")
 
 
-def register(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
-
-
 def orders_tx(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The transactions view with the columns that a query needs, so unneeded dimensions are not joined."""
     return transactions_source(ledger_from_orders(spark, sf_dir, (*BASE, *columns)))
@@ -147,7 +138,9 @@ def pivot_tags(spark, d):
 
 @register
 def pivot_other_bucket(spark, d):
-    return templates.pivot(orders_tx(spark, d, "minor_raw"), row="year", col="minor_raw", top_n_cols=3)
+    """The three largest nations and the rest, by year; its columns depend on the data, so they are put out as rows."""
+    out = templates.pivot(orders_tx(spark, d, "minor_raw"), row="year", col="minor_raw", top_n_cols=3)
+    return out.unpivot("year", out.columns[1:], "bucket", "value")
 
 
 # ---- predicates
@@ -350,6 +343,36 @@ def merchant_context(spark, d):
     return signals.merchant_context(orders_tx(spark, d, *CONTEXT_COLUMNS), 2, 200)
 
 
+@register
+def rule_suggestions(spark, d):
+    """Customers and, as every eleventh merchant, a payment gateway; a rule for the names that end with 7 is known."""
+    tx = orders_tx(spark, d, *CONTEXT_COLUMNS, "source_row")
+    tx = tx.withColumn("merchant_raw", F.when(F.col("source_row") % 11 == 3, "KG-Inicis").otherwise(F.concat("minor_raw", F.lit(" "), F.lpad((F.col("source_row") % 20).cast("string"), 2, "0"), F.lit(" ("), F.col("account"), F.lit(")"))))
+    return signals.rule_suggestions(tx, patterns=("07",), names=("suggested_kg_inicis",), top_n=60)
+
+
+@register
+def networth_posture(spark, d):
+    debts = spark.createDataFrame([("Loan", 120000.0)], "name string, value double")
+    worth = networth.net_worth(*networth.position(order_snapshots(spark, d), manual_assets(spark), "1999-12-31", None, debts))
+    return signals.networth_posture(worth, 1e12)
+
+
+@register
+def obligations_posture(spark, d):
+    return signals.obligations_posture(orders_tx(spark, d, "type_norm", "minor_raw"), label=F.col("minor_raw"), known=("france",), max_range=0.95)
+
+
+@register
+def review_posture(spark, d):
+    return signals.review_posture(orders_tx(spark, d, "tags_final", "category_final", "needs_review"))
+
+
+@register
+def top_commands(spark, d):
+    return signals.top_commands(read(spark, d, "events").select(F.when(F.col("event_id") % 9 > 0, F.col("event_type")).alias("command")))
+
+
 @register
 def tagged_merchants(spark, d):
     return signals.tagged_merchants(orders_tx(spark, d, *CONTEXT_COLUMNS))
@@ -466,9 +489,10 @@ def anti_join(spark, d):
 
 @register
 def nullsafe_anti_join(spark, d):
-    orders = read(spark, d, "orders")
-    a = orders.select((F.col("o_orderkey") % 400).alias("k"), F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("s")).distinct()
-    b = a.where("k % 3 = 0")
+    """Orders whose key and status, which may be null, no returned line of theirs bears."""
+    orders, lines = read(spark, d, "orders"), read(spark, d, "lineitem")
+    a = orders.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("s"))
+    b = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.when(F.col("l_orderkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_linestatus")).alias("s"))
     return J.anti_join(a, b, ["k", "s"], null_safe=True).groupBy("s").agg(F.count("*").alias("n"))
 
 
@@ -479,18 +503,6 @@ def dedup_keep_first(spark, d):
     return out.select("account", "month", "row_hash", money(F.col("amount")).alias("amount"))
 
 
-@register
-def append_preview(spark, d):
-    """The second half of the ledger, with the first tenth once more, against the first half: new and known rows by month."""
-    ledger = ledger_from_orders(spark, d, ("row_hash", "date", "source_row"))
-    old = ledger.where("source_row % 2 = 0")
-    batch = ledger.where("source_row % 2 = 1").unionByName(ledger.where("source_row % 20 = 0")).unionByName(ledger.where("source_row % 7 = 1"))
-    batch = J.keep_first(batch, ["row_hash"], ["source_row"]).withColumn("month", F.substring("date", 1, 7))
-    fresh = J.anti_join(batch, old, ["row_hash"])
-    total = batch.groupBy("month").agg(F.count("*").alias("unique_rows"))
-    return total.join(fresh.groupBy("month").agg(F.count("*").alias("new_rows")), "month", "left").na.fill(0)
-
-
 def order_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as asset snapshots: month-ends of the order date, account by priority, instrument by status and year."""
     o = read(spark, sf_dir, "orders")
@@ -603,7 +615,7 @@ def grouping_sets(spark, d):
 
 @register
 def unnest_tags(spark, d):
-    tx = orders_tx(spark, d, "row_hash", "tags_final").where("month = '1996-01'")
+    tx = orders_tx(spark, d, "row_hash", "tags_final")
     return tx.select("row_hash", F.posexplode("tags_list").alias("pos", "tag"))
 
 
@@ -686,7 +698,7 @@ def text_cleanup(spark, d):
 def export_master(spark, d):
     from .sources.files import export_master as export
 
-    ledger = ledger_from_orders(spark, d).where("date between '1996-01-01' and '1996-01-31'")
+    ledger = ledger_from_orders(spark, d)
     ledger = ledger.withColumns({c: parse_tags(F.col(c)) for c in TAG_COLUMNS})
     return export(ledger).select("row_hash", "date", "time", "merchant_raw", "tags_final", "category_final", money(F.col("amount")).alias("amount"))
 
@@ -784,3 +796,5 @@ def tpch_q1(spark, d):
 
 
 del T
+
+from . import store_queries  # noqa: E402,F401  (registers the queries that go through the store and files)

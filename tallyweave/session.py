@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -51,6 +53,21 @@ def release(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _release_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            release(spark, path)
+    except Exception:  # the session may be gone already; the folder belongs to the cluster's cleaner then
+        pass
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared scratch folder, which goes when the session ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_release_at_exit, spark, path)
+    return path
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: Spark's file server hands them a zip of it, once a session."""
     context = spark.sparkContext

@@ -46,7 +46,8 @@ def normalize_schema() -> T.StructType:
 
 
 def write_ledger_csv(df: DataFrame, path: str) -> None:
-    encode_tags(df.select(*LEDGER_COLUMNS)).write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"').csv(path)
+    options = {"header": True, "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    encode_tags(df.select(*LEDGER_COLUMNS)).write.mode("overwrite").options(**options).csv(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
