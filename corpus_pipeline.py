@@ -1,41 +1,58 @@
 """A training-data pipeline over ``documents``: five stages, each one operator of ``tallyweave.llm``.
 
 Each stage takes what its predecessor kept and writes it as Parquet in the shared folder, so a lost executor costs
-one stage's tasks. All but the last return the columns of ``documents``.
+one stage's tasks. All but the last return the columns of ``documents``, and further ones that the table has, whatever
+their names.
+
+Defined cases, of every stage: a row with a null or blank text, or with a null id, is kept as it is (null encodes to no
+tokens); rows that share a doc_id are one document to line dedup and near-duplicates, and stay or go together; very long
+texts are worked on whole; of near-duplicates and of recurring lines the smallest id keeps its copy; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe, decontam, linededup, minhash, toxicity
-from tallyweave.llm.common import materialise, scratch_root, table
+from tallyweave.llm.common import free_prefix, materialise, scratch_scope, table
 from tallyweave.llm.queries import word_tokenizer
+from tallyweave.session import release, scratch_path
 
 
-def _with_length(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+def _aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with all columns but id and text under names that no operator uses, and the way back."""
+    own = free_prefix(docs.columns)
+    names = {c: c if c in ("doc_id", "text") else f"{own}{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[docs[c].alias(n) for c, n in names.items()]), lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier calls toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    columns = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.score(docs, model, keep=columns)
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    rows, back = _aside(docs)
+    model = toxicity.fit(rows, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(rows, model, keep=tuple(rows.columns))
+    return back(scored.where(F.col("predicted") == 0))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes recurring lines. A document that would lose all of its lines goes only if the documents that keep their
-    templates hold each of them byte for byte, or one of them is a near duplicate of it; else it stays as it was."""
-    cleaned = linededup.drop_recurring_lines(docs, sources=True)
+    """Removes recurring lines, and sets ``n_chars`` of texts that lose some. A document that would lose all of its lines
+    goes only if the documents that keep their templates hold each of them byte for byte, or one of them is a near
+    duplicate of it; else it stays as it was."""
+    rows, back = _aside(docs)
+    cleaned = linededup.drop_recurring_lines(rows, sources=True)
+    if "n_chars" in docs.columns:
+        at = rows.columns[docs.columns.index("n_chars")]
+        kind = docs.schema["n_chars"].dataType
+        cleaned = cleaned.withColumn(at, F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col(at)))
     empty = (F.col("n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = _with_length(cleaned.where(~empty)).select(*docs.columns)
-    emptied = cleaned.where(empty).withColumn("text", F.col("raw_text")).select(*docs.columns, "owners")
+    kept = back(cleaned.where(~empty))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn(at, F.length("raw_text").cast(kind))
+    emptied = cleaned.where(empty).withColumn("text", F.col("raw_text")).select(*rows.columns, "owners")
     emptied, _ = materialise(emptied, "emptied")
     if emptied.isEmpty():
         return kept
@@ -48,10 +65,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone = lines.select("doc_id", F.sha2("text", 256).alias("of"), address).join(held.hint("merge"), "address", "left_anti")
     alone = alone.select(F.col("doc_id").alias("__id"), "of").distinct().hint("merge")
     same = (emptied["doc_id"] == alone["__id"]) & (F.sha2(emptied["text"], 256) == alone["of"])
-    alone, _ = materialise(emptied.join(alone, same, "left_semi").select(*docs.columns), "alone")
+    alone, _ = materialise(emptied.join(alone, same, "left_semi").drop("owners"), "alone")
     if alone.isEmpty():
         return kept
-    return kept.unionByName(_firsts(alone, minhash.near_duplicates(alone.select("doc_id", "text").unionByName(owners))))
+    return kept.unionByName(back(_firsts(alone, minhash.near_duplicates(alone.select("doc_id", "text").unionByName(owners)))))
 
 
 def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -89,10 +106,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    base = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage. A stage's input and scratch tables are freed once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            release(spark, before)
+        before = path
     return docs

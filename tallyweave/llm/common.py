@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import release, scratch_root
+from ..session import release, scratch_path
 
 #: ASCII white space, as a Java character class body.
 WS = r"\x20\x09-\x0D"
@@ -20,28 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _release_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            release(spark, path)
-    except Exception:  # the session may be gone already; the folder belongs to the cluster's cleaner then
-        pass
+#: Paths of scratch tables by the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared scratch folder, which goes when the session ends."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_release_at_exit, spark, path)
-    return path
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Releases at its end the tables that were materialised in it, but for those that are kept: they belong to the scope
+    around it, if there is one. No plan that reads them may run after that."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            release(spark, path)
 
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared scratch folder and read it back: later stages restart from
-    the files when an executor is lost, and no plan is computed twice. Returns the table and its path, which the
-    caller releases once no plan reads it; what a lazy result still reads goes when the session ends."""
+    the files when an executor is lost, and no plan is computed twice. Returns the table and its path, which goes with the
+    innermost scope (``keep``: the one around that), or when the session ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

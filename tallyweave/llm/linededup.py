@@ -28,8 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import release
-from .common import WS, WS_CHARS, let, materialise
+from .common import WS, WS_CHARS, let, materialise, scratch_scope
 
 LEADING = 3
 #: Lines of a leaf that a round looks for leaders among: at first, and at most. Later rounds take more. Up to a thousand,
@@ -94,16 +93,15 @@ def _leaders(similarity: float) -> Column:
     return let(first, lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), F.slice(c, 1, 1), more))
 
 
-def _templates(lines: DataFrame, similarity: float) -> tuple[DataFrame, list[str]]:
-    """(leaf, line) to the leading line of its template, for lines of leaves that hold several, and the paths it reads.
+def _templates(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, line) to the leading line of its template, for lines of leaves that hold several.
 
     A line follows the first leader of its leaf, in falling order of count, that it agrees with, or leads. Each round
     finds the leaders among a leaf's first unplaced lines and places all that agree with one, until none is left."""
-    spark = lines.sparkSession
     shared = lines.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf", F.ceil(F.col("k") / PART_LINES).alias("parts"))
     part = F.pmod(F.xxhash64("line"), F.col("parts"))
-    rest, path = materialise(lines.join(shared, "leaf").select("leaf", "line", "probes", "count", "parts", part.alias("part")), "leaves")
-    found, paths, most = None, [path], CANDIDATES
+    rest, _ = materialise(lines.join(shared, "leaf").select("leaf", "line", "probes", "count", "parts", part.alias("part")), "leaves")
+    found, most = None, CANDIDATES
     while found is None or not rest.isEmpty():
         order = Window.partitionBy("leaf").orderBy(F.desc("count"), F.desc("line"))
         first = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
@@ -112,12 +110,11 @@ def _templates(lines: DataFrame, similarity: float) -> tuple[DataFrame, list[str
         agrees = F.filter("leaders", lambda l: _agreement(l["probes"], F.col("probes")) >= similarity)
         placed = rest.join(leaders, ["leaf", "part"])
         placed = placed.select("leaf", "line", "probes", "count", "parts", "part", F.get(agrees, F.lit(0))["line"].alias("template"))
-        placed, path = materialise(placed, "leaves")
-        paths.append(path)
+        placed, _ = materialise(placed, "leaves")
         followers = placed.where("template is not null").select("leaf", "line", "template")
         found = followers if found is None else found.unionByName(followers)
         rest, most = placed.where("template is null").drop("template"), min(4 * most, MOST_CANDIDATES)
-    return found, paths
+    return found
 
 
 def recurring_lines(
@@ -130,27 +127,22 @@ def recurring_lines(
 ) -> DataFrame:
     """``doc_id``, ``drop``, the numbers of the lines that the document loses, and ``owners``, the documents that keep
     a line of the same templates. ``docs``: ``doc_id``, ``text``."""
-    occurrences, path = materialise(_lines(docs, min_tokens), "lines")
-    scratch = [path]
-    lines = occurrences.groupBy("leaf", "line", "probes", "n").agg(
-        F.count("*").alias("count"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    )
-    lines, path = materialise(lines, "distinct-lines")
-    scratch.append(path)
-    to, paths = _templates(lines, similarity)
-    scratch += paths
-    placed = lines.select("leaf", "line", "n", "count", "low", "high").join(to, ["leaf", "line"], "left")
-    placed = placed.withColumn("template", F.coalesce("template", "line"))
-    placed, path = materialise(placed, "placed-lines")
-    scratch.append(path)
-    recurs = (F.min("low") < F.max("high")) & ((F.max("n") >= long_tokens) | (F.sum("count") >= short_count))
-    templates = placed.groupBy("leaf", "template").agg(F.min("low").alias("owner"), recurs.alias("recurs")).where("recurs")
-    dropped = placed.join(templates, ["leaf", "template"]).select("leaf", "line", "owner")
-    gone = occurrences.select("doc_id", "line_no", "leaf", "line").join(dropped, ["leaf", "line"]).where("doc_id <> owner")
-    drops, _ = materialise(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"), F.collect_set("owner").alias("owners")), "dropped-lines")
-    for path in scratch:
-        release(docs.sparkSession, path)
-    return drops
+    with scratch_scope(docs.sparkSession):
+        occurrences, _ = materialise(_lines(docs, min_tokens), "lines")
+        lines = occurrences.groupBy("leaf", "line", "probes", "n").agg(
+            F.count("*").alias("count"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+        )
+        lines, _ = materialise(lines, "distinct-lines")
+        to = _templates(lines, similarity)
+        placed = lines.select("leaf", "line", "n", "count", "low", "high").join(to, ["leaf", "line"], "left")
+        placed = placed.withColumn("template", F.coalesce("template", "line"))
+        placed, _ = materialise(placed, "placed-lines")
+        recurs = (F.min("low") < F.max("high")) & ((F.max("n") >= long_tokens) | (F.sum("count") >= short_count))
+        templates = placed.groupBy("leaf", "template").agg(F.min("low").alias("owner"), recurs.alias("recurs")).where("recurs")
+        dropped = placed.join(templates, ["leaf", "template"]).select("leaf", "line", "owner")
+        gone = occurrences.select("doc_id", "line_no", "leaf", "line").join(dropped, ["leaf", "line"]).where("doc_id <> owner")
+        gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"), F.collect_set("owner").alias("owners"))
+        return materialise(gone, "dropped-lines", keep=True)[0]
 
 
 def drop_recurring_lines(

@@ -6,19 +6,20 @@ recursively by selected minwise tokens: at each node of a tree a document goes t
 exhaustively; in a larger one each document is compared with a few anchors, and the node branches on. Independent
 trees repeat this to the target recall: a pair of similarity 0.8 is missed by one tree with probability 0.2 **
 BRANCH, about 0.008, and by both with 0.00006; where all its nodes branch down to the last level, by one with 0.0089 and
-by both with 0.00008. On the last level nothing is left to chance: a node too large for one task is compared
-block against block.
+by both with 0.00008. A node that is still over-full on the last level is taken for one cluster.
 
 What is compared in the trees are sketches; links are confirmed on full sets afterwards, inside the clusters that
 the sketches leave connected. Identical sets are one node throughout. Clusters too large for one task are dealt
-out over blocks that share anchors.
+out over blocks that share anchors; what is then outside a cluster's largest component meets the others by its rare
+shingles, exactly but for 0.000003 of the pairs, which the bits that go with them part.
 
-Only star links are ever emitted, never all pairs of a group, and no group is gathered in one task beyond the
-stated limits.
+Only star links and pairs of different components are ever emitted, never all pairs of a group, and no group is gathered in
+one task beyond the stated limits.
 
-Defined cases: a null or blank text has an empty set, is linked with nothing and kept; rows that share a doc_id are
-one document; rows with a null doc_id are never linked, have no component and are kept; an empty table gives
-an empty result; columns other than id and text are not looked at.
+Defined cases: a null or blank text has an empty set, is linked with nothing and kept; a text of fewer words than a shingle
+is one shingle; a very long text is taken whole; a pair at exactly the similarity is linked, in whole numbers; rows that
+share a doc_id are one document; rows with a null doc_id are never linked, have no component and are kept; an empty table
+gives an empty result; columns other than id and text are not looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,18 +33,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import materialise
+from .common import materialise, scratch_scope
 from .components import connected_components
 
 #: Sketch positions, independent trees, children per node and level, levels.
 POSITIONS, TREES, BRANCH, LEVELS = 64, 2, 3, 3
-#: Nodes of at most SMALL documents are compared exhaustively. Larger ones are dealt out in blocks of LARGE, on the
-#: last level of LAST. A node of one block is done with if comparison with its anchors leaves at most FEW outside one
-#: cluster. What is outside the largest cluster of a last node of several blocks is compared with all of it, ACROSS by
-#: ACROSS documents in a task.
-SMALL, LARGE, LAST, FEW, ANCHORS, ACROSS = 1024, 16384, 2048, 1024, 32, 8192
+#: Nodes of at most SMALL documents, on the last level LAST, are compared exhaustively. Larger ones are dealt out in blocks
+#: of LARGE, on the last level not at all. A node of one block is done with if comparison with its anchors leaves at most
+#: FEW outside one cluster.
+SMALL, LARGE, LAST, FEW, ANCHORS = 1024, 16384, 2048, 1024, 32
 #: Documents and set elements of a block in which links are confirmed.
 BLOCK_DOCS, BLOCK_ITEMS = 4096, 1_000_000
+#: Documents of either side in a task that looks for pairs under one rare shingle, and buckets of the shingles' counts.
+CELL_DOCS, COUNT_BITS = 8192, 20
 #: Bits of the bitmap that picks possible members of clusters (64 MB).
 MAX_BITS = 1 << 29
 CACHE_ENTRIES = 300_000
@@ -208,7 +210,6 @@ def _visit(rows: DataFrame, least: int, level: int) -> DataFrame:
     large one all are compared with its anchors first; where that leaves few outside one cluster, as among many copies
     of one text, these few are compared with all and the node is done. Members known to be in one cluster are not
     compared with each other."""
-    last = level == LEVELS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, held = [], 0
@@ -230,7 +231,7 @@ def _visit(rows: DataFrame, least: int, level: int) -> DataFrame:
             if not small:
                 compare(np.flatnonzero(_column(parts, "anchor").to_numpy(zero_copy_only=False)))
             rest = np.flatnonzero(labels.of != np.bincount(labels.of).argmax())
-            if small or last or whole and len(rest) <= FEW:
+            if small or whole and len(rest) <= FEW:
                 # all pairs that are not in one cluster already have a member in the rest
                 compare(rest)
             else:
@@ -278,22 +279,24 @@ def _dealt(rows: DataFrame, size: int, block: int) -> DataFrame:
 
 
 def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
-    """Star links between nodes that the trees find alike by their sketches."""
+    """Star links between nodes that the trees find alike by their sketches, and between all members of over-full nodes of
+    the last level: such a node is one cluster, in which ``confirm`` then finds all links."""
     least = _least_matches(similarity)
     rows = reps.select(F.explode("keys").alias("key"), "node", "sketch", F.col("node").alias("cluster"))
     links: DataFrame | None = None
     for level in range(1, LEVELS + 1):
-        size, block = (LAST, LAST) if level == LEVELS else (SMALL, LARGE)
+        size = LAST if level == LEVELS else SMALL
         # a node whose members are one cluster already has nothing more to find
-        counts = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("cluster") < F.max("cluster")).alias("mixed"))
-        counts, _ = materialise(counts.where("n > 1 and mixed").select("key", "n"), "nodes")
-        visited = _visit(_dealt(rows.join(counts.hint("merge"), "key"), size, block), least, level)
+        counts = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("cluster") < F.max("cluster")).alias("mixed"), F.min("node").alias("first"))
+        counts, _ = materialise(counts.where("n > 1 and mixed").select("key", "n", "first"), "nodes")
+        full = rows.join(counts.hint("merge"), "key")
+        visited = _visit(_dealt(full.where(F.col("n") <= size) if level == LEVELS else full, size, LARGE), least, level)
         visited, _ = materialise(visited, "visited")
         found = visited.where("key is null").select("a", "b")
         links = found if links is None else links.union(found)
-        children = visited.where("key is not null")
         if level == LEVELS:
-            return _across(rows.join(counts.where(F.col("n") > LAST).hint("merge"), "key"), links, least)
+            return links.union(full.where((F.col("n") > size) & (F.col("first") < F.col("node"))).select(F.col("first").alias("a"), F.col("node").alias("b")))
+        children = visited.where("key is not null")
         if children.isEmpty():
             break
         # the smallest centre that a node hangs on: nodes with one centre are connected
@@ -304,49 +307,6 @@ def candidate_links(reps: DataFrame, similarity: float) -> DataFrame:
     return links
 
 
-def _across(large: DataFrame, links: DataFrame, least: int) -> DataFrame:
-    """``links``, and those between the blocks of the last nodes ``large`` (``key``, ``node``, ``sketch``, ``n``).
-
-    Every member outside the largest component of its node is compared with all members. Where most of a node is
-    outside, as in a family of texts that share a core and are few of them near, this is quadratic in the node's size."""
-    if large.isEmpty():
-        return links
-    found = connected_components(links)
-    stars = found.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    state = large.select("key", "node", "sketch", "n").join(found.hint("merge"), "node", "left")
-    state, _ = materialise(state.select("key", "node", "sketch", "n", F.coalesce("root", "node").alias("component")), "last-nodes")
-    counts = state.groupBy("key", "component").agg(F.count("*").alias("docs"))
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("docs", "component")).alias("main"), (F.sum("docs") - F.max("docs")).alias("rest"))
-    main, _ = materialise(main.where("rest > 0"), "last-rests")
-    if main.isEmpty():
-        return stars
-    state = state.join(main.hint("merge"), "key")
-    blocks, parts = F.ceil(F.col("n") / ACROSS), F.ceil(F.col("rest") / ACROSS)
-    block, part = (F.pmod(F.xxhash64("node", F.lit(salt)), of) for salt, of in ((11, blocks), (13, parts)))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
-    cols = ("key", "node", "component", "sketch")
-    asked = state.where("component <> main").select(*cols, each(blocks).alias("block"), part.alias("part"), F.lit(True).alias("ask"))
-    others = state.select(*cols, block.alias("block"), each(parts).alias("part"), F.lit(False).alias("ask"))
-    placed = asked.unionByName(others).select(*cols, F.xxhash64("block", "part").alias("cell"), "ask")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 2):
-            sk = _sketches(_column(rows, "sketch"))
-            labels = _Labels(len(sk))
-            _, labels.of = np.unique(_column(rows, "component").to_numpy(), return_inverse=True)
-            for i in np.flatnonzero(_column(rows, "ask").to_numpy(zero_copy_only=False)).tolist():
-                other = np.flatnonzero(labels.of != labels.of[i])
-                near = other[(sk[other] == sk[i]).sum(axis=1) >= least]
-                if len(near):
-                    labels.join(i, near)
-            a, b = labels.stars(_column(rows, "node").to_numpy())
-            yield _links_batch([a], [b])
-
-    dealt = placed.select("key", "cell", "node", "component", "sketch", "ask").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    more, _ = materialise(dealt.mapInArrow(run, "a bigint, b bigint"), "across")
-    return stars.union(more)
-
-
 def _member_bits(members: DataFrame) -> tuple[bytes, Callable[[Column], Column]]:
     """A bitmap of the members' hashes, and the bit of a node in it.
 
@@ -368,8 +328,8 @@ def confirm(texts: DataFrame, members: DataFrame, words: int, similarity: float)
     """``node`` and ``root`` over the pairs inside each cluster whose full sets reach the similarity.
 
     ``members``: ``node``, ``cluster``, ``n_shingles``; ``texts``: ``node``, ``text``. A cluster of more than one block
-    is confirmed in two passes: first each block with the cluster's anchors; then every document that is outside the
-    cluster's largest component by then against all blocks, so that no link between blocks is lost."""
+    is confirmed in two passes: first each block with the cluster's anchors; then what is outside the cluster's largest
+    component by then meets all others by rare shingles, so that no link between blocks is lost."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("items"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("items") / BLOCK_ITEMS))
     sized = members.join(sizes.select("cluster", "docs", blocks.alias("blocks")).hint("merge"), "cluster")
@@ -386,30 +346,21 @@ def confirm(texts: DataFrame, members: DataFrame, words: int, similarity: float)
     if large.isEmpty():
         return found
     state = large.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("root", "node"))
-    state, _ = materialise(state.select("node", "cluster", "blocks", "block", "component"), "components")
+    state, _ = materialise(state.select("node", "cluster", "component"), "components")
     counts = state.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
-    main = main.where("rest > 0").withColumn("parts", F.ceil(F.col("rest") / BLOCK_DOCS))
-    state = state.join(main.hint("merge"), "cluster")
-    part = F.pmod(F.xxhash64(F.col("node"), F.lit(13)), F.col("parts"))
-    pair = lambda block, part: F.xxhash64(block, part)
-    # a task holds one block and one part of the rest
-    asked = state.where("component <> main").select("node", "cluster", F.explode(everywhere).alias("b"), part.alias("p"), "component", F.lit(True).alias("ask"))
-    others = state.select("node", "cluster", F.col("block").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"), "component", F.lit(False).alias("ask"))
-    second = asked.unionByName(others).select("node", "cluster", pair(F.col("b"), F.col("p")).alias("block"), "component", "ask")
-    return connected_components(links.unionByName(_confirmed(texts, second, large, words, similarity)))
-
+    state = state.join(main.where("rest > 0").hint("merge"), "cluster").withColumn("ask", F.col("component") != F.col("main"))
+    state, _ = materialise(state.select("node", "cluster", "component", "ask"), "unfinished")
+    if state.isEmpty():
+        return found
+    return connected_components(links.unionByName(_by_rare_shingles(texts, state, words, similarity)))
 
-def _confirmed(texts: DataFrame, placed: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Star links found in each block of ``placed`` (``node``, ``cluster``, ``block``, ``component``, ``ask``).
 
-    The texts themselves are never dealt out: a bitmap of bounded size picks those that may be members, and the sets
-    of these are joined."""
-    spark = placed.sparkSession
-    least = _least_matches(similarity)
-    share = round(similarity * 100)
+def _sets_of(texts: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``items``, its set's hashes, of the members and of a few others: texts are never dealt out, a bitmap of
+    bounded size picks those that may be members."""
     bits, member = _member_bits(members)
-    bitmap = spark.sparkContext.broadcast(bits)
+    bitmap = members.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bitmap.value, np.uint8)
@@ -421,6 +372,142 @@ def _confirmed(texts: DataFrame, placed: DataFrame, members: DataFrame, words: i
                 found = [shingles(t, words).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], names=["node", "items"])
 
+    maybe = texts.where("node is not null").select("node", member(F.col("node")).alias("at"), "text")
+    return maybe.mapInArrow(sets, "node bigint, items binary")
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many of the sets hold a shingle of each bucket of hashes: a table of fixed size, summed in parts of 4,096."""
+    part = 4096
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNT_BITS, np.int64)
+        for b in batches:
+            items = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            n += np.bincount((items >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(n))
+        parts = n.reshape(-1, part)
+        at = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([parts[k].tobytes() for k in at.tolist()], pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part bigint, counts binary"
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    for r in sets.select("items").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).toLocalIterator():
+        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["counts"], np.int64)
+    return out.clip(max=2**32 - 1).astype(np.uint32)
+
+
+def prefix_lengths(n: int, share: int) -> tuple[int, int]:
+    """How many of its ``n`` rarest-first shingles a set is looked up by, as the smaller and as the larger of a pair.
+
+    A pair of the similarity shares at least share / (100 + share) of the two sizes together: of a set 2 share / (100 +
+    share) where the other is no smaller, and share / 100 where it is. So among so many of the first shingles of the one and
+    of the other, one is common (Chaudhuri et al., ICDE 2006; Xiao et al., WWW 2008)."""
+    return n + 1 - -(-2 * share * n // (100 + share)), n + 1 - -(-share * n // 100)
+
+
+def _one_bits(items: np.ndarray) -> int:
+    """A bit of the minwise token at each position: two sets agree in (1 + similarity) / 2 of them."""
+    bits = (minwise(items) >> np.uint64(20)) & np.uint64(1)
+    return int((bits << np.arange(POSITIONS, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def _by_rare_shingles(texts: DataFrame, state: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links between members of one cluster but different components, one of which ``ask``s.
+
+    An exact prefix-filter join: shingles are ordered by how many members hold them, and each set is looked up by its rarest
+    ones. What a family has in common is frequent and so no key, however many share it; keys that stand in one component
+    only are dropped before anything is joined to them. What meets under a key, is of fitting size and agrees in enough of
+    64 bits is a pair, and pairs are compared on their full sets. Keys of many documents are dealt out, CELL_DOCS by
+    CELL_DOCS in a task. ``state``: ``node``, ``cluster``, ``component``, ``ask``."""
+    spark = state.sparkSession
+    share = round(similarity * 100)
+    p = (1 + similarity) / 2
+    least_bits = int(np.ceil(POSITIONS * (p - 4.5 * np.sqrt(p * (1 - p) / POSITIONS))))
+    sets, _ = materialise(state.select("node", "cluster", "component", "ask").join(_sets_of(texts, state, words).hint("merge"), "node"), "unfinished-sets")
+    counts = spark.sparkContext.broadcast(_shingle_counts(sets))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = counts.value
+        for b in batches:
+            n, short, tokens, bits = [], [], [], []
+            for raw in b.column("items").to_pylist():
+                items = np.frombuffer(raw, np.uint64)
+                seen = held[(items >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                few, many = prefix_lengths(len(items), share)
+                order = np.lexsort((items, seen))[:many]
+                keep = seen[order] > 1  # a shingle that no other member holds is no key
+                n.append(len(items)), short.append(int(keep[:few].sum()))
+                tokens.append(items[order][keep].astype(np.int64)), bits.append(_one_bits(items))
+            lists = pa.array(tokens, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("node", "cluster", "component", "ask")], pa.array(n, pa.int64()), pa.array(short, pa.int32()), lists, pa.array(bits, pa.int64())], names=["node", "cluster", "component", "ask", "n", "short", "tokens", "bits"])
+
+    kept, _ = materialise(sets.mapInArrow(prefixes, "node bigint, cluster bigint, component bigint, ask boolean, n bigint, short int, tokens array<bigint>, bits bigint"), "prefixes")
+    keys = kept.select("cluster", "component", "ask", "short", F.posexplode("tokens").alias("pos", "token"))
+    keys = keys.groupBy("cluster", "token").agg(
+        F.count("*").alias("larger"), F.count_if(F.col("pos") < F.col("short")).alias("smaller"), F.max("ask").alias("asked"), F.min("component").alias("c0"), F.max("component").alias("c1")
+    )
+    cells = lambda c: F.ceil(F.col(c) / CELL_DOCS)
+    keys = keys.where("smaller > 0 and asked and c0 < c1").select("cluster", "token", cells("larger").alias("ys"), cells("smaller").alias("xs"))
+    rows = kept.select("node", "cluster", "component", "ask", "n", "bits", "short", F.posexplode("tokens").alias("pos", "token")).join(keys.hint("merge"), ["cluster", "token"])
+    cols = ("cluster", "token", "node", "component", "ask", "n", "bits")
+    small, one = F.col("pos") < F.col("short"), (F.col("xs") == 1) & (F.col("ys") == 1)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    home = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    single = rows.where(one).select(*cols, F.lit(0).cast("bigint").alias("cell"), small.alias("x"), F.lit(True).alias("y"))
+    hot = rows.where(~one)
+    xs = hot.where(small).select(*cols, "ys", home(F.col("xs"), 17).alias("i"), each(F.col("ys")).alias("j")).select(*cols, F.xxhash64("i", "j").alias("cell"), F.lit(True).alias("x"), F.lit(False).alias("y"))
+    ys = hot.select(*cols, "xs", home(F.col("ys"), 19).alias("j"), each(F.col("xs")).alias("i")).select(*cols, F.xxhash64("i", "j").alias("cell"), F.lit(False).alias("x"), F.lit(True).alias("y"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for _, parts in _groups(batches, 3):
+            node, component, n, bits = (_column(parts, c).to_numpy() for c in ("node", "component", "n", "bits"))
+            ask, x, y = (_column(parts, c).to_numpy(zero_copy_only=False) for c in ("ask", "x", "y"))
+            for c in np.unique(component[x]).tolist():
+                theirs = np.flatnonzero(y & (component != c))
+                for k in np.flatnonzero(x & (component == c)).tolist() if len(theirs) else ():
+                    fits = (n[theirs] >= n[k]) & (share * n[theirs] <= 100 * n[k]) & (ask[theirs] | ask[k])
+                    fits &= POSITIONS - np.bitwise_count(bits[theirs].view(np.uint64) ^ bits[k : k + 1].view(np.uint64)) >= least_bits
+                    met = node[theirs[fits]]
+                    out.append((np.minimum(met, node[k]), np.maximum(met, node[k])))
+                    held += len(met)
+                    if held > 50_000:
+                        yield _links_batch([a for a, _ in out], [b for _, b in out])
+                        out, held = [], 0
+        yield _links_batch([a for a, _ in out], [b for _, b in out])
+
+    dealt = single.unionByName(xs).unionByName(ys).select("cluster", "token", "cell", "node", "component", "ask", "n", "bits", "x", "y")
+    dealt = dealt.repartition("cluster", "token", "cell").sortWithinPartitions("cluster", "token", "cell")
+    pairs, _ = materialise(dealt.mapInArrow(meet, "a bigint, b bigint").distinct(), "pairs")
+    items = sets.select("node", "items")
+    both = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("mine")).hint("merge"), "a")
+    both = both.join(items.select(F.col("node").alias("b"), F.col("items").alias("theirs")).hint("merge"), "b").select("a", "b", "mine", "theirs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                near = []
+                for mine, theirs in zip(b.column("mine").to_pylist(), b.column("theirs").to_pylist()):
+                    u, v = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
+                    common = len(np.intersect1d(u, v, assume_unique=True))
+                    near.append(100 * common >= share * (len(u) + len(v) - common))
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    links, _ = materialise(both.mapInArrow(verify, "a bigint, b bigint"), "more-links")
+    counts.destroy()
+    return links
+
+
+def _confirmed(texts: DataFrame, placed: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Star links found in each block of ``placed`` (``node``, ``cluster``, ``block``, ``component``, ``ask``)."""
+    least = _least_matches(similarity)
+    share = round(similarity * 100)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _groups(batches, 2):
             items = [np.frombuffer(x, np.uint64) for x in _column(parts, "items").to_pylist()]
@@ -430,9 +517,7 @@ def _confirmed(texts: DataFrame, placed: DataFrame, members: DataFrame, words: i
             if len(a):
                 yield _links_batch([a], [b])
 
-    maybe = texts.where("node is not null").select("node", member(F.col("node")).alias("at"), "text")
-    with_items = maybe.mapInArrow(sets, "node bigint, items binary")
-    joined = placed.join(with_items.hint("merge"), "node").select("cluster", "block", "node", "component", "ask", "items")
+    joined = placed.join(_sets_of(texts, members, words).hint("merge"), "node").select("cluster", "block", "node", "component", "ask", "items")
     dealt = joined.repartition(F.col("cluster"), F.col("block")).sortWithinPartitions("cluster", "block")
     links, _ = materialise(dealt.mapInArrow(compare, "a bigint, b bigint"), "confirmed")
     return links
@@ -477,16 +562,19 @@ def near_duplicates(
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable over links) and ``kept`` per row."""
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     table, _ = materialise(sketch_table(docs, words, id_col, text_col), "sketches")
-    full = table.where(F.col("address").isNotNull() & F.col("doc_id").isNotNull())
-    reps = full.groupBy("address", "n_shingles", "sketch", "keys").agg(F.min(F.col("doc_id").cast("bigint")).alias("node"))
-    reps, _ = materialise(reps, "sets")
-    clusters = connected_components(candidate_links(reps, similarity))
-    members = clusters.withColumnRenamed("root", "cluster").join(reps.select("node", "n_shingles").hint("merge"), "node")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text"))
-    roots = confirm(texts, members, words, similarity)
-    of_set = reps.select("address", "node").join(roots.hint("merge"), "node", "left").select("address", F.coalesce("root", "node").alias("root"))
+    with scratch_scope(spark):
+        full = table.where(F.col("address").isNotNull() & F.col("doc_id").isNotNull())
+        reps = full.groupBy("address", "n_shingles", "sketch", "keys").agg(F.min(F.col("doc_id").cast("bigint")).alias("node"))
+        reps, _ = materialise(reps, "sets")
+        clusters = connected_components(candidate_links(reps, similarity))
+        members = clusters.withColumnRenamed("root", "cluster").join(reps.select("node", "n_shingles").hint("merge"), "node")
+        texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text"))
+        roots = confirm(texts, members, words, similarity)
+        of_set = reps.select("address", "node").join(roots.hint("merge"), "node", "left").select("address", F.coalesce("root", "node").alias("root"))
+        of_set, _ = materialise(of_set, "roots", keep=True)
     out = table.join(of_set.hint("merge"), "address", "left")
     component = F.when(F.col("address").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))

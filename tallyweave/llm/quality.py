@@ -5,7 +5,8 @@ reference by Jensen-Shannon distance. The references are counted over all docume
 document with fewer than ``min_words`` words is never rejected by the distances: its histograms are noise.
 
 Defined cases: null text counts as empty (no words, ``base_failed``); an unknown or null language has no
-reference, so only the base rules decide; repeated rows give repeated results; an empty table gives an
+reference, so only the base rules decide; a very long text is counted whole; a value or distance at its limit passes;
+repeated rows give repeated results and count in the references as often as they stand; an empty table gives an
 empty result; columns other than id, text and language are not looked at, so clashing names do no harm.
 """
 

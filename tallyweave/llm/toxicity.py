@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import free_prefix
 
 SAMPLE_ROWS = 8192
 MAX_FEATURES = 4000
@@ -233,7 +234,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
 
     results = ("doc_id", "held_out", "score", "predicted")
     kept = [F.col(c) for c in keep if c not in results]
-    rows = docs.select(F.col(id_col).alias("doc_id"), *kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(free_prefix(docs.columns)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     scored = rows.mapInArrow(run, f"{schema}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[c for c in keep if c not in results])

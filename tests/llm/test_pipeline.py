@@ -79,6 +79,64 @@ def test_line_stage_keeps_documents_that_no_other_holds(spark, tmp_path):
     assert out == want
 
 
+CLASHES = "score predicted held_out owners raw_text n_lines n_dropped drop kept key node address sketch items line leaf blob findings __0 __kept __drop __text item_id".split()
+
+
+def odd_rows():
+    rnd = random.Random(41)
+    rows = [(k, prose(rnd, rnd.randrange(20, 60)) + ("\nThe same line of eight words in every one" if k % 3 else "")) for k in range(60)]
+    rows += [(60, None), (61, ""), (62, " \n\t "), (None, rows[4][1]), (None, None), (63, prose(rnd, 30_000)), (64, "one"), (7, rows[7][1]), (7, rows[7][1]), (65, rows[8][1])]
+    return rows
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, and columns that bear the operators' names."""
+    from pyspark.sql import functions as F
+
+    base = f"file://{tmp_path}"
+    rows = odd_rows()
+    table = docs_df(spark, rows).select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES])
+    table.write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(1, "nothing of this stands in any text here. It does not.")], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    at = spark.read.parquet(f"{base}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, at, base).write.parquet(f"{base}/out/{k}")
+        at = spark.read.parquet(f"{base}/out/{k}")
+        if name == "bpe":
+            break
+        got = at.collect()
+        assert at.columns == table.columns, name
+        for r in got:
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in CLASHES)
+            if r.doc_id is not None and r.text != dict(rows)[r.doc_id]:
+                assert name != "toxicity" and r.n_chars == len(r.text)
+    ids = [r.doc_id for r in got]
+    # the copy of 8 goes; rows that share an id stay together; rows without id or text stay
+    want = [d for d, _ in rows if d != 65]
+    assert sorted(ids, key=str) == sorted(want, key=str)
+    texts = {r.doc_id: r.text for r in got}
+    assert texts[60] is None and texts[61] == "" and texts[62] == " \n\t " and texts[63] == dict(rows)[63]
+    assert sum("The same line" in (t or "") for d, t in texts.items() if d is not None) == 1
+    encoded = {r.doc_id: r.n_tokens for r in at.collect()}
+    assert encoded[60] == encoded[61] == 0 and encoded[63] > 30_000 and at.count() == len(want)
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    from tallyweave.session import scratch_root
+
+    base = f"file://{tmp_path}"
+    docs_df(spark, odd_rows()).write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(1, "a test item. An answer.")], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    from pathlib import Path
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    out = corpus_pipeline.run(spark, base)
+    assert [p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before] == ["pipeline-bpe"] and out.count() > 60
+
+
 def test_empty_table(spark, tmp_path):
     base = f"file://{tmp_path}"
     none = docs_df(spark, [(1, "x")]).where("false")
