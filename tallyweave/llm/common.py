@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,35 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Bits of a bitmap that keys are looked up in, at most (64 MB).
+MOST_BITS = 1 << 29
+
+
+def bitmap_of(keys: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., Column]]:
+    """A bitmap of the keys' hashes, as a table of (``__bucket``, ``__bits``) to broadcast, and the bit of a key.
+
+    Sixteen bits a key, at most MOST_BITS: beyond that it lets more other keys pass to the join that decides, and loses
+    none. ``keys`` is read twice, so it should be a table."""
+    size = min(MOST_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    place = lambda *key: F.pmod(F.xxhash64(*key), F.lit(size))
+    at = place(*names) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket"))
+    return rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits")), place
+
+
+def split_by_bitmap(df: DataFrame, bitmap: tuple[DataFrame, Callable[..., Column]], *key: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be in the bitmap, and those whose key is not; a null key is not. No shuffle."""
+    table, place = bitmap
+    own = free_prefix(df.columns)
+    table = table.select(F.col("__bucket").alias(f"{own}bucket"), F.col("__bits").alias(f"{own}bits"))
+    at, present = place(*key), reduce(lambda a, b: a & b, [k.isNotNull() for k in key])
+    known = df.join(F.broadcast(table), F.floor(at / 32768) + 1 == F.col(f"{own}bucket"), "left")
+    byte = F.substring(F.col(f"{own}bits"), (F.floor(F.pmod(at, F.lit(32768)) / 8) + 1).cast("int"), F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
+    hit = F.coalesce(present & bit, F.lit(False))
+    return known.where(hit).select(*[F.col(f"`{c}`") for c in df.columns]), known.where(~hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it any number of times in ``body``, also within its lambdas.
 

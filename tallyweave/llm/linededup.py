@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, let, materialise, scratch_scope
+from .common import WS, WS_CHARS, bitmap_of, free_prefix, let, materialise, scratch_scope, split_by_bitmap
 
 LEADING = 3
 #: Lines of a leaf that a round looks for leaders among: at first, and at most. Later rounds take more. Up to a thousand,
@@ -77,9 +77,10 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     )
 
 
-def _agreement(a: Column, b: Column) -> Column:
+def _agree(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two lines of a leaf agree in enough positions; lines without probes are alone in theirs."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return same / F.size(a)
+    return same >= similarity * F.size(a)
 
 
 def _leaders(similarity: float) -> Column:
@@ -87,31 +88,28 @@ def _leaders(similarity: float) -> Column:
     first = F.sort_array(F.collect_list(F.struct("count", "line", "probes")), asc=False)
 
     def more(led: Column, x: Column) -> Column:
-        follows = F.exists(led, lambda l: _agreement(l["probes"], x["probes"]) >= similarity)
+        follows = F.exists(led, lambda l: _agree(l["probes"], x["probes"], similarity))
         return F.when(follows, led).otherwise(F.concat(led, F.array(x)))
 
     return let(first, lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))), F.slice(c, 1, 1), more))
 
 
-def _templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, line) to the leading line of its template, for lines of leaves that hold several.
+def _templates(rest: DataFrame, similarity: float) -> DataFrame:
+    """Lines of ``rest`` (``leaf``, ``line``, ``probes``, ``n``, ``count``, ``low``, ``high``, ``parts``) with ``template``, its leading line.
 
     A line follows the first leader of its leaf, in falling order of count, that it agrees with, or leads. Each round
     finds the leaders among a leaf's first unplaced lines and places all that agree with one, until none is left."""
-    shared = lines.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf", F.ceil(F.col("k") / PART_LINES).alias("parts"))
-    part = F.pmod(F.xxhash64("line"), F.col("parts"))
-    rest, _ = materialise(lines.join(shared, "leaf").select("leaf", "line", "probes", "count", "parts", part.alias("part")), "leaves")
+    rest, _ = materialise(rest.withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts"))), "leaves")
     found, most = None, CANDIDATES
     while found is None or not rest.isEmpty():
         order = Window.partitionBy("leaf").orderBy(F.desc("count"), F.desc("line"))
         first = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
         leaders = first.groupBy("leaf").agg(_leaders(similarity).alias("leaders"), F.first("parts").alias("of"))
         leaders = leaders.select("leaf", "leaders", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1)).alias("part"))
-        agrees = F.filter("leaders", lambda l: _agreement(l["probes"], F.col("probes")) >= similarity)
-        placed = rest.join(leaders, ["leaf", "part"])
-        placed = placed.select("leaf", "line", "probes", "count", "parts", "part", F.get(agrees, F.lit(0))["line"].alias("template"))
-        placed, _ = materialise(placed, "leaves")
-        followers = placed.where("template is not null").select("leaf", "line", "template")
+        agrees = F.filter("leaders", lambda l: _agree(l["probes"], F.col("probes"), similarity))
+        placed = rest.join(leaders.hint("merge"), ["leaf", "part"])
+        placed, _ = materialise(placed.select(*[rest[c] for c in rest.columns], F.get(agrees, F.lit(0))["line"].alias("template")), "leaves")
+        followers = placed.where("template is not null").drop("probes", "parts", "part")
         found = followers if found is None else found.unionByName(followers)
         rest, most = placed.where("template is null").drop("template"), min(4 * most, MOST_CANDIDATES)
     return found
@@ -126,21 +124,28 @@ def recurring_lines(
     similarity: float = 0.7,
 ) -> DataFrame:
     """``doc_id``, ``drop``, the numbers of the lines that the document loses, and ``owners``, the documents that keep
-    a line of the same templates. ``docs``: ``doc_id``, ``text``."""
+    a line of the same templates. ``docs``: ``doc_id``, ``text``.
+
+    What is shuffled whole are the distinct lines, once. Most are alone in their leaf; a bitmap of the leaves that several
+    lines share, and one of the lines that are dropped, keep the others out of the joins."""
     with scratch_scope(docs.sparkSession):
         occurrences, _ = materialise(_lines(docs, min_tokens), "lines")
         lines = occurrences.groupBy("leaf", "line", "probes", "n").agg(
             F.count("*").alias("count"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
         )
         lines, _ = materialise(lines, "distinct-lines")
-        to = _templates(lines, similarity)
-        placed = lines.select("leaf", "line", "n", "count", "low", "high").join(to, ["leaf", "line"], "left")
-        placed = placed.withColumn("template", F.coalesce("template", "line"))
-        placed, _ = materialise(placed, "placed-lines")
-        recurs = (F.min("low") < F.max("high")) & ((F.max("n") >= long_tokens) | (F.sum("count") >= short_count))
-        templates = placed.groupBy("leaf", "template").agg(F.min("low").alias("owner"), recurs.alias("recurs")).where("recurs")
-        dropped = placed.join(templates, ["leaf", "template"]).select("leaf", "line", "owner")
-        gone = occurrences.select("doc_id", "line_no", "leaf", "line").join(dropped, ["leaf", "line"]).where("doc_id <> owner")
+        shared = lines.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1")
+        shared, _ = materialise(shared.select("leaf", F.ceil(F.col("k") / PART_LINES).alias("parts")), "shared-leaves")
+        rest, alone = split_by_bitmap(lines, bitmap_of(shared, "leaf"), F.col("leaf"))
+        rest = rest.join(shared.hint("merge"), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+        placed, _ = materialise(_templates(rest, similarity), "placed-lines")
+        recurs = lambda low, high, n, count: (low < high) & ((n >= long_tokens) | (count >= short_count))
+        templates = placed.groupBy("leaf", "template").agg(F.min("low").alias("owner"), recurs(F.min("low"), F.max("high"), F.max("n"), F.sum("count")).alias("recurs"))
+        dropped = placed.join(templates.where("recurs").select("leaf", "template", "owner").hint("merge"), ["leaf", "template"]).select("leaf", "line", "owner")
+        single = alone.where(recurs(*map(F.col, ("low", "high", "n", "count")))).select("leaf", "line", F.col("low").alias("owner"))
+        dropped, _ = materialise(dropped.unionByName(single), "dropped")
+        gone, _ = split_by_bitmap(occurrences.select("doc_id", "line_no", "leaf", "line"), bitmap_of(dropped, "line"), F.col("line"))
+        gone = gone.join(dropped.hint("merge"), ["leaf", "line"]).where("doc_id <> owner")
         gone = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("drop"), F.collect_set("owner").alias("owners"))
         return materialise(gone, "dropped-lines", keep=True)[0]
 
@@ -149,12 +154,16 @@ def drop_recurring_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sources: bool = False, **options: float
 ) -> DataFrame:
     """All columns of ``docs`` with the cleaned text, and ``n_lines`` and ``n_dropped``; with ``sources`` also
-    ``raw_text`` and ``owners``, the documents that keep the lines' templates."""
+    ``raw_text`` and ``owners``, the documents that keep the lines' templates. Only texts that may lose a line are shuffled."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     drops = recurring_lines(plain, **options)
-    rest = docs.drop("n_lines", "n_dropped")
-    joined = rest.join(drops, rest[id_col] == drops["doc_id"], "left")
-    text, gone = rest[text_col], drops["drop"]
+    more = ("raw_text", "owners") if sources else ()
+    rest = docs.drop("n_lines", "n_dropped", *more)
+    losing, whole = split_by_bitmap(rest, bitmap_of(drops, "doc_id"), F.col(id_col))
+    own = free_prefix(rest.columns)  # of the columns that are joined
+    drops = drops.select(*[F.col(c).alias(own + c) for c in drops.columns])
+    joined = losing.join(drops.hint("merge"), F.col(id_col) == F.col(f"{own}doc_id"), "left")
+    text, gone, owners = F.col(text_col), F.col(f"{own}drop"), F.col(f"{own}owners")
     lines = F.split(text, "\n", -1)
 
     def kept(x: Column) -> Column:
@@ -163,10 +172,8 @@ def drop_recurring_lines(
 
     cleaned = F.when(gone.isNull(), text).otherwise(let(lines, kept))
     count = lambda x: F.coalesce(F.when(x.isNotNull(), F.size(x)), F.lit(0)).cast("long")
-    more = {"raw_text": text, "owners": drops["owners"]} if sources else {}
-    return joined.select(
-        *[(cleaned.alias(c) if c == text_col else rest[c]) for c in rest.columns if c not in more],
-        count(lines).alias("n_lines"),
-        count(gone).alias("n_dropped"),
-        *[v.alias(k) for k, v in more.items()],
-    )
+    shown = lambda said, n, found: [
+        *[(said.alias(c) if c == text_col else F.col(f"`{c}`")) for c in rest.columns], count(lines).alias("n_lines"), n.alias("n_dropped"), *[c.alias(k) for k, c in zip(more, (text, found))]
+    ]
+    out = joined.select(*shown(cleaned, count(gone), owners))
+    return out.unionByName(whole.select(*shown(text, F.lit(0).cast("long"), F.lit(None).cast(drops.schema[f"{own}owners"].dataType))))

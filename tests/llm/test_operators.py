@@ -616,6 +616,21 @@ def test_near_duplicate_query_on_the_small_tables(spark):
     assert {r.doc_id: r.component_id for r in QUERIES["op10_minhash"](spark, SF).collect()} == brute.near(docs, 2)
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 1 << 16])
+def test_bitmaps_lose_no_key(spark, monkeypatch, bits):
+    from tallyweave.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", bits)
+    rnd = random.Random(46)
+    keys = {rnd.randrange(10**12) for _ in range(3000)}
+    rows = [*keys, *(rnd.randrange(10**12) for _ in range(9000)), None]
+    df = spark.createDataFrame([(k,) for k in rows], "k long").withColumns({"__bits": F.lit(1), "__bucket": F.lit(2)})
+    hit, other = common.split_by_bitmap(df, common.bitmap_of(spark.createDataFrame([(k,) for k in keys], "k long"), "k"), F.col("k"))
+    found, rest = [r.k for r in hit.collect()], [r.k for r in other.collect()]
+    assert keys <= set(found) and not keys & set(rest) and None in rest and len(found) + len(rest) == len(rows) and hit.columns == df.columns
+    assert len(found) < (3700 if bits > 1 << 16 else 6000)
+
+
 # ---- line dedup
 
 
