@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe, decontam, linededup, minhash, toxicity
-from tallyweave.llm.common import free_prefix, materialise, scratch_scope, table
+from tallyweave.llm.common import bitmap_of, free_prefix, materialise, scratch_scope, split_by_bitmap, table
 from tallyweave.llm.queries import word_tokenizer
 from tallyweave.session import release, scratch_path
 
@@ -40,35 +40,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes recurring lines, and sets ``n_chars`` of texts that lose some. A document that would lose all of its lines
-    goes only if the documents that keep their templates hold each of them byte for byte, or one of them is a near
-    duplicate of it; else it stays as it was."""
+    goes only if the documents that keep their templates hold each of them byte for byte; else it stays as it was, and if
+    it is a near duplicate the next stage drops it. DataFrame functions only."""
     rows, back = _aside(docs)
     cleaned = linededup.drop_recurring_lines(rows, sources=True)
-    if "n_chars" in docs.columns:
-        at = rows.columns[docs.columns.index("n_chars")]
+    at = rows.columns[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
+    if at:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn(at, F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col(at)))
-    empty = (F.col("n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    words = r"[^\x20\x09-\x0D]"
+    empty = (F.col("n_dropped") > 0) & ~F.coalesce(F.col("text").rlike(words), F.lit(False))
     kept = back(cleaned.where(~empty))
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn(at, F.length("raw_text").cast(kind))
-    emptied = cleaned.where(empty).withColumn("text", F.col("raw_text")).select(*rows.columns, "owners")
-    emptied, _ = materialise(emptied, "emptied")
+    emptied = cleaned.where(empty).withColumn("text", F.col("raw_text"))
+    if at:
+        emptied = emptied.withColumn(at, F.length("text").cast(kind))
+    emptied, _ = materialise(emptied.select(*rows.columns, "owners"), "emptied")
     if emptied.isEmpty():
         return kept
-    ids = emptied.select(F.explode("owners").alias("__owner")).distinct()
-    owners, _ = materialise(docs.join(ids.hint("merge"), docs["doc_id"] == ids["__owner"], "left_semi").select("doc_id", "text"), "owners")
-    line = F.explode(F.split("text", "\n", -1)).alias("line")
-    address = F.sha2("line", 256).alias("address")
-    lines = emptied.select("doc_id", "text", line).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    held = owners.select(line).select(address).distinct()
-    alone = lines.select("doc_id", F.sha2("text", 256).alias("of"), address).join(held.hint("merge"), "address", "left_anti")
-    alone = alone.select(F.col("doc_id").alias("__id"), "of").distinct().hint("merge")
-    same = (emptied["doc_id"] == alone["__id"]) & (F.sha2(emptied["text"], 256) == alone["of"])
-    alone, _ = materialise(emptied.join(alone, same, "left_semi").drop("owners"), "alone")
-    if alone.isEmpty():
-        return kept
-    return kept.unionByName(back(_firsts(alone, minhash.near_duplicates(alone.select("doc_id", "text").unionByName(owners)))))
+    # by hash alone: what lines the owners hold, and what lines the emptied texts need
+    needed = emptied.select("doc_id", F.sha2("text", 256).alias("of"), F.explode(F.split("text", "\n", -1)).alias("line")).where(F.col("line").rlike(words))
+    needed, _ = materialise(needed.select("doc_id", "of", F.xxhash64("line").alias("short"), F.sha2("line", 256).alias("address")), "needed-lines")
+    owners, _ = materialise(emptied.select(F.explode("owners").alias("owner")).distinct(), "owners")
+    texts, _ = split_by_bitmap(rows.select("doc_id", "text"), bitmap_of(owners, "owner"), F.col("doc_id"))
+    lines = texts.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", F.xxhash64("line").alias("short"), F.sha2("line", 256).alias("address"))
+    lines, _ = split_by_bitmap(lines, bitmap_of(needed, "short"), F.col("short"))
+    held = lines.join(owners.hint("merge"), F.col("doc_id") == F.col("owner"), "left_semi").select(F.col("address").alias("held")).distinct()
+    alone = needed.join(held.hint("merge"), F.col("address") == F.col("held"), "left_anti").select(F.col("doc_id").alias("alone"), "of").distinct()
+    same = (F.col("doc_id") == F.col("alone")) & (F.sha2("text", 256) == F.col("of"))
+    return kept.unionByName(back(emptied.join(alone.hint("merge"), same, "left_semi")))
 
 
 def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:

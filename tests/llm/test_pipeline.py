@@ -46,11 +46,11 @@ def test_stages_on_planted_cases(spark, tmp_path):
             assert at.columns == columns
     everything = {d for d, _ in docs}
     assert ids["toxicity"] == everything - kinds["toxic"]
-    # the copies lose all their lines to the first document, so they go with their lines
-    assert ids["line_dedup"] == ids["toxicity"] - kinds["near"]
+    # the exact copy goes with its lines, the near one stays whole for the next stage
+    assert ids["line_dedup"] == ids["toxicity"] - {1000}
     after = {r.doc_id: r.text for r in spark.read.parquet(f"{base}/out/1").collect()}
     assert sum(passage in t for t in after.values()) == 1
-    assert all(after[k] == dict(docs)[k] for k in kinds["clean"] & set(after))
+    assert all(after[k] == dict(docs)[k] for k in kinds["clean"] & set(after)) and after[1001] == dict(docs)[1001]
     assert ids["near_dedup"] == {d for d, r in brute.near([(d, t) for d, t in after.items()], 5).items() if d == r}
     assert ids["decontamination"] == ids["near_dedup"] - kinds["leak"] and kinds["clean"] - kinds["near"] <= ids["decontamination"]
     tok = Tokenizer.from_file(word_tokenizer())
@@ -60,6 +60,20 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert sorted(corpus_pipeline.run(spark, base).collect()) == sorted(at.collect())
 
 
+def test_line_stage_holds_no_python(spark, tmp_path):
+    rnd = random.Random(47)
+    lines = [prose(rnd, 9) for _ in range(9)]
+    docs = [(k, "\n".join(lines[k % 5 : k % 5 + 1 + k % 3])) for k in range(30)]
+    out = corpus_pipeline.drop_lines(spark, spark.read.parquet(_written(spark, tmp_path, docs)), str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow")) and out.count() < 30
+
+
+def _written(spark, tmp_path, docs):
+    docs_df(spark, docs).write.parquet(f"file://{tmp_path}/d")
+    return f"file://{tmp_path}/d"
+
+
 def test_near_dedup_stage_keeps_one_of_each_group(spark, tmp_path):
     rnd = random.Random(22)
     base = prose(rnd, 200)
