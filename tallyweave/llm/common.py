@@ -49,8 +49,8 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> tuple[DataFrame
     return spark.read.schema(df.schema).parquet(path), path
 
 
-#: Bits of a bitmap that keys are looked up in, at most (64 MB).
-MOST_BITS = 1 << 29
+#: Bits of a bitmap that keys are looked up in, at least and at most (64 MB).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
 
 def bitmap_of(keys: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., Column]]:
@@ -58,7 +58,7 @@ def bitmap_of(keys: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., Co
 
     Sixteen bits a key, at most MOST_BITS: beyond that it lets more other keys pass to the join that decides, and loses
     none. ``keys`` is read twice, so it should be a table."""
-    size = min(MOST_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
     place = lambda *key: F.pmod(F.xxhash64(*key), F.lit(size))
     at = place(*names) + 1
     rows = keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket"))

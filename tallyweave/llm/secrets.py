@@ -21,6 +21,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bitmap_of, materialise, split_by_bitmap
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,14 +101,22 @@ class Ledger:
     def scan(self, docs: DataFrame, name: str, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
         """Scans what is unseen, records it under the scan's name, and returns ``doc_id``, ``blob`` and ``findings`` per row.
 
-        The texts cross the network at most once, already reduced to one copy of each blob per map task. Paths carry
-        only the blob address; when most rows share one blob, AQE splits that partition of the join."""
+        Texts of unseen blobs cross the network once, already reduced to one copy of each blob per map task; a bitmap of
+        the known ones keeps the others where they are. Paths carry only the blob address; when most rows share one blob,
+        AQE splits that partition of the join."""
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         addressed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
         known, kind = self.blobs(version), addressed.schema["doc_id"].dataType.simpleString()
         unseen = addressed.select("blob", "text")
         if known is not None:
-            unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+            known = known.select(F.col("blob").alias("known"))
+            maybe, unseen = split_by_bitmap(unseen, bitmap_of(known, "known"), F.col("blob"))
+            # blobs that only seem to be known: a few in ten thousand
+            missed = maybe.select("blob").distinct().join(known.hint("merge"), F.col("blob") == F.col("known"), "left_anti")
+            missed, _ = materialise(missed.select(F.col("blob").alias("missed")), "missed-blobs")
+            if not missed.isEmpty():
+                more, _ = split_by_bitmap(maybe, bitmap_of(missed, "missed"), F.col("blob"))
+                unseen = unseen.unionByName(more.join(missed.hint("merge"), F.col("blob") == F.col("missed"), "left_semi"))
         unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
         scan_blobs(unseen, rules).select("blob", F.lit(version).alias("version"), "findings").write.mode("append").parquet(f"{self.base}/blobs")
         seen, now = self.paths(kind), addressed.select("doc_id", "blob").distinct()

@@ -155,7 +155,13 @@ def test_secrets_equal_plain_patterns_and_ledger_is_incremental(spark, tmp_path)
     assert secrets.spans_text(F.lit(None)) is not None and brute.secrets(long) == f"assign:800000:800018,hex:{800019}:{1100019}"
 
 
-def test_second_scan_reads_only_what_is_new(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("bits", [1 << 29, 8])
+def test_second_scan_reads_only_what_is_new(spark, tmp_path, monkeypatch, bits):
+    """Also where the bitmap of known blobs is so full that it lets all pass."""
+    from tallyweave.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", bits)
+    monkeypatch.setattr(common, "LEAST_BITS", bits)
     seen = []
     plain = secrets.scan_blobs
     monkeypatch.setattr(secrets, "scan_blobs", lambda blobs, rules: (seen.append(blobs.count()), plain(blobs, rules))[1])
