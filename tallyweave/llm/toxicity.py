@@ -36,7 +36,7 @@ MAX_FEATURES = 4000
 MIN_DOCUMENTS = 4
 #: Standard deviations that a feature's toxic share must be off by: weaker ones are mostly chance.
 MIN_SURPRISE = 3.0
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 # Identity terms by kind, each swapped for the next of its kind.
 IDENTITY_TERMS = {
     "religion": "christian muslim jewish hindu buddhist atheist".split(),
