@@ -592,7 +592,7 @@ def test_a_family_below_the_similarity_makes_no_pairs(spark, monkeypatch):
     docs += [(500 + k, docs[7 * k][1] + f" tail{k}") for k in range(20)]
     seen = []
     plain = minhash.materialise
-    monkeypatch.setattr(minhash, "materialise", lambda df, name: (lambda t: (seen.append((name, t[0].count())), t)[1])(plain(df, name)))
+    monkeypatch.setattr(minhash, "materialise", lambda df, name, keep=False: (lambda t: (seen.append((name, t[0].count())), t)[1])(plain(df, name, keep)))
     assert len(set(near_equal_all_pairs(spark, docs).values())) == 300
     assert dict(seen)["pairs"] <= 60
 
