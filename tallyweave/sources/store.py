@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -24,9 +24,12 @@ _PARTS = ("year", "month")
 
 @dataclass(frozen=True)
 class AppendResult:
+    """Counts of an append; ``months`` are those that got rows, without one whose date is unknown."""
+
     new: int
     duplicates: int
     partitions: int
+    months: tuple[tuple[int, int], ...] = field(default=(), compare=False)
 
 
 class Store:
@@ -79,23 +82,21 @@ class Store:
 
     def in_months(self, table: str, months: Sequence[tuple[int, int]], columns: Sequence[str] | None = None) -> DataFrame:
         """Rows of a list of months."""
-        out = self._in(self._stored(TABLES[table]), list(months)).drop(*_PARTS)
+        out = self.with_parts(table, months).drop(*_PARTS)
         return out.select(*columns) if columns else out
 
-    def with_months(self, table: str, rows: DataFrame, months: Sequence[tuple[int, int]]) -> DataFrame:
-        """Those of any rows whose dates lie in a list of months."""
-        month = self._month_of(TABLES[table])
-        return rows.where(month.isin(*[f"{y:04d}-{m:02d}" for y, m in months]))
+    def with_parts(self, table: str, months: Sequence[tuple[int, int]]) -> DataFrame:
+        """Rows of a list of months with their partition columns, by which ``of_months`` and ``replace_months`` know them."""
+        return self.of_months(self._stored(TABLES[table]), months)
+
+    def of_months(self, rows: DataFrame, months: Sequence[tuple[int, int]]) -> DataFrame:
+        """Those of ``with_parts`` rows that are stored in a list of months."""
+        return self._in(rows, list(months))
 
     def months(self, table: str) -> list[tuple[int, int]]:
         """Months that the store has rows of, without those whose date is unknown."""
         return sorted((y, m) for y, m in self._months(self._stored(TABLES[table])) if y and m)
 
-    def fresh_months(self, table: str, batch: DataFrame) -> list[tuple[int, int]]:
-        """Months in which a batch has rows that the store lacks."""
-        fresh, _ = self.new_rows(table, batch)
-        return sorted((y, m) for y, m in self._months(fresh) if y and m)
-
     def read_partitions(self, table: str, pattern: str, columns: Sequence[str] | None = None) -> DataFrame:
         """Partitions by a relative glob such as ``year=2024/month=*``."""
         if pattern.startswith("/") or ".." in pattern.split("/"):
@@ -166,7 +167,7 @@ class Store:
                 fresh.repartition(*_PARTS).sortWithinPartitions(*_PARTS, *(spec.sort or spec.key)).write.mode("append").partitionBy(*_PARTS).parquet(self.path(table))
         finally:
             fresh.unpersist()
-        return AppendResult(new, total - new, len(by_month))
+        return AppendResult(new, total - new, len(by_month), tuple(sorted((y, m) for y, m in by_month if y and m)))
 
     def preview(self, table: str, batch: DataFrame) -> AppendResult:
         """What ``append`` would do, without writing."""
@@ -182,6 +183,23 @@ class Store:
         out = out.repartition(*_PARTS).sortWithinPartitions(*(spec.sort or spec.key))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(self.path(table))
 
+    def _put(self, spec: TableSpec, rows: DataFrame) -> None:
+        """Rows with their partition columns in place of all that is stored in their months."""
+        rows = rows.repartition(*_PARTS).sortWithinPartitions(*_PARTS, *(spec.sort or spec.key))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(self.path(spec.name))
+
+    def replace_months(self, table: str, rows: DataFrame) -> None:
+        """Replaces whole months by ``with_parts`` rows that no longer differ in keys and dates, only in other columns: no key
+        is looked up. Staged beside the table first, as in ``upsert``."""
+        spec = TABLES[table]
+        stored = self._stored(spec)
+        stage = f"{self.base}/_staged_{table}_{uuid.uuid4().hex}"
+        try:
+            rows.select(*stored.columns).write.parquet(stage)
+            self._put(spec, self.spark.read.schema(stored.schema).parquet(stage))
+        finally:
+            release(self.spark, stage)
+
     def upsert(self, table: str, rows: DataFrame) -> None:
         """Replaces rows by key, wherever they are stored: also one whose new date lies in another month. The keys alone
         are looked up in all months; read and replaced are only the months of the new and of the found rows. The result is
@@ -199,8 +217,7 @@ class Store:
             kept.unionByName(new).write.parquet(stage)
             staged = self.spark.read.schema(self._stored(spec).schema).parquet(stage)
             left = {(r["year"], r["month"]) for r in staged.select(*_PARTS).distinct().collect()}
-            staged = staged.repartition(*_PARTS).sortWithinPartitions(*_PARTS, *(spec.sort or spec.key))
-            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(self.path(table))
+            self._put(spec, staged)
             for y, m in set(months) - left:  # a month whose last row moved away
                 release(self.spark, f"{self.path(table)}/year={y}/month={m}")
         finally:

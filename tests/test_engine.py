@@ -498,6 +498,40 @@ def test_run_from_workbook_to_export(spark, tmp_path):
     assert out.where("is_transfer = 1").count() == 2 and files.write_master(store.read("transactions"), str(tmp_path / "m.xlsx")) == 32
 
 
+def test_run_reads_an_export_once(spark, tmp_path):
+    from tallyweave.plans.run import run
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(date):
+        seen.add(1)
+        return date
+
+    store, rows = Store(spark, f"file://{tmp_path}/once"), export_rows()
+    raw = raw_export(spark, *rows).withColumn("날짜", F.udf(note)("날짜"))
+    assert run(store, [("f1", raw)], [R.Rule("cafe", ("coffee",), match="cafe")]).new == 32 and seen.value == len(rows)
+    assert run(store, [("f1", raw)]).new == 0 and seen.value == 2 * len(rows)
+
+
+def test_retag_keeps_each_row_without_hash(spark, tmp_path):
+    from tallyweave.plans.run import retag
+
+    store, rules = Store(spark, f"file://{tmp_path}/s"), [R.Rule("cafe", ("coffee",), match="cafe")]
+    for k, date in enumerate(("2024-01-05", "2024-01-05", "2024-02-05")):
+        store.append("transactions", ledger(spark, dict(row_hash=None, date=date, merchant_raw=f"Cafe {k}")))
+    store.append("transactions", ledger(spark, dict(row_hash="h", date="2024-06-05", merchant_raw="Cafe far")))
+    assert retag(store, rules, [(2024, 1)]) == (3, 0, 3) and retag(store, rules, [(2024, 1)]) == (3, 0, 0)
+    assert sorted((r.merchant_raw, r.date[5:7], r.tags_rule) for r in store.read("transactions").collect()) == [*[(f"Cafe {k}", m, ["coffee"]) for k, m in enumerate(("01", "01", "02"))], ("Cafe far", "06", [])]
+
+
+def test_amounts_are_read_alike_as_text_and_as_numbers(spark):
+    texts = ["-1,234.50", " 5 ", "1e3", "(7)", "1만", "₩3", "x", "", None, "+2.", "1,0\n0"]
+    read = lambda df: [r.amount for r in N.read_export(df, "f").orderBy("merchant_raw").collect()]
+    raw = raw_export(spark, *[("2024-01-02", "09:05", "지출", None, None, f"{k:02d}", t, None, "Card", None) for k, t in enumerate(texts)])
+    assert read(raw) == [-1234.5, 5, 1000, -7, 10000, 3, None, None, None, 2, 100]
+    assert read(raw.withColumn("금액", F.lit(0.1).cast("float"))) == [0.10000000149011612] * len(texts)
+
+
 def test_workbook_values(spark, tmp_path):
     import zipfile
 
